@@ -7,6 +7,7 @@ plain data, kept together, and must not be changed without changing results.
 # Character classes. Written out because Java, Python and RE2 disagree on what
 # the shorthand classes cover; these follow Python's Unicode meaning.
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+SPACE_INLINE = r"[\t\x0b-\r\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 SPACE_CHARS = (

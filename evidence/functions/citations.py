@@ -93,7 +93,7 @@ def author_entries(trimmed_section: Column) -> Column:
 
     Takes a section whose lines are trimmed and non-blank.
     """
-    start = rf"{K.WORD}+,{K.SPACE}+{K.WORD}\."
+    start = rf"{K.WORD}+,{K.SPACE_INLINE}+{K.WORD}\."
     groups = F.filter(F.split(trimmed_section, rf"\n(?={start})"), lambda g: g.rlike("^" + start))
     return F.transform(
         groups,
