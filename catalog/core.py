@@ -8,12 +8,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from evidence import constants as K
+from evidence.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+TEXT_TABLES = ("documents", "pages")
+
 VIEWS = {
     # Papers with markers, a reference section in three styles, a quarter without references.
     "papers": """
@@ -84,7 +87,8 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._seen:
-            self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            read = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._seen[name] = spread(read) if name in TEXT_TABLES else read
         return self._seen[name]
 
     def view(self, name: str) -> DataFrame:

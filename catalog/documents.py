@@ -73,6 +73,13 @@ walk AS (
 SELECT doc_id, emit.c AS chunk_id, emit.t AS text, emit.p AS start_pos, emit.p + length(emit.t) AS end_pos, emit.u AS token_count
 FROM walk WHERE emit IS NOT NULL"""
 
+TITLE_SQL = f"SELECT doc_id, list_filter({_L}[1:10], lambda x: length(x) > 10 AND NOT {upper_case('x')})[1] AS title FROM abstract_papers"
+ABSTRACT_SQL = f"""SELECT doc_id, array_to_string(arg_min(b, i) FILTER (WHERE len(b) > 0), ' ') AS abstract FROM (
+ SELECT doc_id, i, CASE WHEN {_AT} IS NULL OR {_AT} = 0 THEN f ELSE f[1:{_AT} - 1] END AS b FROM (
+  SELECT doc_id, i, CASE WHEN {any_of('lower(l[i])', K.ABSTRACT_WORDS)} THEN {_FOLLOW} ELSE [] END AS f FROM (
+   SELECT doc_id, l, unnest(range(1, least(len(l), 50) + 1)) AS i FROM (SELECT doc_id, {_L} AS l FROM abstract_papers))))
+GROUP BY doc_id"""
+
 QUERIES = {
     "assemble_pages": (
         assemble_pages,
@@ -90,11 +97,7 @@ FROM (SELECT * FROM abstract_papers UNION ALL SELECT -doc_id - 1, text FROM pape
     "paper_abstract": (
         lambda i: D.paper_abstract(i.view("abstract_papers")),
         oracle(
-            f"""SELECT doc_id, array_to_string(arg_min(b, i) FILTER (WHERE len(b) > 0), ' ') AS abstract FROM (
- SELECT doc_id, i, CASE WHEN {_AT} IS NULL OR {_AT} = 0 THEN f ELSE f[1:{_AT} - 1] END AS b FROM (
-  SELECT doc_id, i, CASE WHEN {any_of('lower(l[i])', K.ABSTRACT_WORDS)} THEN {_FOLLOW} ELSE [] END AS f FROM (
-   SELECT doc_id, l, unnest(range(1, least(len(l), 50) + 1)) AS i FROM (SELECT doc_id, {_L} AS l FROM abstract_papers))))
-GROUP BY doc_id""",
+            ABSTRACT_SQL,
             "abstract_papers",
         ),
     ),

@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from catalog import documents
+from catalog import claims, documents
 
-REGISTERED = {**documents.QUERIES}
+REGISTERED = {**documents.QUERIES, **claims.QUERIES}

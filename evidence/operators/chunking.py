@@ -33,7 +33,7 @@ def chunk_by_tokens(
 ) -> DataFrame:
     """One row per chunk. An empty text yields one empty chunk."""
     chunk = F.explode(token_chunks(F.col(text), size, overlap, tokens))
-    return docs.select(key, chunk.alias("c")).select(key, "c.*")
+    return docs.select(key, chunk.alias("_chunk")).select(key, "_chunk.*")
 
 
 def chunk_by_chars(

@@ -61,16 +61,16 @@ def normalize_claim_json(answers: DataFrame, answer: str = "answer") -> DataFram
     bare = F.from_json(F.col(answer), f"array<{_CLAIM}>")
     items = F.when(F.ltrim(F.col(answer), F.lit(K.SPACE_CHARS)).startswith("{"), wrapped).otherwise(bare)
     keep = [c for c in ("hint",) if c in answers.columns]
-    rows = answers.select("doc_id", "chunk_id", *keep, F.posexplode(items).alias("idx", "c"))
-    marker = F.col("c.citation_marker")
+    rows = answers.select("doc_id", "chunk_id", *keep, F.posexplode(items).alias("idx", "_claim"))
+    marker = F.col("_claim.citation_marker")
     return _with_ids(
         rows.select(
             "doc_id", "chunk_id", "idx",
             F.col("hint") if keep else F.lit(0).alias("hint"),
-            F.coalesce("c.claim_text", F.lit("")).alias("text"),
-            F.coalesce("c.claim_type", F.lit("qualitative")).alias("claim_type"),
+            F.coalesce("_claim.claim_text", F.lit("")).alias("text"),
+            F.coalesce("_claim.claim_type", F.lit("qualitative")).alias("claim_type"),
             F.when(F.lower(strip(marker)) != "null", marker).alias("citation_text"),
-            F.coalesce("c.is_original", F.lit(False)).alias("is_original"),
+            F.coalesce("_claim.is_original", F.lit(False)).alias("is_original"),
         )
     )
 
@@ -199,8 +199,8 @@ def map_citations(claims: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def citation_details(citations: DataFrame) -> DataFrame:
-    return citations.select("doc_id", "citation_id", C.details(F.col("citation_text")).alias("d")).select(
-        "doc_id", "citation_id", "d.*"
+    return citations.select("doc_id", "citation_id", C.details(F.col("citation_text")).alias("_details")).select(
+        "doc_id", "citation_id", "_details.*"
     )
 
 

@@ -138,7 +138,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
         F.struct("url", "source", "score"),
         F.struct(F.col("score"), -F.col("repository"), -F.col("pos")),
     )
-    return candidates.groupBy("doc_id", "claim_id").agg(best.alias("b")).select("doc_id", "claim_id", "b.*")
+    return candidates.groupBy("doc_id", "claim_id").agg(best.alias("_best")).select("doc_id", "claim_id", "_best.*")
 
 
 def dataset_reuse(
@@ -243,8 +243,8 @@ def with_best_location(ranked: DataFrame, best_locations: DataFrame) -> DataFram
 def crossref_pdf_links(works: DataFrame) -> DataFrame:
     """Links of ``links ARRAY<STRUCT<content_type,url>>`` that are PDFs by type or by URL."""
     return (
-        works.select("doi", F.posexplode("links").alias("pos", "link"))
-        .select("doi", "pos", "link.url", F.coalesce("link.content_type", F.lit("")).alias("content_type"))
+        works.select("doi", F.posexplode("links").alias("pos", "_link"))
+        .select("doi", "pos", "_link.url", F.coalesce("_link.content_type", F.lit("")).alias("content_type"))
         .where(
             (F.coalesce("url", F.lit("")) != "")
             & (F.contains("content_type", F.lit("pdf")) | F.contains(F.lower("url"), F.lit("pdf")))
@@ -392,12 +392,12 @@ def candidate_links(
     )
     firsts = F.filter("links", lambda x, i: F.array_position(F.col("_urls"), x["url"]) == i + 1)
     return (
-        kept.select("page_id", F.posexplode(F.slice(firsts, 1, limit)).alias("pos", "link"))
+        kept.select("page_id", F.posexplode(F.slice(firsts, 1, limit)).alias("pos", "_link"))
         .select(
             "page_id",
             (F.col("pos") + 1).alias("link_no"),
-            F.col("link.url").alias("url"),
-            head(F.col("link.title"), K.LINK_TITLE_CHARS).alias("title"),
+            F.col("_link.url").alias("url"),
+            head(F.col("_link.title"), K.LINK_TITLE_CHARS).alias("title"),
         )
     )
 

@@ -137,8 +137,8 @@ def citation_style(sections: DataFrame) -> DataFrame:
 def _explode_entries(sections: DataFrame, styles: tuple[str, ...], entries: Column) -> DataFrame:
     return (
         sections.where(F.col("style").isin(*styles))
-        .select("doc_id", F.posexplode(entries).alias("pos", "entry"))
-        .select("doc_id", "pos", "entry.citation_id", "entry.citation_text")
+        .select("doc_id", F.posexplode(entries).alias("pos", "_entry"))
+        .select("doc_id", "pos", "_entry.citation_id", "_entry.citation_text")
     )
 
 
@@ -163,8 +163,8 @@ def parse_refs(sections: DataFrame) -> DataFrame:
         .when(F.col("style") == "bracket_numeric", C.bracket_entries(ref))
         .when(F.col("style") == "apa", C.author_entries(F.array_join(stripped_lines(ref), "\n")))
     )
-    return sections.select("doc_id", F.posexplode(entries).alias("pos", "entry")).select(
-        "doc_id", "pos", "entry.citation_id", "entry.citation_text"
+    return sections.select("doc_id", F.posexplode(entries).alias("pos", "_entry")).select(
+        "doc_id", "pos", "_entry.citation_id", "_entry.citation_text"
     )
 
 
@@ -209,8 +209,8 @@ def citations_from_answer(answers: DataFrame, answer: str = "answer") -> DataFra
     wrapped = F.from_json(F.get_json_object(answer, "$.citations"), mapping)
     bare = F.from_json(F.col(answer), mapping)
     entries = F.map_entries(F.coalesce(wrapped, bare))
-    return answers.select("doc_id", F.posexplode(entries).alias("pos", "e")).select(
-        "doc_id", "pos", F.col("e.key").alias("citation_id"), F.col("e.value").alias("citation_text")
+    return answers.select("doc_id", F.posexplode(entries).alias("pos", "_pair")).select(
+        "doc_id", "pos", F.col("_pair.key").alias("citation_id"), F.col("_pair.value").alias("citation_text")
     )
 
 

@@ -205,8 +205,8 @@ def similarity(
         "claim_length",
         F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.pow(t["q"] * t["idf"], F.lit(2.0)))),
     )
-    wanted = weighted.select(*PAIR, "n_chunks", "cut", "claim_length", F.explode("terms").alias("t")).select(
-        *PAIR, "n_chunks", "cut", "claim_length", "t.term", "t.q", "t.c", "t.df", "t.idf"
+    wanted = weighted.select(*PAIR, "n_chunks", "cut", "claim_length", F.explode("terms").alias("_term")).select(
+        *PAIR, "n_chunks", "cut", "claim_length", "_term.term", "_term.q", "_term.c", "_term.df", "_term.idf"
     ).where(F.col("df") > 0)
     hits = wanted.join(index.postings.select("source_key", "chunk_no", "term", "tf"), ["source_key", "term"])
     own = F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))

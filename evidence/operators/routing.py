@@ -36,7 +36,7 @@ def factcheck_lookup(claims: DataFrame, reviews: DataFrame, similarity: Column |
     columns = ["textual_rating", "publisher", "url"]
     first = reviews.groupBy(fact_key(F.col("claim_text")).alias("_key")).agg(
         F.min("review_id").alias("review_id"),
-        F.min_by(F.struct(*columns), "review_id").alias("review"),
+        F.min_by(F.struct(*columns), "review_id").alias("_review"),
     )
     return (
         claims.withColumn("_key", fact_key(F.col("text")))
@@ -44,7 +44,7 @@ def factcheck_lookup(claims: DataFrame, reviews: DataFrame, similarity: Column |
         .select(
             *[F.col(c) for c in claims.columns],
             "review_id",
-            *[F.col(f"review.{c}").alias(c) for c in columns],
+            *[F.col(f"_review.{c}").alias(c) for c in columns],
             F.when(
                 F.col("review_id").isNotNull(),
                 similarity if similarity is not None else F.lit(K.DEFAULT_SIMILARITY),

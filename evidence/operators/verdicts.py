@@ -123,8 +123,8 @@ def column_statistics(dataset: DataFrame, columns: list[str], filters: list[str]
         ]
     )
     return grouped.select(
-        filter_col.alias("filter_col"), filter_val.alias("filter_val"), F.explode(measured).alias("m")
-    ).select("filter_col", "filter_val", "m.*")
+        filter_col.alias("filter_col"), filter_val.alias("filter_val"), F.explode(measured).alias("_measured")
+    ).select("filter_col", "filter_val", "_measured.*")
 
 
 def quant_check(specs: DataFrame, statistics: DataFrame) -> DataFrame:

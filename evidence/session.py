@@ -39,3 +39,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when the files give fewer splits than that.
+
+    For row-wise work that is heavy per row. A large table already has more
+    splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -41,7 +41,7 @@ def stream_token_cost(
     tokens_in, tokens_out = F.sum("input_tokens"), F.sum("output_tokens")
     return (
         usage.withWatermark("ts", delay)
-        .groupBy(window.alias("w"), "task")
+        .groupBy(window.alias("_window"), "task")
         .agg(
             tokens_in.alias("input_tokens"),
             tokens_out.alias("output_tokens"),
@@ -49,7 +49,7 @@ def stream_token_cost(
                 tokens_in / 1_000_000 * K.INPUT_PRICE_PER_MILLION + tokens_out / 1_000_000 * K.OUTPUT_PRICE_PER_MILLION
             ).alias("total_cost"),
         )
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+        .select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"),
                 "task", "input_tokens", "output_tokens", "total_cost")
     )
 
