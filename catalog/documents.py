@@ -35,21 +35,21 @@ _STOP = f"(({upper_case('x')} AND length(x) > 5) OR {any_of('lower(x)', K.ABSTRA
 _FOLLOW = "list_filter(l[i + 1:i + 29], lambda x: x <> '')"
 _AT = f"list_position(list_transform(f, lambda x: {_STOP}), true)"
 
-_FOLD_CHARS = f"""
+def char_chunks_of(table: str, key: str, text: str) -> str:
+    fold = f"""
 list_reduce(
- list_transform(list_filter(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda x: {strip('x')}), lambda x: x <> ''),
+ list_transform(list_filter(list_transform(string_split(replace({text}, chr(10), ' '), '. '), lambda x: {strip('x')}), lambda x: x <> ''),
   lambda x: {{'done': []::VARCHAR[], 'cur': [x], 'used': length(x)}}),
  lambda a, x: CASE WHEN a.used + x.used > {K.CHUNK_CHARS} AND len(a.cur) > 0
   THEN {{'done': list_append(a.done, array_to_string(a.cur, '. ') || '.'), 'cur': [a.cur[-1], x.cur[1]], 'used': length(a.cur[-1]) + x.used}}
   ELSE {{'done': a.done, 'cur': list_append(a.cur, x.cur[1]), 'used': a.used + x.used}} END,
  {{'done': []::VARCHAR[], 'cur': []::VARCHAR[], 'used': 0::BIGINT}})"""
+    return f"""
+SELECT {key}, unnest(l) AS chunk_text, generate_subscripts(l, 1) - 1 AS chunk_no FROM (
+ SELECT {key}, CASE WHEN len(r.cur) > 0 THEN list_append(r.done, array_to_string(r.cur, '. ') || '.') ELSE r.done END AS l
+ FROM (SELECT {key}, {fold} AS r FROM {table}))"""
 
-_CHAR_CHUNKS = f"""
-SELECT doc_id, unnest(l) AS chunk_text, generate_subscripts(l, 1) - 1 AS chunk_no FROM (
- SELECT doc_id, CASE WHEN len(r.cur) > 0 THEN list_append(r.done, array_to_string(r.cur, '. ') || '.') ELSE r.done END AS l
- FROM (SELECT doc_id, {_FOLD_CHARS} AS r FROM documents))"""
 
-_JOIN = "array_to_string(list_transform({}, lambda z: z.s), ' ')"
 # Token chunks as a recursive walk over numbered sentences: one row per document and step.
 _TOKEN_CHUNKS = f"""
 WITH RECURSIVE parts AS (
@@ -147,5 +147,5 @@ FROM sections s LEFT JOIN validity v ON v.doc_id = s.doc_id""",
     ),
     "chunk_by_tokens": (
         lambda i: chunking.chunk_by_tokens(i.table("documents"), size=120), _TOKEN_CHUNKS),
-    "chunk_by_chars": (lambda i: chunking.chunk_by_chars(i.table("documents")), _CHAR_CHUNKS),
+    "chunk_by_chars": (lambda i: chunking.chunk_by_chars(i.table("documents")), char_chunks_of("documents", "doc_id", "text")),
 }

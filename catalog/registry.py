@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from catalog import claims, documents
+from catalog import checks, claims, documents, sources
 
-REGISTERED = {**documents.QUERIES, **claims.QUERIES}
+REGISTERED = {**documents.QUERIES, **claims.QUERIES, **sources.QUERIES, **checks.QUERIES}

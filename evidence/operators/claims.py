@@ -133,24 +133,25 @@ def span_loose(text: Column, claim: Column, hint: Column) -> Column:
     quoted = F.transform(tokens, lambda t: F.regexp_replace(t, r"([\\\[\](){}.*+?^$|#&~\-])", r"\\$1"))
     pattern = F.when(F.size(tokens) > 0, F.array_join(quoted, K.SPACE + "+"))
     start_at = F.greatest(hint, F.lit(0))
-
-    def search(p: Column) -> Column:
-        tail = F.substring(text, start_at + 1, F.length(text))
-        found_tail = F.regexp_instr(tail, p)
-        found_all = F.regexp_instr(text, p)
-
-        def span(body: Column, at: Column, shift: Column) -> Column:
-            return F.when(
-                at > 0,
-                F.struct(
-                    (at - 1 + shift).alias("start"),
-                    (at - 1 + shift + F.length(F.call_function("regexp_extract", body, p, F.lit(0)))).alias("end"),
+    tail = F.substring(text, start_at + 1, F.length(text))
+
+    def find(body: Column, p: Column, shift: Column) -> Column:
+        # The matched words first occur where the pattern first matches.
+        return bind(
+            F.call_function("regexp_extract", body, p, F.lit(0)),
+            lambda hit: F.when(
+                hit != "",
+                bind(
+                    F.instr(body, hit) - 1 + shift,
+                    lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end")),
                 ),
-            )
-
-        return F.coalesce(span(tail, found_tail, start_at), span(text, found_all, F.lit(0)))
+            ),
+        )
 
-    return F.when(pattern.isNotNull(), bind(pattern, search))
+    return F.when(
+        pattern.isNotNull(),
+        bind(pattern, lambda p: F.coalesce(bind(tail, lambda t: find(t, p, start_at)), find(text, p, F.lit(0)))),
+    )
 
 
 def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True) -> DataFrame:

@@ -34,43 +34,52 @@ def overlap_topk(
     """
     words = items.select(item_key, F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg((F.count(F.lit(1)) > hot_items).alias("is_hot"))
+    graded = words.join(frequency, "word")
+    sets = graded.groupBy(item_key).agg(
+        F.sort_array(F.collect_set(F.when(F.col("is_hot"), F.col("word")))).alias("hot_set")
+    )
 
-    query_words = queries.select(*query_key, F.explode("words").alias("word")).join(frequency, "word")
-    profiles = query_words.groupBy(*query_key).agg(F.sort_array(F.collect_set("word")).alias("profile"))
-    distinct_profiles = profiles.select("profile").distinct()
-    profile_words = distinct_profiles.select("profile", F.explode("profile").alias("word")).join(frequency, "word")
+    # Distinct profiles get a compact exact id: the smallest query that has the profile.
+    profiles = (
+        queries.select(*query_key, F.explode("words").alias("word"))
+        .join(frequency, "word")
+        .groupBy(*query_key)
+        .agg(F.sort_array(F.collect_set(F.struct("word", "is_hot"))).alias("profile"))
+    )
+    distinct = profiles.groupBy("profile").agg(F.min(F.struct(*query_key)).alias("pid"))
+    hot_part = F.transform(F.filter("profile", lambda x: x["is_hot"]), lambda x: x["word"])
+    profile_words = distinct.select("pid", hot_part.alias("own_hot"), F.explode("profile").alias("_p")).select(
+        "pid", "own_hot", "_p.word", "_p.is_hot"
+    )
 
-    rare = words.join(frequency.where(~F.col("is_hot")), "word", "left_semi")
-    touched = (
+    rare = graded.where(~F.col("is_hot")).select("word", item_key).join(sets, item_key)
+    by_rare = (
         profile_words.where(~F.col("is_hot"))
-        .select("profile", "word")
         .join(rare, "word")
-        .select("profile", item_key)
-        .distinct()
-    )
-    by_rare = touched.join(items.select(item_key, "words"), item_key).select(
-        "profile", item_key, F.size(F.array_intersect("profile", "words")).alias("overlap")
+        .select("pid", item_key, F.size(F.array_intersect("own_hot", "hot_set")).alias("hot_overlap"))
+        .groupBy("pid", item_key)
+        .agg((F.count(F.lit(1)) + F.max("hot_overlap")).alias("overlap"))
     )
 
-    hot_sets = (
-        words.join(frequency.where("is_hot"), "word", "left_semi")
-        .groupBy(item_key)
-        .agg(F.sort_array(F.collect_set("word")).alias("hot_set"))
+    hot_sets = sets.where(F.size("hot_set") > 0)
+    named = hot_sets.groupBy("hot_set").agg(F.min(item_key).alias("set_id"))
+    carriers = top_k(hot_sets, ["hot_set"], [F.col(item_key)], k, "_carrier").join(named, "hot_set").select(
+        "set_id", item_key
     )
-    carriers = top_k(hot_sets, ["hot_set"], [F.col(item_key)], k, "_carrier").drop("_carrier")
-    hot_words = carriers.select("hot_set").distinct().select("hot_set", F.explode("hot_set").alias("word"))
-    set_pairs = (
+    shared = (
         profile_words.where("is_hot")
-        .select("profile", "word")
-        .join(hot_words, "word")
-        .groupBy("profile", "hot_set")
-        .agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+        .select("pid", "word")
+        .join(named.select("set_id", F.explode("hot_set").alias("word")), "word")
+        .groupBy("pid", "set_id")
+        .agg(F.count(F.lit(1)).alias("overlap"))
     )
-    by_hot = set_pairs.join(carriers, "hot_set").select("profile", item_key, "overlap")
+    # The best items lie in the best sets, a set ranking by its smallest item.
+    best_sets = top_k(shared, ["pid"], [F.col("overlap").desc(), F.col("set_id")], k, "_set_rank")
+    by_hot = best_sets.join(carriers, "set_id").select("pid", item_key, "overlap")
 
-    scored = by_rare.unionByName(by_hot).groupBy("profile", item_key).agg(F.max("overlap").alias("overlap"))
-    best = top_k(scored, ["profile"], [F.col("overlap").desc(), F.col(item_key)], k)
-    return profiles.join(best, "profile").select(*query_key, item_key, "overlap", "rank")
+    scored = by_rare.unionByName(by_hot).groupBy("pid", item_key).agg(F.max("overlap").alias("overlap"))
+    best = top_k(scored, ["pid"], [F.col("overlap").desc(), F.col(item_key)], k)
+    return profiles.join(distinct.join(best, "pid"), "profile").select(*query_key, item_key, "overlap", "rank")
 
 
 def catalog_search(
