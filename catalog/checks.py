@@ -7,12 +7,13 @@ import zipfile
 import pyspark
 from pyspark.sql import functions as F
 
-from catalog.claims import citations, mapped, plausible_stub, raw_claims, routed
+from catalog.claims import citations, mapped, routed
 from catalog.core import CTES, Inputs, lit, oracle
 from catalog.documents import char_chunks_of
 from evidence import constants as K
 from evidence.operators import reporting, retrieval as R, verdicts
 from evidence.plans import runs
+from evidence.session import materialize
 
 GRAM = 4
 
@@ -207,7 +208,7 @@ def _check_sql(specs) -> str:
         test = {"gt": f"x > {exp}", "lt": f"x < {exp}"}.get(comp, f"abs(x - {exp}) <= {tol}")
         rows.append(
             f"SELECT '{claim}' AS claim_id, '{dataset}' AS dataset, round(x, 4) AS observed, x IS NOT NULL AS validated, coalesce({test}, false) AS passed, "
-            f"CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN x IS NULL THEN 'No data for this claim' ELSE printf('{agg} of {col} is %.4f, claim says {comp} %.4f', x, {exp}::DOUBLE) END AS explanation, "
+            f"CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN x IS NULL THEN 'No data for this claim' ELSE printf('{agg} of {col} is %.4f, claim says {comp} %.4f', round(x, 4), {exp}::DOUBLE) END AS explanation, "
             f"CASE WHEN x IS NULL THEN 'No matching rows in dataset' END AS error FROM (SELECT ({seen})::DOUBLE AS x)")
     return " UNION ALL ".join(rows)
 
@@ -254,9 +255,9 @@ def errors(i):
 
 def validated(i):
     """The whole validation over the papers: rule claims, reviews, datasets, attempts and texts."""
-    claims = mapped(i)
+    claims = materialize(mapped(i), "claims")
     docs = i.table("documents")
-    found = raw_claims(i).where((F.col("claim_type") == "quantitative") & (F.col("doc_id") % 2 == 0)).select(
+    found = claims.where(F.col("citation_id").isNull() & (F.col("claim_type") == "quantitative") & (F.col("doc_id") % 2 == 0)).select(
         "doc_id", "claim_id",
         F.struct(
             F.concat(F.lit("https://data.example.org/"), "doc_id").alias("source_url"), F.lit("data.gov").alias("source_type"),
@@ -318,7 +319,7 @@ CTES["fit"] = (
 )
 CTES["vocab"] = (
     ("fit",),
-    f"""SELECT claim_key, source_key, term, cast(sum(tf) AS bigint) AS total, count(*) AS df FROM fit GROUP BY ALL
+    f"""SELECT claim_key, source_key, term, cast(sum(tf) AS bigint) AS total, count(*) AS df FROM fit GROUP BY claim_key, source_key, term
 QUALIFY row_number() OVER (PARTITION BY claim_key, source_key ORDER BY sum(tf) DESC, term) <= {K.VOCABULARY_SIZE}""",
 )
 CTES["sizes"] = (("chunks",), "SELECT source_key, count(*) AS n_chunks FROM chunks GROUP BY source_key")

@@ -1,5 +1,11 @@
 """All registered queries."""
 
-from catalog import checks, claims, documents, sources
+from catalog import checks, claims, documents, sources, storage
 
-REGISTERED = {**documents.QUERIES, **claims.QUERIES, **sources.QUERIES, **checks.QUERIES}
+REGISTERED = {
+    **documents.QUERIES,
+    **claims.QUERIES,
+    **sources.QUERIES,
+    **checks.QUERIES,
+    **storage.QUERIES,
+}

@@ -411,7 +411,7 @@ CTES["made"] = (
 WHERE winning_attempt IS NULL OR attempt_no <= winning_attempt""",
 )
 # Newest undeleted record first, walked event by event.
-_MANIFEST = """, events_ AS (
+MANIFEST_SQL = """, events_ AS (
  SELECT doc_id, citation_id, attempt_no * 10::BIGINT AS seq, 'append' AS kind FROM attempts
  UNION ALL SELECT doc_id, citation_id, attempt_no * 10 + 1, 'delete' FROM attempts WHERE downloaded
  UNION ALL SELECT doc_id, citation_id, attempt_no * 10 + 2, 'delete' FROM attempts WHERE downloaded AND attempt_no % 2 = 0),
@@ -617,7 +617,7 @@ FROM batches b LEFT JOIN (SELECT doc_id, citation_id, count(*) AS n FROM made GR
     ),
     "manifest_current": (
         lambda i: reporting.manifest_current(manifest_events(i)),
-        oracle("@", "attempts").replace(" @", _MANIFEST),
+        oracle("@", "attempts").replace(" @", MANIFEST_SQL),
     ),
     "run_layout": (
         run_layout,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence import constants as K
-from evidence.functions.text import contains_any, ends_with_any, head, not_empty, squeeze, word_keys
+from evidence.functions.text import bind, contains_any, ends_with_any, head, not_empty, squeeze, word_keys
 from evidence.operators.hook import score
 from evidence.operators.ranking import nest_parts, rank_in_groups, top_k
 
@@ -396,12 +396,15 @@ def candidate_links(
         host = F.regexp_replace(url_host(x["url"]), r"^www\.", "")
         return x["url"].startswith("http") & ~ends_with_any(host, skip) & (F.length(x["title"]) >= K.MIN_ANCHOR_CHARS)
 
-    kept = raw.select("page_id", F.filter(tidy, wanted).alias("links")).withColumn(
-        "_urls", F.transform("links", lambda x: x["url"])
-    )
-    firsts = F.filter("links", lambda x, i: F.array_position(F.col("_urls"), x["url"]) == i + 1)
+    def firsts(links: Column) -> Column:
+        return bind(
+            F.transform(links, lambda x: x["url"]),
+            lambda urls: F.filter(links, lambda x, i: F.array_position(urls, x["url"]) == i + 1),
+        )
+
+    kept = bind(F.filter(tidy, wanted), firsts)
     return (
-        kept.select("page_id", F.posexplode(F.slice(firsts, 1, limit)).alias("pos", "_link"))
+        raw.select("page_id", F.posexplode(F.slice(kept, 1, limit)).alias("pos", "_link"))
         .select(
             "page_id",
             (F.col("pos") + 1).alias("link_no"),

@@ -21,7 +21,7 @@ from evidence import constants as K
 from evidence.functions.text import bind
 from evidence.operators.chunking import chunk_by_chars
 from evidence.operators.ranking import top_k
-from evidence.session import materialize
+from evidence.session import by_key, materialize
 
 PAIR = ["claim_key", "source_key"]
 
@@ -88,7 +88,7 @@ def index_sources(
     if store:
         chunks = materialize(chunks, "chunks")
     tf = (
-        chunks.repartition("source_key")
+        by_key(chunks, "source_key")
         .select("source_key", "chunk_no", F.explode(terms_of(F.col("chunk_text"), stop_words)).alias("term"))
         .groupBy("source_key", "chunk_no", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -140,6 +140,7 @@ def _pair_rows(pairs: DataFrame, claims: DataFrame, index: SourceIndex, stop_wor
         F.collect_list(
             F.struct("term", F.col("tf").alias("q"), c.alias("c"), df.alias("df"), (-(c + F.col("tf"))).alias("place"))
         ).alias("terms"),
+        F.collect_list("term").alias("own"),
         F.count_if(F.col("c").isNull()).alias("n_new"),
     )
     # Totals that exceed the cap can only come from sources this large.
@@ -151,20 +152,16 @@ def _pair_rows(pairs: DataFrame, claims: DataFrame, index: SourceIndex, stop_wor
         .groupBy("source_key")
         .agg(F.collect_list(F.struct((-F.col("c")).alias("place"), F.col("term").alias("term"))).alias("top"))
     )
-    own = F.transform("terms", lambda t: t["term"])
     merged = F.concat(
-        F.filter("top", lambda x: ~F.array_contains(F.col("_own"), x["term"])),
+        F.filter("top", lambda x: ~F.array_contains(F.col("own"), x["term"])),
         F.transform("terms", lambda t: F.struct(t["place"].alias("place"), t["term"].alias("term"))),
     )
-    capped = (
-        sized.where("is_capped")
-        .join(top, "source_key")
-        .withColumn("_own", own)
-        .withColumn("cut", F.element_at(F.array_sort(merged), size))
-        .drop("top", "_own")
-    )
-    uncapped = sized.where(~F.col("is_capped")).withColumn(
-        "cut", F.lit(None).cast("struct<place:bigint,term:string>")
+    # Exploding the one value keeps the optimizer from copying its sort into every later use.
+    cut = F.explode(F.array(F.element_at(F.array_sort(merged), size)))
+    kept = [*PAIR, "terms", "n_chunks"]
+    capped = sized.where("is_capped").join(top, "source_key").select(*kept, cut.alias("cut"))
+    uncapped = sized.where(~F.col("is_capped")).select(
+        *kept, F.lit(None).cast("struct<place:bigint,term:string>").alias("cut")
     )
     return capped.unionByName(uncapped)
 

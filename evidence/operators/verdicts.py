@@ -170,7 +170,9 @@ def quant_check(specs: DataFrame, statistics: DataFrame) -> DataFrame:
         F.when(F.col("observed").isNull(), F.lit(0.0)).otherwise(F.lit(1.0)).alias("confidence"),
         F.when(F.col("observed").isNull(), F.lit("No data for this claim"))
         .otherwise(
-            F.format_string("%s of %s is %.4f, claim says %s %.4f", "agg", "column", "observed", "comparator", "expected")
+            F.format_string(
+                "%s of %s is %.4f, claim says %s %.4f", "agg", "column", F.round("observed", 4), "comparator", "expected"
+            )
         ).alias("explanation"),
         F.when(F.col("observed").isNull(), F.lit("No matching rows in dataset")).alias("error"),
     )
@@ -198,12 +200,12 @@ def parse_verdict_text(outputs: DataFrame, text: str = "output") -> DataFrame:
 
 def quantitative_result(claims: DataFrame, checks: DataFrame, method: str = "table_check") -> DataFrame:
     """Result rows of claims checked on data; ``checks`` has one row per claim."""
-    keys = [c for c in ("doc_id", "claim_id") if c in checks.columns]
+    keys = [c for c in ("doc_id", "claim_id") if c in checks.columns and c in claims.columns]
     uncited = (
         F.coalesce("originally_uncited", F.lit(False)) if "originally_uncited" in claims.columns else F.lit(False)
     )
     return claims.join(checks, keys).select(
-        "doc_id", "claim_id", "claim_type", uncited.alias("originally_uncited"), "validated",
+        *keys, "claim_type", uncited.alias("originally_uncited"), "validated",
         F.lit(method).alias("validation_method"), "passed", "confidence", "explanation",
         F.array("dataset").alias("sources_used"), F.col("error").alias("errors"),
     )

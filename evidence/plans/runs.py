@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence import constants as K
+from evidence.session import materialize
 from evidence.operators import chunking, claims as C, discovery as D, documents, fetch, reporting, retrieval, routing, verdicts
 
 
@@ -88,11 +89,17 @@ def validate(
     ``attempts`` and ``texts(doc_id, citation_id, source_text)`` are what was
     fetched for each citation; ``checks`` are outcomes of ``quant_check`` for
     claims with a dataset; ``found_sources`` are datasets found for uncited claims.
+    With ``store`` the claims and the model's answers are written once and read
+    by every branch, so no claim is scored twice.
     """
-    routed = routing.route_claims(claims)
-    scored = routing.plausibility(
-        routing.factcheck_outcome(routing.factcheck_lookup(routed.where(F.col("citation_id").isNull()), reviews)),
-        plausibility_model,
+    keep = materialize if store else (lambda df, name: df)
+    routed = keep(routing.route_claims(claims), "routed")
+    scored = keep(
+        routing.plausibility(
+            routing.factcheck_outcome(routing.factcheck_lookup(routed.where(F.col("citation_id").isNull()), reviews)),
+            plausibility_model,
+        ),
+        "scored",
     )
     qual_uncited = routing.combine_uncited(scored.where(F.col("claim_type") == "qualitative"))
     with_data, quant_direct = routing.triage_quant_uncited(
@@ -100,8 +107,8 @@ def validate(
     )
     promoted = routing.promote_found_source(with_data).select(*claims.columns, "found_source", "originally_uncited")
     cited = routed.where(F.col("citation_id").isNotNull())
-    sourced = routing.split_backing(
-        routing.union_quant_cited(promoted, cited.select(*claims.columns))
+    sourced = keep(
+        routing.split_backing(routing.union_quant_cited(promoted, cited.select(*claims.columns))), "sourced"
     )
 
     outcome = fetch.first_success(attempts)
