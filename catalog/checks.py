@@ -231,10 +231,10 @@ def results(i):
     """Results of all claims: pass and confidence follow from length and class."""
     n = F.length("text")
     return routed(i).select(
-        "doc_id", "claim_id", "result_class", (n % 3 != 0).alias("passed"), ((n % 100) / F.lit(100.0)).alias("confidence"))
+        "doc_id", "claim_id", "result_class", (n % 3 != 0).alias("passed"), ((n % 97) / F.lit(97.0)).alias("confidence"))
 
 
-CTES["results"] = (("claims",), "SELECT doc_id, claim_id, result_class, length(text) % 3 <> 0 AS passed, (length(text) % 100) / 100.0::DOUBLE AS confidence FROM claims")
+CTES["results"] = (("claims",), "SELECT doc_id, claim_id, result_class, length(text) % 3 <> 0 AS passed, (length(text) % 97) / 97.0::DOUBLE AS confidence FROM claims")
 
 
 def calls(i):

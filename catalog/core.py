@@ -224,7 +224,7 @@ FROM entries GROUP BY ALL""",
     "raw_claims": (
         ("sections",),
         f"""SELECT doc_id, concat('claim_0_', i) AS claim_id, cast(i AS bigint) AS seq, text,
- CASE WHEN regexp_matches(text, {lit(D)}) THEN 'quantitative' ELSE 'qualitative' END AS claim_type, {marker('text')} AS citation_text
+ CASE WHEN regexp_matches(regexp_replace(text, {lit(K.NUMERIC_MARKER + '|' + K.AUTHOR_MARKER)}, '', 'g'), {lit(D)}) THEN 'quantitative' ELSE 'qualitative' END AS claim_type, {marker('text')} AS citation_text
 FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter({sentences('body')}, lambda x: {strip('x')} <> '') AS l FROM sections))""",
     ),
     "claims": (

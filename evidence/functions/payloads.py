@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidence import constants as K
+from evidence.functions.text import is_json
 
 _XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 _XLS = "application/vnd.ms-excel"
@@ -70,7 +71,7 @@ def tabular_format(url: Column, content_type: Column, content: Column) -> Column
         .when(F.contains(u, F.lit(".xlsx")), found("xlsx", _XLSX))
         .when(F.contains(u, F.lit(".xls")), found("xls", _XLS))
         .when(
-            (text.startswith("{") | text.startswith("[")) & F.try_parse_json(utf8).isNotNull(),
+            (text.startswith("{") | text.startswith("[")) & is_json(utf8),
             found("json", "application/json (sniffed)"),
         )
         .when(head_ok & F.contains(first_line, F.lit(",")), found("csv", "text/csv (sniffed)"))

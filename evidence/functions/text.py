@@ -78,3 +78,14 @@ def word_keys(c: Column) -> Column:
 def bind(value: Column, use) -> Column:
     """Evaluate ``value`` once per row and hand it to ``use``."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parser stops after the first value, so the text is tried inside an
+    array and inside an object: what follows a value would have to fit both.
+    """
+    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.coalesce((F.size(in_array) == 1) & in_object.isNotNull(), F.lit(False))

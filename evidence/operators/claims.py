@@ -35,8 +35,12 @@ def _with_ids(claims: DataFrame) -> DataFrame:
 
 
 def extract_claims(chunks: DataFrame) -> DataFrame:
-    """Rule baseline: every sentence of a chunk is a claim, quantitative when it holds a digit."""
+    """Rule baseline: every sentence of a chunk is a claim, quantitative when it holds a digit.
+
+    Digits of citation markers do not count.
+    """
     text = F.col("text")
+    unmarked = F.regexp_replace(text, f"{K.NUMERIC_MARKER}|{K.AUTHOR_MARKER}", "")
     return _with_ids(
         chunks.select(
             "doc_id",
@@ -45,7 +49,7 @@ def extract_claims(chunks: DataFrame) -> DataFrame:
             F.posexplode(F.filter(sentences(text), lambda s: strip(s) != "")).alias("idx", "text"),
         ).select(
             "doc_id", "chunk_id", "idx", "hint", "text",
-            F.when(text.rlike(K.DIGIT), F.lit("quantitative")).otherwise(F.lit("qualitative")).alias("claim_type"),
+            F.when(unmarked.rlike(K.DIGIT), F.lit("quantitative")).otherwise(F.lit("qualitative")).alias("claim_type"),
             C.first_marker(text).alias("citation_text"),
             F.lit(False).alias("is_original"),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence import constants as K
-from evidence.functions.text import strip
+from evidence.functions.text import is_json, strip
 from evidence.operators.hook import score
 
 EMPTY = "array<string>"
@@ -182,9 +182,8 @@ def parse_verdict_text(outputs: DataFrame, text: str = "output") -> DataFrame:
     """Verdicts printed among other output: the text from the first ``{`` to the last ``}``."""
     raw = strip(F.col(text))
     body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(body, "passed boolean, confidence double, explanation string, _corrupt_record string",
-                         {"columnNameOfCorruptRecord": "_corrupt_record"})
-    ok = (body != "") & F.try_parse_json(body).isNotNull()
+    parsed = F.from_json(body, "passed boolean, confidence double, explanation string")
+    ok = (body != "") & is_json(body)
     problem = F.when(~F.contains(raw, F.lit("{")), F.lit("No JSON output found")).otherwise(F.lit("Invalid JSON"))
     return outputs.withColumn("_p", parsed).withColumn("validated", F.coalesce(ok, F.lit(False))).select(
         *[F.col(c) for c in outputs.columns if c != text],
