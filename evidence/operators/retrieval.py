@@ -24,6 +24,7 @@ from evidence.operators.ranking import top_k
 from evidence.session import by_key, materialize
 
 PAIR = ["claim_key", "source_key"]
+NEAR = "array<struct<place:bigint,term:string,no:int>>"
 
 
 @lru_cache(maxsize=1)
@@ -59,19 +60,19 @@ def term_freq(texts: DataFrame, keys: list[str], text: str, stop_words: tuple[st
 class SourceIndex:
     """Chunks of all sources and their term counts.
 
-    ``postings`` has one row per source, chunk and term, with the term's total
-    count ``c`` and chunk count ``df`` in its source.
+    ``postings`` has one row per source, chunk and term; ``lexicon`` one per
+    source and term. Both carry the term's total count ``c``, chunk count ``df``
+    and place ``no`` (by count, then term) in its source.
     """
 
     chunks: DataFrame
     postings: DataFrame
-
-    def lexicon(self) -> DataFrame:
-        return self.postings.groupBy("source_key", "term").agg(F.first("c").alias("c"), F.first("df").alias("df"))
+    lexicon: DataFrame
+    stored: bool
 
     def sizes(self) -> DataFrame:
         chunks = self.chunks.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_chunks"))
-        terms = self.lexicon().groupBy("source_key").agg(F.count(F.lit(1)).alias("n_terms"))
+        terms = self.lexicon.groupBy("source_key").agg(F.max("no").alias("n_terms"))
         return chunks.join(terms, "source_key", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
 
 
@@ -82,7 +83,7 @@ def index_sources(
 
     One shuffle on the source carries all of it: term counts, totals and chunk
     counts are local to a source, and a source is one text, so it cannot
-    outgrow a task. With ``store`` both tables are written to the shared folder.
+    outgrow a task. With ``store`` the tables are written to the shared folder.
     """
     chunks = chunk_by_chars(sources, "source_text", "source_key")
     if store:
@@ -94,10 +95,14 @@ def index_sources(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     same_term = W.partitionBy("source_key", "term")
-    postings = tf.withColumns({"c": F.sum("tf").over(same_term), "df": F.count(F.lit(1)).over(same_term)})
+    by_count = W.partitionBy("source_key").orderBy(F.col("c").desc(), F.col("term"))
+    postings = tf.withColumns(
+        {"c": F.sum("tf").over(same_term), "df": F.count(F.lit(1)).over(same_term)}
+    ).withColumn("no", F.dense_rank().over(by_count))
     if store:
         postings = materialize(postings, "postings")
-    return SourceIndex(chunks, postings)
+    lexicon = postings.groupBy("source_key", "term").agg(*[F.first(x).alias(x) for x in ("c", "df", "no")])
+    return SourceIndex(chunks, postings, materialize(lexicon, "lexicon") if store else lexicon, store)
 
 
 def _idf(n_chunks: Column, df: Column) -> Column:
@@ -107,7 +112,7 @@ def _idf(n_chunks: Column, df: Column) -> Column:
 
 def pair_terms(pairs: DataFrame, claims: DataFrame, index: SourceIndex, stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """All terms of the fit of each pair: ``total`` occurrences and ``df`` texts holding the term."""
-    of_source = pairs.join(index.lexicon(), "source_key").select(*PAIR, "term", F.col("c").alias("total"), "df")
+    of_source = pairs.join(index.lexicon, "source_key").select(*PAIR, "term", F.col("c").alias("total"), "df")
     of_claim = (
         pairs.join(term_freq(claims, ["claim_key"], "claim_text", stop_words), "claim_key")
         .select(*PAIR, "term", F.col("tf").alias("total"), F.lit(1).cast("bigint").alias("df"))
@@ -128,42 +133,61 @@ def idf_weight(vocabulary: DataFrame, index: SourceIndex) -> DataFrame:
 
 
 def _pair_rows(pairs: DataFrame, claims: DataFrame, index: SourceIndex, stop_words, size: int) -> DataFrame:
-    """One row per pair with the claim's terms, the size of the fit and the vocabulary cut.
+    """One row per pair: the claim's terms in the vocabulary and the ``last`` source place that is in it.
 
-    A vocabulary is fully described by its last term: ``cut`` holds that term's
-    (negated count, term), or null when everything fits.
+    ``last`` is null when every term fits. Otherwise the claim can only move
+    the border by as many places as it has terms, so just the source terms that
+    close to the border are looked at.
     """
     counted = term_freq(claims, ["claim_key"], "claim_text", stop_words)
-    known = pairs.join(counted, "claim_key").join(index.lexicon(), ["source_key", "term"], "left")
+    lexicon = index.lexicon
+    known = pairs.join(counted, "claim_key").join(lexicon, ["source_key", "term"], "left")
     c, df = F.coalesce("c", F.lit(0)), F.coalesce("df", F.lit(0))
-    claim_terms = known.groupBy(*PAIR).agg(
-        F.collect_list(
-            F.struct("term", F.col("tf").alias("q"), c.alias("c"), df.alias("df"), (-(c + F.col("tf"))).alias("place"))
-        ).alias("terms"),
-        F.collect_list("term").alias("own"),
-        F.count_if(F.col("c").isNull()).alias("n_new"),
-    )
-    # Totals that exceed the cap can only come from sources this large.
-    sized = claim_terms.join(index.sizes(), "source_key").withColumn(
-        "is_capped", F.col("n_terms") + F.col("n_new") > size
+    sized = (
+        known.groupBy(*PAIR)
+        .agg(
+            F.collect_list(F.struct("term", F.col("tf").alias("q"), c.alias("c"), df.alias("df"), "no")).alias("terms"),
+            F.collect_list("term").alias("own"),
+            F.count(F.lit(1)).alias("n_own"),
+            F.count_if(F.col("c").isNull()).alias("n_new"),
+        )
+        .join(index.sizes(), "source_key")
+        .withColumn("is_capped", F.col("n_terms") + F.col("n_new") > size)
+        .withColumn("border", F.greatest(F.lit(size) - F.col("n_own"), F.lit(0)))
     )
-    top = (
-        top_k(index.lexicon(), ["source_key"], [F.col("c").desc(), F.col("term")], size, "_place")
-        .groupBy("source_key")
-        .agg(F.collect_list(F.struct((-F.col("c")).alias("place"), F.col("term").alias("term"))).alias("top"))
+    if index.stored:
+        sized = materialize(sized, "pairs")
+    capped = sized.where("is_capped")
+    near = (
+        capped.select(*PAIR, "own", "border")
+        .join(lexicon.where(F.col("no") <= size).select("source_key", "term", "c", "no"), "source_key")
+        .where((F.col("no") > F.col("border")) & ~F.array_contains("own", F.col("term")))
+        .groupBy(*PAIR)
+        .agg(F.collect_list(F.struct((-F.col("c")).alias("place"), "term", "no")).alias("near"))
     )
-    merged = F.concat(
-        F.filter("top", lambda x: ~F.array_contains(F.col("own"), x["term"])),
-        F.transform("terms", lambda t: F.struct(t["place"].alias("place"), t["term"].alias("term"))),
+    own = F.transform(
+        "terms",
+        lambda t: F.struct((-(t["c"] + t["q"])).alias("place"), t["term"].alias("term"), F.lit(0).alias("no")),
     )
+    before = F.size(F.filter("terms", lambda t: t["no"] <= F.col("border")))
+    ordered = F.array_sort(F.concat(F.coalesce("near", F.array().cast(NEAR)), own))
     # Exploding the one value keeps the optimizer from copying its sort into every later use.
-    cut = F.explode(F.array(F.element_at(F.array_sort(merged), size)))
-    kept = [*PAIR, "terms", "n_chunks"]
-    capped = sized.where("is_capped").join(top, "source_key").select(*kept, cut.alias("cut"))
-    uncapped = sized.where(~F.col("is_capped")).select(
-        *kept, F.lit(None).cast("struct<place:bigint,term:string>").alias("cut")
+    inside = F.explode(F.array(F.slice(ordered, F.lit(1), (F.lit(size) - (F.col("border") - before)).cast("int"))))
+    cut = (
+        capped.join(near, PAIR, "left")
+        .select(*PAIR, "terms", "n_chunks", "border", inside.alias("inside"))
+        .select(
+            *PAIR,
+            bind(
+                F.transform("inside", lambda x: x["term"]),
+                lambda kept: F.filter("terms", lambda t: F.array_contains(kept, t["term"])),
+            ).alias("terms"),
+            "n_chunks",
+            F.greatest(F.col("border"), F.array_max(F.transform("inside", lambda x: x["no"]))).alias("last"),
+        )
     )
-    return capped.unionByName(uncapped)
+    uncut = sized.where(~F.col("is_capped")).select(*PAIR, "terms", "n_chunks", F.lit(None).cast("bigint").alias("last"))
+    return cut.unionByName(uncut)
 
 
 def _chunk_lengths(index: SourceIndex) -> DataFrame:
@@ -173,12 +197,7 @@ def _chunk_lengths(index: SourceIndex) -> DataFrame:
     return (
         index.postings.join(n_chunks, "source_key")
         .groupBy("source_key", "chunk_no")
-        .agg(
-            F.sum(weight).alias("length2"),
-            F.collect_list(
-                F.struct((-F.col("c")).alias("place"), F.col("term").alias("term"), weight.alias("w2"))
-            ).alias("chunk_terms"),
-        )
+        .agg(F.sum(weight).alias("length2"), F.collect_list(F.struct("no", weight.alias("w2"))).alias("chunk_terms"))
     )
 
 
@@ -187,41 +206,31 @@ def similarity(
     stop_words: tuple[str, ...] | None = None, vocabulary: int = K.VOCABULARY_SIZE,
 ) -> DataFrame:
     """Cosine of every claim/chunk pair that shares a term: ``claim_key, source_key, chunk_no, score``."""
-    rows = _pair_rows(pairs, claims, index, stop_words, vocabulary)
-
-    def inside(place: Column, term: Column, cut: Column) -> Column:
-        return cut.isNull() | (F.struct(place.alias("place"), term.alias("term")) <= cut)
-
-    weighted = rows.withColumn(
-        "terms",
-        F.transform(
-            F.filter("terms", lambda t: inside(t["place"], t["term"], F.col("cut"))),
-            lambda t: t.withField("idf", _idf(F.col("n_chunks"), t["df"] + 1)),
-        ),
+    weighted = _pair_rows(pairs, claims, index, stop_words, vocabulary).withColumn(
+        "terms", F.transform("terms", lambda t: t.withField("idf", _idf(F.col("n_chunks"), t["df"] + 1)))
     ).withColumn(
         "claim_length",
         F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.pow(t["q"] * t["idf"], F.lit(2.0)))),
     )
-    wanted = weighted.select(*PAIR, "n_chunks", "cut", "claim_length", F.explode("terms").alias("_term")).select(
-        *PAIR, "n_chunks", "cut", "claim_length", "_term.term", "_term.q", "_term.c", "_term.df", "_term.idf"
+    shared = ["n_chunks", "last", "claim_length"]
+    wanted = weighted.select(*PAIR, *shared, F.explode("terms").alias("_term")).select(
+        *PAIR, *shared, "_term.term", "_term.q", "_term.df", "_term.idf", "_term.no"
     ).where(F.col("df") > 0)
     hits = wanted.join(index.postings.select("source_key", "chunk_no", "term", "tf"), ["source_key", "term"])
     own = F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))
     as_counted = F.when(
-        inside(-F.col("c"), F.col("term"), F.col("cut")),
+        F.col("last").isNull() | (F.col("no") <= F.col("last")),
         F.pow(F.col("tf") * _idf(F.col("n_chunks"), F.col("df")), F.lit(2.0)),
     ).otherwise(F.lit(0.0))
     sums = hits.groupBy(*PAIR, "chunk_no").agg(
         F.sum(F.col("tf") * F.col("idf") * F.col("q") * F.col("idf")).alias("dot"),
         F.sum(own - as_counted).alias("correction"),
         F.first("claim_length").alias("claim_length"),
-        F.first("cut").alias("cut"),
+        F.first("last").alias("last"),
     )
-    counted = F.when(F.col("cut").isNull(), F.col("length2")).otherwise(
+    counted = F.when(F.col("last").isNull(), F.col("length2")).otherwise(
         F.aggregate(
-            F.filter("chunk_terms", lambda x: inside(x["place"], x["term"], F.col("cut"))),
-            F.lit(0.0),
-            lambda a, x: a + x["w2"],
+            F.filter("chunk_terms", lambda x: x["no"] <= F.col("last")), F.lit(0.0), lambda a, x: a + x["w2"]
         )
     )
     return (
