@@ -616,7 +616,7 @@ FROM batches b LEFT JOIN (SELECT doc_id, citation_id, count(*) AS n FROM made GR
         ),
     ),
     "manifest_current": (
-        lambda i: reporting.manifest_current(manifest_events(i)),
+        lambda i: reporting.manifest_current(manifest_events(i), F.floor(F.col("seq") / 20)),
         oracle("@", "attempts").replace(" @", MANIFEST_SQL),
     ),
     "run_layout": (

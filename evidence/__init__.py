@@ -1,5 +1,5 @@
 """Claim and citation checking over corpora of papers, expressed as Spark DataFrame jobs."""
 
-from evidence.session import build_session, scratch_dir
+from evidence.session import build_session, configure, scratch_dir
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["build_session", "configure", "scratch_dir"]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from evidence import constants as K
 from evidence.functions.text import contains_any, strip
 
+SEQ_BUCKET = 100_000
+
 
 def _classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c) for i, c in enumerate(K.RESULT_CLASSES)], "step int, result_class string")
@@ -126,31 +128,61 @@ def transient_error(errors: DataFrame, message: str = "error") -> DataFrame:
     )
 
 
-def manifest_current(events: DataFrame) -> DataFrame:
+def manifest_current(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Appended manifest records with the deletion that belongs to each.
 
     ``events``: ``doc_id, citation_id, seq, kind ('append' or 'delete'), at``. A
     deletion stamps the newest record of its citation that is not yet deleted;
     with none left it does nothing. Records and deletions pair up like brackets:
     the deletion of a record is the next event on the record's own level.
+
+    Levels and pairs are found inside buckets of ``seq`` and carried over from
+    bucket to bucket, so the history of one citation is not one task's work.
+    ``bucket`` must not decrease with ``seq``.
     """
     keys = ["doc_id", "citation_id"]
-    history = W.partitionBy(*keys).orderBy("seq")
+    in_bucket = W.partitionBy(*keys, "bucket").orderBy("seq")
+    earlier = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     step = F.when(F.col("kind") == "append", F.lit(1)).otherwise(F.lit(-1))
+
+    local = events.withColumn("bucket", F.floor(F.col("seq") / SEQ_BUCKET) if bucket is None else bucket).withColumn(
+        "run", F.sum(step).over(in_bucket)
+    )
+    sums = (
+        local.groupBy(*keys, "bucket")
+        .agg(F.max_by("run", "seq").alias("net"), F.min("run").alias("low"))
+        .withColumn("start", F.coalesce(F.sum("net").over(earlier), F.lit(0)))
+        .withColumn("low_before", F.least(F.lit(0), F.min(F.col("start") + F.col("low")).over(earlier)))
+        .select(*keys, "bucket", "start", "low_before")
+    )
+    lowest = F.min("run").over(in_bucket.rowsBetween(W.unboundedPreceding, -1))
     leveled = (
-        events.withColumn("balance", F.sum(step).over(history))
-        .withColumn("floor", F.least(F.lit(0), F.min("balance").over(history)))
-        .withColumn("after", F.col("balance") - F.col("floor"))
-        .withColumn("before", F.col("after") - step)
-        .withColumn("wasted", (F.col("kind") == "delete") & (F.lag("after", 1, 0).over(history) == 0))
-        .where(~F.col("wasted"))
-        .withColumn("level", F.when(F.col("kind") == "append", F.col("after")).otherwise(F.col("before")))
-    )
-    same_level = W.partitionBy(*keys, "level").orderBy("seq")
+        local.withColumn("lowest", lowest)
+        .join(sums, [*keys, "bucket"])
+        .withColumn("balance", F.col("start") + F.col("run"))
+        .withColumn("floor", F.least("low_before", F.col("start") + F.col("lowest")))
+        # A deletion that falls below everything before it finds no record.
+        .where((F.col("kind") == "append") | (F.col("balance") >= F.col("floor")))
+        .withColumn("level", F.col("balance") - F.col("floor") + F.when(F.col("kind") == "append", 0).otherwise(1))
+    )
+
+    event = F.struct("kind", "at")
+    on_level = W.partitionBy(*keys, "level", "bucket").orderBy("seq")
+    firsts = (
+        leveled.groupBy(*keys, "level", "bucket")
+        .agg(F.min_by(event, "seq").alias("first"))
+        .withColumn("carried", F.lead("first").over(W.partitionBy(*keys, "level").orderBy("bucket")))
+        .drop("first")
+    )
+    following = F.coalesce(F.col("following"), F.col("carried"))
     return (
-        leveled.withColumn("deleted_at", F.when(F.lead("kind").over(same_level) == "delete", F.lead("at").over(same_level)))
+        leveled.withColumn("following", F.lead(event).over(on_level))
         .where(F.col("kind") == "append")
-        .select(*keys, "seq", F.col("at").alias("appended_at"), "deleted_at")
+        .join(firsts, [*keys, "level", "bucket"])
+        .select(
+            *keys, "seq", F.col("at").alias("appended_at"),
+            F.when(following["kind"] == "delete", following["at"]).alias("deleted_at"),
+        )
     )
 
 

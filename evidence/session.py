@@ -8,19 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # Spark 4.1 may skip a shuffle above a union of co-partitioned inputs; together with
+    # exchange reuse that duplicates rows (tests/test_operators.py has a case).
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings results depend on to a session made elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "evidence", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; cluster settings are left alone."""
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    for key, value in {**SETTINGS, **conf}.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
