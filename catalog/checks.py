@@ -67,7 +67,7 @@ def all_pairs(i):
     docs = i.table("documents")
     return pairs(i).unionByName(
         docs.select((F.col("doc_id") % 40).alias("claim_key"), (-F.col("doc_id") - 1).alias("source_key"))
-    ).unionByName(docs.select(F.lit(-1).cast("bigint").alias("claim_key"), (-F.col("doc_id") - 1).alias("source_key")))
+    ).unionByName(docs.select(F.least(F.col("doc_id"), F.lit(-1)).alias("claim_key"), (-F.col("doc_id") - 1).alias("source_key")))
 
 
 def all_claims(i):

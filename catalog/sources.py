@@ -16,8 +16,8 @@ def words(x: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({x}), {lit(K.WORD + '{2,}')}))"
 
 
-def catalog_hits(i: Inputs, k: int = K.CATALOG_TOP_K):
-    return D.catalog_search(i.view("data_claims"), i.view("dataset_catalog"), k, hot_items=100)
+def catalog_hits(i: Inputs):
+    return D.catalog_search(i.view("data_claims"), i.view("dataset_catalog"), hot_items=100)
 
 
 def pick_resource(i):

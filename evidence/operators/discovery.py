@@ -12,13 +12,14 @@ from evidence import constants as K
 from evidence.functions.text import bind, contains_any, ends_with_any, head, not_empty, squeeze, word_keys
 from evidence.operators.hook import score
 from evidence.operators.ranking import nest_parts, rank_in_groups, top_k
+from evidence.session import materialize
 
 HOT_TOKEN_ITEMS = 1000
 
 
 def overlap_topk(
     queries: DataFrame, items: DataFrame, query_key: list[str], item_key: str, k: int,
-    hot_items: int = HOT_TOKEN_ITEMS,
+    hot_items: int = HOT_TOKEN_ITEMS, store: bool = True,
 ) -> DataFrame:
     """The ``k`` items sharing most distinct words with each query (ties: smaller item key).
 
@@ -31,28 +32,34 @@ def overlap_topk(
     * an item sharing hot words only is matched through the set of hot words it
       holds. Of the items with one such set, only the ``k`` smallest keys can be
       among the best ``k``, so each set carries no more than those.
+
+    With ``store`` the word sets of both sides are written once to the shared
+    folder instead of being built anew in every branch.
     """
+    keep = materialize if store else (lambda df, name: df)
     words = items.select(item_key, F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg((F.count(F.lit(1)) > hot_items).alias("is_hot"))
-    graded = words.join(frequency, "word")
-    sets = graded.groupBy(item_key).agg(
-        F.sort_array(F.collect_set(F.when(F.col("is_hot"), F.col("word")))).alias("hot_set")
+    frequency = keep(words.groupBy("word").agg((F.count(F.lit(1)) > hot_items).alias("is_hot")), "frequency")
+    graded = words.join(frequency, "word").groupBy(item_key).agg(
+        F.sort_array(F.collect_set(F.when(F.col("is_hot"), F.col("word")))).alias("hot_set"),
+        F.collect_set(F.when(~F.col("is_hot"), F.col("word"))).alias("rare_words"),
     )
+    sets = keep(graded, "sets")
 
     # Distinct profiles get a compact exact id: the smallest query that has the profile.
-    profiles = (
+    profiles = keep(
         queries.select(*query_key, F.explode("words").alias("word"))
         .join(frequency, "word")
         .groupBy(*query_key)
-        .agg(F.sort_array(F.collect_set(F.struct("word", "is_hot"))).alias("profile"))
+        .agg(F.sort_array(F.collect_set(F.struct("word", "is_hot"))).alias("profile")),
+        "profiles",
     )
-    distinct = profiles.groupBy("profile").agg(F.min(F.struct(*query_key)).alias("pid"))
+    distinct = keep(profiles.groupBy("profile").agg(F.min(F.struct(*query_key)).alias("pid")), "distinct")
     hot_part = F.transform(F.filter("profile", lambda x: x["is_hot"]), lambda x: x["word"])
     profile_words = distinct.select("pid", hot_part.alias("own_hot"), F.explode("profile").alias("_p")).select(
         "pid", "own_hot", "_p.word", "_p.is_hot"
     )
 
-    rare = graded.where(~F.col("is_hot")).select("word", item_key).join(sets, item_key)
+    rare = sets.select(item_key, "hot_set", F.explode("rare_words").alias("word"))
     by_rare = (
         profile_words.where(~F.col("is_hot"))
         .join(rare, "word")
@@ -61,7 +68,7 @@ def overlap_topk(
         .agg((F.count(F.lit(1)) + F.max("hot_overlap")).alias("overlap"))
     )
 
-    hot_sets = sets.where(F.size("hot_set") > 0)
+    hot_sets = sets.where(F.size("hot_set") > 0).select(item_key, "hot_set")
     named = hot_sets.groupBy("hot_set").agg(F.min(item_key).alias("set_id"))
     carriers = top_k(hot_sets, ["hot_set"], [F.col(item_key)], k, "_carrier").join(named, "hot_set").select(
         "set_id", item_key
