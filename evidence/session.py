@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Spark 4.1 may skip a shuffle above a union of co-partitioned inputs; together with
-    # exchange reuse that duplicates rows (tests/test_operators.py has a case).
+    # exchange reuse that duplicated rows of the registered ``manifest_current`` query.
     "spark.sql.unionOutputPartitioning": "false",
 }
 

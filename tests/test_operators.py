@@ -131,7 +131,7 @@ def test_manifest_buckets_do_not_matter(spark):
 
 
 def test_union_of_copartitioned_inputs(spark):
-    """Fails without the setting in ``evidence.session.SETTINGS``: rows come out twice."""
+    """A union of inputs that share a partitioning must not multiply rows."""
     base = spark.range(4000).selectExpr("id % 50 AS doc_id", "cast(id % 3 AS string) AS citation_id", "id AS at")
     numbered = base.selectExpr("*", "row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY at) AS n")
     add = numbered.selectExpr("doc_id", "citation_id", "n * 10L AS seq", "'append' AS kind", "at")
