@@ -1,10 +1,5 @@
 """Retrieval, verdicts and reports."""
 
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import functions as F
 
 from catalog.claims import citations, mapped, routed
@@ -18,13 +13,6 @@ from evidence.session import materialize
 GRAM = 4
 
 
-def stop_words() -> list[str]:
-    """The list Spark ships, read from its own jar, so that the SQL can name it without a session."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def pairs(i: Inputs):
     """Every document with one benchmark item, and every document that contains an item.
 
@@ -283,7 +271,7 @@ def validated(i):
 
 # ---- the checking side ----
 
-_STOP = ", ".join(lit(w) for w in stop_words())
+_STOP = ", ".join(lit(w) for w in K.STOP_WORDS)
 _UNI = f"list_filter(regexp_extract_all(lower({{x}}), {lit(K.WORD.replace('{', '{{').replace('}', '}}') + '{{2,}}')}), lambda w: w NOT IN ({_STOP}))"
 _SPLIT = "list_concat(u, list_transform(range(1, greatest(len(u), 1)), lambda k: u[k] || ' ' || u[k + 1]))"
 

@@ -10,9 +10,7 @@ claim's terms.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,10 +25,9 @@ PAIR = ["claim_key", "source_key"]
 NEAR = "array<struct<place:bigint,term:string,no:int>>"
 
 
-@lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
     """Spark's English list; every function here takes another list as well."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return K.STOP_WORDS
 
 
 def terms_of(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:

@@ -86,3 +86,11 @@ def test_ground_with_model(spark):
     s = spark.createDataFrame([(1, "Blue whales sing. Songs carry far.")], "source_key bigint, source_text string")
     got = {r.claim_key: (r.outcome, r.passed, r.confidence) for r in runs.ground(p, c, s, model).collect()}
     assert got == {1: ("evidence", True, 0.9), 2: ("nothing_relevant", False, 0.0)}
+
+
+def test_stop_words_are_spark_s_own(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from evidence import constants as K
+
+    assert list(K.STOP_WORDS) == StopWordsRemover.loadDefaultStopWords("english")
