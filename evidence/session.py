@@ -39,11 +39,18 @@ def build_session(app: str = "evidence", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
+    """A fresh path under the folder the cluster shares.
 
-    Only where that setting is absent (tests, one machine) is a local folder used.
+    That is ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``.
+    Where neither is set a session on one machine gets a folder of its own; on a
+    cluster an error is raised, because executors do not see each other's disks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidence-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="evidence-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
