@@ -5,13 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.llm import exact_dedup, simhash
+import public_tokenizers
+
+from evidence.llm import exact_dedup, mixing, pieces, simhash, token_counts, url_filters
+from evidence.session import scratch_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
+
+
+def op1_url_filters(spark, folder):
+    rules = spark.sql(f"SELECT * FROM ({URL_RULES}) AS r(host, path, verdict)")
+    return url_filters.judge_urls(table(spark, folder, "pages"), rules)
+
+
+OP1_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT DISTINCT host, path FROM p),
+f AS (SELECT k.host, k.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+ FROM k JOIN ({URL_RULES}) AS r(host, path, verdict) ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+ GROUP BY k.host, k.path)
+SELECT p.*, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (host, path)"""
+
+
+def op3_sentencepiece(spark, folder):
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.round_trip(table(spark, folder, "documents"), model)
+
+
+def op4_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("row.*", F.col("copy_no").cast("bigint").alias("copy_no"), F.col("n_copies").cast("bigint").alias("n_copies"), "shuffle_key")
+
+
+OP4_SQL = """
+WITH s AS (SELECT source, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY source),
+w AS (SELECT source, size, sqrt(size) AS weight FROM s),
+r AS (SELECT source, (SELECT sum(size) FROM w) * (weight / (SELECT sum(weight) FROM w)) / size AS rate FROM w),
+p AS (SELECT source, greatest(1, ceil(rate / 32.0))::BIGINT AS parts, rate / greatest(1, ceil(rate / 32.0)) AS mean FROM r),
+terms AS (SELECT source, k, exp(-mean) * pow(mean, k) / gamma(k + 1) AS term FROM p, range(150) AS x(k)),
+cdf AS (SELECT source, list(total ORDER BY k) AS cdf FROM (SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS total FROM terms) GROUP BY source),
+d AS (SELECT documents.*, coalesce(doc_id::VARCHAR, sha256(coalesce(text, ''))) AS own, parts, cdf
+ FROM documents JOIN p ON documents.source IS NOT DISTINCT FROM p.source JOIN cdf ON documents.source IS NOT DISTINCT FROM cdf.source),
+n AS (SELECT *, list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda c: c <
+ (('0x' || substr(md5('mix:' || own || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))))::BIGINT AS n_copies FROM d)
+SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
+ ('0x' || substr(md5('mix:copy:' || own || ':' || copy_no), 1, 15))::BIGINT AS shuffle_key
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM n)"""
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -26,7 +74,17 @@ def op9_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_token_counts(spark, folder):
+    # A cache of its own: what other runs have counted does not shorten this one.
+    return token_counts.count_tokens(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_dir(spark, "token-cache"))
+
+
 QUERIES = {
+    "op1_url_filters": (op1_url_filters, OP1_SQL),
+    "op3_sentencepiece": (op3_sentencepiece, None),
+    "op4_mixing": (op4_mixing, OP4_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
 }
