@@ -65,3 +65,54 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
 def unsigned(values) -> np.ndarray:
     """Spark's signed longs as unsigned ones, bit by bit."""
     return np.asarray(values, dtype=np.int64).view(np.uint64)
+
+
+def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """The texts of a batch in UTF-8, nulls as empty ones."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts as rows of ``size`` bytes, the last padded with zeros; an empty text has one row of zeros.
+
+    Also the first row of every text and the number of bytes in each row.
+    """
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    rows = np.maximum(1, -(-length // size))
+    first = np.cumsum(rows) - rows
+    flat = np.zeros(int(rows.sum()) * size, np.uint8)
+    for text, at in zip(texts, (first * size).tolist(), strict=True):
+        flat[at : at + len(text)] = np.frombuffer(text, np.uint8)
+    used = np.full(len(flat) // size, size, np.int64)
+    used[first + rows - 1] = length - (rows - 1) * size
+    return flat.reshape(-1, size), first, used
+
+
+def blocks(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in order, in lists of about ``most`` bytes; a longer text is a list of its own."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+class Adam:
+    """Adam steps over a dictionary of arrays."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.weights, self.rate, self.n = weights, rate, 0
+        self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.square = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        for k, g in grads.items():
+            self.mean[k] += 0.1 * (g - self.mean[k])
+            self.square[k] += 0.001 * (g * g - self.square[k])
+            mean, square = self.mean[k] / (1 - 0.9**self.n), self.square[k] / (1 - 0.999**self.n)
+            self.weights[k] -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(self.weights[k].dtype)

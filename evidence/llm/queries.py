@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evidence.llm import exact_dedup, mixing, pieces, simhash, token_counts, url_filters
+from evidence.llm import exact_dedup, langid, mixing, pieces, quality, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -34,6 +34,16 @@ f AS (SELECT k.host, k.path, arg_max(r.host || r.path, length(r.host || r.path))
 SELECT p.*, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (host, path)"""
 
 
+def crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(crc_mod(5) != 0))
+    return langid.predict(docs, model).withColumn("held_out", crc_mod(5) == 0)
+
+
 def op3_sentencepiece(spark, folder):
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.round_trip(table(spark, folder, "documents"), model)
@@ -80,11 +90,19 @@ def op8_token_counts(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_dir(spark, "token-cache"))
 
 
+def op10_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels.where(crc_mod(3) != 1))
+    return quality.score(docs, model).withColumn("held_out", crc_mod(3) == 1)
+
+
 QUERIES = {
     "op1_url_filters": (op1_url_filters, OP1_SQL),
+    "op2_language": (op2_language, None),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_quality": (op10_quality, None),
 }
