@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evidence.llm import exact_dedup, langid, mixing, pieces, quality, simhash, token_counts, url_filters
+from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -70,6 +70,10 @@ SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM n)"""
 
 
+def op5_neighbours(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op2_language": (op2_language, None),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
+    "op5_neighbours": (op5_neighbours, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
