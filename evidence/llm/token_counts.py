@@ -24,6 +24,8 @@ LIMIT = 2048
 #: Characters encoded at a time, and words whose counts a task keeps.
 BLOCK_CHARS = 1 << 22
 KEPT_WORDS = 1 << 20
+#: Digests of repeated contents that are broadcast (32 bytes each) to spare other texts the shuffle.
+KNOWN_COPIES = 1 << 19
 
 
 def tokenizer_digest(definition: str, by_words: bool) -> str:
@@ -78,10 +80,11 @@ def _counting(definition: str, by_words: bool):
 def _encode_misses(rows: DataFrame, keys: DataFrame, cached: DataFrame, definition: str, by_words: bool) -> DataFrame | None:
     """``content`` and ``n_tokens`` of the contents of ``keys`` that ``cached`` lacks; None if there are none.
 
-    Which rows to encode is told by the smaller list, of hits or of misses, and
-    copies by the list of repeated misses. Spark broadcasts a stored list where
-    its size allows, so that texts stay where they were read, and shuffles
-    where not. Copies are combined on all of their text before they move.
+    Which rows to encode is told by the smaller list, of hits or of misses. Up
+    to ``KNOWN_COPIES`` repeated misses are listed too: only their texts move,
+    combined on their whole text, and all others are encoded where they were
+    read. With more repeats than a broadcast should hold, all misses are
+    combined so, in one shuffle of their texts.
     """
     counted = keys.groupBy("content").agg(F.count(F.lit(1)).alias("_n"))
     hits = counted.join(cached.select("content", F.lit(True).alias("_hit")), "content", "left")
@@ -96,10 +99,14 @@ def _encode_misses(rows: DataFrame, keys: DataFrame, cached: DataFrame, definiti
         list_ = materialize((known if by_hits else missing).select("content"), "asked")
         rows = rows.join(list_, "content", "left_anti" if by_hits else "left_semi")
     repeated = materialize(missing.where("_n > 1").select("content"), "repeated")
-    lone = rows.join(repeated, "content", "left_anti")
-    copies = rows.join(repeated, "content", "left_semi").groupBy("content", "_text").agg(F.lit(1).alias("_one")).drop("_one")
+    if repeated.count() <= KNOWN_COPIES:
+        listed = F.broadcast(repeated)
+        lone = rows.join(listed, "content", "left_anti")
+        once = lone.unionByName(rows.join(listed, "content", "left_semi").distinct())
+    else:
+        once = rows.distinct()
     counting = _counting(definition, by_words)
-    return lone.unionByName(copies).mapInArrow(counting, "content binary, n_tokens bigint")
+    return once.mapInArrow(counting, "content binary, n_tokens bigint")
 
 
 def count_tokens(

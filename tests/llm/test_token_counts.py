@@ -25,6 +25,15 @@ def test_counts_of_the_library(spark, documents, odd, none):
     assert T.count_tokens(none, PATH, cache).count() == 0
 
 
+def test_more_copies_than_are_listed(spark, odd, monkeypatch):
+    few = T.count_tokens(odd, PATH, scratch_dir(spark, "cache")).collect()
+    monkeypatch.setattr(T, "KNOWN_COPIES", 0)
+    cache = scratch_dir(spark, "cache")
+    assert sorted(map(str, T.count_tokens(odd, PATH, cache).collect())) == sorted(map(str, few))
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("content").distinct().count()
+
+
 def test_only_misses_are_encoded_and_appended(spark, odd, monkeypatch):
     cache = scratch_dir(spark, "cache")
     first = T.count_tokens(odd, PATH, cache)
