@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 
-from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, simhash, token_counts, url_filters
+import corpus_pipeline
+from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, sanitise, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -74,6 +75,10 @@ def op5_neighbours(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_personal_data(spark, folder):
+    return sanitise.find_personal_data(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -101,11 +106,13 @@ def op10_quality(spark, folder):
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_url_filters": (op1_url_filters, OP1_SQL),
     "op2_language": (op2_language, None),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
     "op5_neighbours": (op5_neighbours, None),
+    "op6_personal_data": (op6_personal_data, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
