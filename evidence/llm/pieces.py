@@ -33,7 +33,9 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 FAN = 64
 #: Words, and pairs of pieces, whose results a task keeps.
-KEPT = 1 << 20
+KEPT = 1 << 19
+#: Rows of a batch that are Python objects at a time.
+ROWS = 128
 LOW = -math.inf
 
 
@@ -43,8 +45,11 @@ class Pieces:
     def __init__(self, model: bytes):
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids, self.score, self.byte, self.out = {}, {}, [0] * 256, []
+        self.trie: dict = {}  # character -> [the piece that ends here or -1, next characters]
+        self.names: list[str] = []
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
+            self.names.append(piece)
             if library.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
                 self.out.append(bytes([int(piece[3:5], 16)]))
@@ -54,14 +59,32 @@ class Pieces:
                 self.ids[piece] = i
                 self.score[piece] = library.get_score(i)
                 self.out.append(piece.replace(SPACE, " ").encode())
+                here = self.trie
+                for c in piece:
+                    node = here.setdefault(c, [-1, {}])
+                    here = node[1]
+                node[0] = i
+        self.size = len(self.names)
+        self.weights = [self.score.get(x, 0.0) for x in self.names]
         self.longest = max(map(len, self.ids))
         self.words: dict[str, tuple[tuple[int, ...], float]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.chars: dict[str, int] = {}  # numbers of characters that are no pieces
         self.split = re.compile(f"{SPACE}+[^{SPACE}]*")
         probe = "One  more\ttest, été 12\n"
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) or library.encode(probe) != self.encode(probe):
             raise ValueError("only merge (BPE) models that keep white space and do not join words are supported")
 
+    def number(self, piece: str) -> int:
+        """The id of a piece, or a number beyond the ids for a character that is none."""
+        i = self.ids.get(piece)
+        if i is None:
+            i = self.chars.get(piece)
+            if i is None:
+                i = self.chars[piece] = len(self.names)
+                self.names.append(piece)
+        return i
+
     def merged(self, text: str) -> list[str]:
         """The model's pieces of a short text, by merging the best pair again and again."""
         parts = list(text)
@@ -75,16 +98,20 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether ``b`` may follow ``a``; with ``a`` empty, whether ``b`` may stand at all."""
-        key = (a, b)
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece ``b`` may follow ``a``; with ``a`` = -1, whether ``b`` may stand at all."""
+        key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > KEPT:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+            left = [self.names[a]] if a >= 0 else []
+            known = self.pairs[key] = self.merged("".join(left) + self.names[b]) == [*left, self.names[b]]
         return known
 
+    def fits(self, a: str, b: str) -> bool:
+        return self.follows(self.number(a) if a else -1, self.number(b))
+
     def weigh(self, piece: str) -> float:
         return self.score.get(piece, 0.0)
 
@@ -93,27 +120,40 @@ class Pieces:
         return (i,) if i is not None else tuple(self.byte[b] for b in piece.encode("utf-8", "surrogatepass"))
 
     def word(self, word: str) -> tuple[tuple[int, ...], float]:
-        """Ids and weight of the best path through a word, which no piece leaves."""
+        """Ids and weight of the best path through a word, which no piece leaves.
+
+        One path to each place has a finite weight, so the first piece found
+        to end it is the one.
+        """
         found = self.words.get(word)
         if found is not None:
             return found
-        n, reach = len(word), self.longest
-        last: list[str] = [""]  # the piece that ends the best path to each place; any other ends at minus infinity
-        weight = [0.0]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - reach), end):
-                piece = word[start:end]
-                if (end - start == 1 or piece in self.ids) and self.fits(last[start], piece):
-                    last.append(piece)
-                    weight.append(weight[start] + self.weigh(piece))
+        n, trie, known, follows = len(word), self.trie, self.pairs.get, self.follows
+        last, back = [-1] + [None] * n, [0] * (n + 1)
+        for start in range(n):
+            before, here, end = last[start], trie, start
+            shifted = (before + 1) << 32
+            for c in word[start : start + self.longest]:
+                node = here.get(c)
+                if node is None:
                     break
-        path, end = [], n
+                i, here = node
+                end += 1
+                if i >= 0 and last[end] is None:
+                    fits = known(shifted | i)
+                    if fits or (fits is None and follows(before, i)):
+                        last[end], back[end] = i, start
+            if last[start + 1] is None and follows(before, i := self.number(word[start])):
+                last[start + 1], back[start + 1] = i, start
+        path, weight, end, weights = [], 0.0, n, self.weights
         while end:
-            path.append(last[end])
-            end -= len(last[end])
+            i = last[end]
+            path.append((i,) if i < self.size else self.ids_of(self.names[i]))
+            weight += weights[i] if i < self.size else 0.0
+            end = back[end]
         if len(self.words) > KEPT:
             self.words.clear()
-        found = self.words[word] = (tuple(i for p in reversed(path) for i in self.ids_of(p)), weight[n])
+        found = self.words[word] = (tuple(i for ids in reversed(path) for i in ids), weight)
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -220,8 +260,8 @@ def _whole(model: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = pa.array([pieces.encode(t) for t in texts_of(part, "_text")], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_text"), ids], ["doc_id", "_text", "ids"])
 
@@ -356,8 +396,10 @@ def _decoding(model: bytes):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            texts = [pieces.decode(ids or []) for ids in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [pieces.decode(ids or []) for ids in part.column("_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
     return decode
 
