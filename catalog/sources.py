@@ -353,16 +353,22 @@ def _entities(x: str) -> str:
 
 
 _LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
-CTES["links"] = (
+def _link_list(blocks: str) -> str:
+    """Wanted links of each page by place, first of each address; ``blocks`` gives page_id, place and html of a block."""
+    return f"""SELECT page_id, url, min(i) AS i, arg_min(title, i) AS title, arg_min(context, i) AS context FROM (
+ SELECT page_id, unnest(u) AS url, {squeeze(_entities("regexp_replace(unnest(t), '(?s)<[^>]*>', ' ', 'g')"))} AS title, context, place * 1000000 + generate_subscripts(u, 1) AS i FROM (
+  SELECT page_id, place, regexp_extract_all(h, {lit(_LINK)}, 1) AS u, regexp_extract_all(h, {lit(_LINK)}, 2) AS t,
+   {squeeze(_entities("regexp_replace(h, '(?s)<[^>]*>', ' ', 'g')"))} AS context FROM ({blocks})))
+WHERE starts_with(url, 'http') AND length(title) >= 5 AND NOT contains(url, 'w3.org') GROUP BY page_id, url"""
+
+
+_BARE = f"SELECT page_id, {_without('html', K.LINK_BOILERPLATE)} AS h FROM link_pages"
+_CUT = lit(r"(?i)</?(?:" + "|".join(K.LINK_BLOCKS) + r")\b[^>]*>")
+CTES["links"] = (("link_pages",), _link_list(f"SELECT page_id, 0 AS place, h FROM ({_BARE})"))
+CTES["link_rows"] = (("links",), "SELECT page_id, url, title, row_number() OVER (PARTITION BY page_id ORDER BY i) AS link_no FROM links")
+CTES["block_links"] = (
     ("link_pages",),
-    f"""SELECT page_id, url, min(i) AS i, arg_min(title, i) AS title FROM (
- SELECT page_id, unnest(u) AS url, {squeeze(_entities("regexp_replace(unnest(t), '(?s)<[^>]*>', ' ', 'g')"))} AS title, generate_subscripts(u, 1) AS i FROM (
-  SELECT page_id, regexp_extract_all(h, {lit(_LINK)}, 1) AS u, regexp_extract_all(h, {lit(_LINK)}, 2) AS t FROM (SELECT page_id, {_without('html', K.LINK_BOILERPLATE)} AS h FROM link_pages)))
-WHERE starts_with(url, 'http') AND length(title) >= 5 AND NOT contains(url, 'w3.org') GROUP BY page_id, url""",
-)
-CTES["link_rows"] = (
-    ("links",),
-    "SELECT page_id, url, substr(title, 1, 120) AS title, row_number() OVER (PARTITION BY page_id ORDER BY i) AS link_no FROM links QUALIFY link_no <= 40",
+    _link_list(f"SELECT page_id, unnest(b) AS h, generate_subscripts(b, 1) AS place FROM (SELECT page_id, regexp_split_to_array(h, {_CUT}) AS b FROM ({_BARE}))"),
 )
 
 _COLON = "https?://([^/?#]*)"
@@ -537,7 +543,9 @@ FROM (SELECT page_id, ['onlinelibrary.wiley.com', 'example.com', 'WWW.NATURE.COM
         oracle("SELECT page_id, url, title, link_no FROM link_rows", "link_rows"),
     ),
     "candidate_links_context": (
-        lambda i: html.links_with_context(link_pages(i)).select("page_id", "link_no", "url", "title", "context"), None),
+        lambda i: D.candidate_links(link_pages(i), context=True),
+        oracle("SELECT page_id, url, title, context, row_number() OVER (PARTITION BY page_id ORDER BY i) AS link_no FROM block_links", "block_links"),
+    ),
     "rank_links": (
         ranked_links,
         oracle(

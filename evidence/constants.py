@@ -19,6 +19,7 @@ SPACE_CHARS = (
 REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited")
 ABSTRACT_WORDS = ("abstract", "summary", "synopsis")
 ABSTRACT_STOPS = ("introduction", "background", "keywords", "1.")
+LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 BODY_SHARE = 0.7
 CITATION_STYLES = (
     ("numeric", rf"^{DIGIT}+\.?{SPACE}+{WORD}+"),
@@ -102,10 +103,8 @@ SKIP_DOMAINS = (
     "facebook.com", "twitter.com",
 )
 LINK_BOILERPLATE = ("script", "style", "nav", "footer", "header")
-MAX_LINKS = 40
 MIN_ANCHOR_CHARS = 5
-LINK_TITLE_CHARS = 120
-LINK_CONTEXT_CHARS = 200
+LINK_BLOCKS = ("p", "div", "li", "td")
 
 # Fetched payloads
 MIN_USABLE_CHARS = 200

@@ -378,26 +378,30 @@ def strip_elements(html: Column, tags: tuple[str, ...]) -> Column:
     return F.regexp_replace(html, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", "")
 
 
+def _plain_text(html: Column) -> Column:
+    return squeeze(decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
+
+
 def candidate_links(
-    pages: DataFrame, skip: tuple[str, ...] = K.SKIP_DOMAINS, limit: int = K.MAX_LINKS
+    pages: DataFrame, skip: tuple[str, ...] = K.SKIP_DOMAINS, limit: int | None = None, context: bool = False
 ) -> DataFrame:
-    """Absolute links of a page outside its navigation, one row per link, without a shuffle."""
+    """Absolute links of a page outside its navigation, one row per link, without a shuffle.
+
+    Of links to one address the first counts. ``limit`` keeps the first so many
+    of a page; by default all are kept. ``context`` adds the text of the block
+    (paragraph, division, list item or cell) that the link stands in.
+    """
     html = strip_elements(F.col("html"), K.LINK_BOILERPLATE)
     pattern = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
-    raw = pages.select("page_id", html.alias("_html")).select(
-        "page_id",
-        F.arrays_zip(
-            F.regexp_extract_all("_html", F.lit(pattern), F.lit(1)).alias("url"),
-            F.regexp_extract_all("_html", F.lit(pattern), F.lit(2)).alias("title"),
-        ).alias("links"),
-    )
-    tidy = F.transform(
-        "links",
-        lambda x: F.struct(
-            F.btrim(x["url"]).alias("url"),
-            squeeze(decode_entities(F.regexp_replace(x["title"], r"(?s)<[^>]*>", " "))).alias("title"),
-        ),
-    )
+
+    def links_in(block: Column) -> Column:
+        found = F.arrays_zip(
+            F.regexp_extract_all(block, F.lit(pattern), F.lit(1)).alias("url"),
+            F.regexp_extract_all(block, F.lit(pattern), F.lit(2)).alias("title"),
+        )
+        around = _plain_text(block) if context else F.lit("")
+        return F.transform(found, lambda x: F.struct(
+            F.btrim(x["url"]).alias("url"), _plain_text(x["title"]).alias("title"), around.alias("context")))
 
     def wanted(x: Column) -> Column:
         host = F.regexp_replace(url_host(x["url"]), r"^www\.", "")
@@ -409,15 +413,12 @@ def candidate_links(
             lambda urls: F.filter(links, lambda x, i: F.array_position(urls, x["url"]) == i + 1),
         )
 
-    kept = bind(F.filter(tidy, wanted), firsts)
-    return (
-        raw.select("page_id", F.posexplode(F.slice(kept, 1, limit)).alias("pos", "_link"))
-        .select(
-            "page_id",
-            (F.col("pos") + 1).alias("link_no"),
-            F.col("_link.url").alias("url"),
-            head(F.col("_link.title"), K.LINK_TITLE_CHARS).alias("title"),
-        )
+    blocks = F.split(html, rf"(?i)</?(?:{'|'.join(K.LINK_BLOCKS)})\b[^>]*>") if context else F.array(html)
+    kept = bind(F.filter(F.flatten(F.transform(blocks, links_in)), wanted), firsts)
+    rows = pages.select("page_id", F.posexplode(kept if limit is None else F.slice(kept, 1, limit)).alias("pos", "_link"))
+    more = [F.col("_link.context").alias("context")] if context else []
+    return rows.select(
+        "page_id", (F.col("pos") + 1).alias("link_no"), F.col("_link.url").alias("url"), F.col("_link.title").alias("title"), *more
     )
 
 
@@ -433,7 +434,7 @@ def decode_entities(c: Column) -> Column:
 def rank_links(links: DataFrame, queries: DataFrame, model: Callable, k: int = K.WEB_CATALOG_TOP_K) -> DataFrame:
     """Links chosen by a model: 1-based picks in order; invalid picks are dropped, a failed call keeps the first ``k``.
 
-    At most 40 links per page reach the model, so the list of a page is small.
+    All links of a page are one list, as the model picks by number.
     """
     listed = links.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("link_no", "url", "title"))).alias("links")

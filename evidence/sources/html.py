@@ -1,7 +1,9 @@
-"""Article text and links of web pages whose markup is too irregular for expressions.
+"""Article text of web pages whose markup is too irregular for expressions.
 
-Pages are independent, so Spark spreads them over tasks and the standard
-library's HTML parser handles one page at a time.
+Pages are independent, so Spark spreads them over tasks. The parser's events
+drive a small state: which dropped element is open, and which of the candidate
+containers. Runs of text are kept while they are seen; no tree is built, and
+the runs are cut into phrases by Spark's own expressions.
 """
 
 from __future__ import annotations
@@ -11,160 +13,95 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evidence import constants as K
+from evidence.functions.text import strip
 
-_VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Places of a container in order of preference; the whole page comes last.
+N_PLACES = 4 + len(K.ARTICLE_CLASSES) + len(K.ARTICLE_IDS)
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+def container_places(tag: str, given: dict[str, str]) -> list[int]:
+    """The preferences an element could serve: article, main, main role, known classes, known ids, body."""
+    classes = given.get("class", "").split()
+    fits = [tag == "article", tag == "main", given.get("role") == "main"]
+    fits += [name in classes for name in K.ARTICLE_CLASSES]
+    fits += [given.get("id") == name for name in K.ARTICLE_IDS]
+    return [place for place, fit in enumerate([*fits, tag == "body"]) if fit]
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: "_Node | None"):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[_Node | str] = []
 
-    def walk(self) -> Iterator["_Node"]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
-
-    def texts(self) -> Iterator[str]:
-        stack: list[_Node | str] = [self]
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                yield item
-            else:
-                stack.extend(reversed(item.children))
-
-    def detach(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
+def is_junk(tag: str, given: dict[str, str]) -> bool:
+    names = f"{given.get('class', '')}\n{given.get('id', '')}".lower()
+    return tag in K.ARTICLE_BOILERPLATE or any(word in names for word in K.JUNK_NAMES)
 
 
-class _Tree(HTMLParser):
-    """Builds nodes; an end tag closes everything opened since its start tag."""
+class ArticleRuns(HTMLParser):
+    """Collects runs of text by the containers that are open around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.here = _Node("", {}, None)
+        self.open: list[str] = []
+        self.junk_depth: int | None = None  # depth of the outermost dropped element
+        self.holds: dict[int, int] = {}  # place -> depth of its open container
+        self.runs: dict[int, list[str]] = {N_PLACES: []}  # by place; the page itself has the last one
+        self.fresh = True  # whether a tag came since the last text
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.here)
-        self.here.children.append(node)
-        if tag not in _VOID:
-            self.here = node
+        self.fresh = True
+        if tag in VOID:
+            return
+        given = {name: value or "" for name, value in attrs}
+        if self.junk_depth is None:
+            if is_junk(tag, given):
+                self.junk_depth = len(self.open)
+            else:
+                for place in container_places(tag, given):
+                    if place not in self.runs:  # the first of its kind only
+                        self.runs[place], self.holds[place] = [], len(self.open)
+        self.open.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.here.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.here))
+        self.fresh = True
+        if tag not in VOID and self.junk_depth is None:
+            for place in container_places(tag, {name: value or "" for name, value in attrs}):
+                self.runs.setdefault(place, [])
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.here
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.here = node.parent
+        self.fresh = True
+        if tag in self.open:
+            depth = len(self.open) - 1 - self.open[::-1].index(tag)  # also closes what was left open inside
+            del self.open[depth:]
+            self.holds = {place: at for place, at in self.holds.items() if at < depth}
+            if self.junk_depth is not None and self.junk_depth >= depth:
+                self.junk_depth = None
 
     def handle_data(self, data: str) -> None:
-        kids = self.here.children
-        if kids and isinstance(kids[-1], str):
-            kids[-1] += data
-        else:
-            kids.append(data)
-
-
-def _tree(html: str) -> _Node:
-    builder = _Tree()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def _drop(root: _Node, unwanted) -> None:
-    for node in [n for n in root.walk() if n is not root and unwanted(n)]:
-        node.detach()
-
-
-def article_of(html: str) -> str:
-    """Text of the article container of one page, one trimmed phrase per line."""
-    root = _tree(html)
-    _drop(root, lambda n: n.tag in K.ARTICLE_BOILERPLATE)
-    for name in ("class", "id"):
-        _drop(root, lambda n: any(p in n.attrs.get(name, "").lower() for p in K.JUNK_NAMES))
-    rules = [lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main"]
-    rules += [lambda n, c=c: c in n.attrs.get("class", "").split() for c in K.ARTICLE_CLASSES]
-    rules += [lambda n, i=i: n.attrs.get("id") == i for i in K.ARTICLE_IDS]
-    rules += [lambda n: n.tag == "body"]
-    container = root
-    for rule in rules:
-        match = next((n for n in root.walk() if rule(n)), None)
-        if match is not None:
-            container = match
-            break
-    phrases = (
-        phrase.strip()
-        for line in "\n".join(container.texts()).splitlines()
-        for phrase in line.strip().split("  ")
-    )
-    return "\n".join(p for p in phrases if p)
-
-
-def _plain(node: _Node, separator: str = " ") -> str:
-    return separator.join(t for t in (x.strip() for x in node.texts()) if t)
-
-
-def links_of(html: str) -> list[tuple[int, str, str, str]]:
-    """Number, URL, title and context of the content links of one page."""
-    from urllib.parse import urlparse
-
-    root = _tree(html)
-    _drop(root, lambda n: n.tag in K.LINK_BOILERPLATE)
-    found: dict[str, tuple[str, str]] = {}
-    for node in root.walk():
-        if node.tag != "a" or "href" not in node.attrs:
-            continue
-        href = node.attrs["href"].strip()
-        host = urlparse(href).netloc.removeprefix("www.") if href.startswith("http") else ""
-        title = _plain(node)
-        if not href.startswith("http") or href in found or len(title) < K.MIN_ANCHOR_CHARS:
-            continue
-        if any(host.endswith(s) for s in K.SKIP_DOMAINS):
-            continue
-        holder = node.parent
-        while holder is not None and holder.tag not in ("p", "div", "li", "td"):
-            holder = holder.parent
-        found[href] = (title[: K.LINK_TITLE_CHARS], _plain(holder)[: K.LINK_CONTEXT_CHARS] if holder else "")
-        if len(found) >= K.MAX_LINKS:
-            break
-    return [(i, url, title, context) for i, (url, (title, context)) in enumerate(found.items(), start=1)]
-
+        if self.junk_depth is None:
+            for place in (*self.holds, N_PLACES):
+                if self.fresh or not self.runs[place]:
+                    self.runs[place].append(data)
+                else:
+                    self.runs[place][-1] += data
+        self.fresh = False
 
-def article_text(pages: DataFrame) -> DataFrame:
-    """Article text of every page (``page_id, html``)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": batch["html"].map(article_of)})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, text string")
+def runs_of(html: str) -> list[str]:
+    """Runs of text in the best container of a page."""
+    parser = ArticleRuns()
+    parser.feed(html or "")
+    parser.close()
+    return parser.runs[min(parser.runs)]
 
 
-def links_with_context(pages: DataFrame) -> DataFrame:
-    """Candidate links with up to 200 characters of the paragraph around them."""
+def article_text(pages: DataFrame) -> DataFrame:
+    """Article text of every page (``page_id, html``), a phrase on each line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (page, *link) for page, html in zip(batch["page_id"], batch["html"]) for link in links_of(html)
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "link_no", "url", "title", "context"])
-
-    return pages.select("page_id", "html").mapInPandas(
-        run, "page_id bigint, link_no int, url string, title string, context string"
-    )
+            yield pd.DataFrame({"page_id": batch["page_id"], "runs": batch["html"].map(runs_of)})
+
+    runs = pages.select("page_id", "html").mapInPandas(collect, "page_id bigint, runs array<string>")
+    pieces = F.split(F.array_join("runs", "\n"), K.LINE_BREAK + "|  ")
+    return runs.select("page_id", F.array_join(F.filter(F.transform(pieces, strip), lambda x: x != ""), "\n").alias("text"))

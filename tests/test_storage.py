@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from evidence.operators import fetch, reporting
+from evidence.operators import discovery, fetch, reporting
 from evidence.sources import files, html
 from evidence.streaming import streams
 
@@ -83,9 +83,9 @@ def test_html(spark):
     text = {r.page_id: r.text for r in html.article_text(pages).collect()}
     assert text[1].split("\n")[:4] == ["Title", "here", "One & two", "three"] and "share" not in text[1] and "accept" not in text[1]
     assert text[2] == "no article" and text[3] == ""
-    links = html.links_with_context(pages).collect()
+    links = discovery.candidate_links(pages, context=True).collect()
     assert [(r.link_no, r.url, r.title) for r in links] == [(1, "https://b.org/d", "the data set")]
-    assert links[0].context.startswith("See skipped link and the data set")
+    assert links[0].context == "See skipped link and the data set , again here relative abc"
 
 
 def test_late_rows_are_dropped_and_windows_agree(spark, tmp_path):
