@@ -158,7 +158,7 @@ def quant_cited(i):
     )
 
 
-KEY = f"lower({squeeze(f'substr(%s, 1, {K.FACT_QUERY_CHARS})')})"
+KEY = f"lower({squeeze('%s')})"
 FACTS = {
     "matches": (
         ("lead_claims", "fact_reviews"),

@@ -27,20 +27,20 @@ SELECT d.doc_id, concat(d.text, chr(10), chr(10), 'Share number ', d.doc_id % 10
   WHEN 1 THEN concat('REFERENCES', chr(10), '[1] Smith AB. ', b.title, '. Nature. 2020.', chr(10), '[2] Brown C. Trends. Science. 2019.')
   WHEN 2 THEN concat('Bibliography', chr(10), 'Smith, J. (2020). ', b.title, '. Nature.', chr(10), 'Brown, A. (2019). Trends in one', chr(10), 'and two. Science.', chr(10), 'Brown, A. (2021). A second entry of one author. Cell.')
   ELSE '' END) AS text
-FROM {documents} d JOIN (SELECT item_id, substr(replace(replace(text, '.', ''), chr(10), ' '), 1, 40) AS title FROM {benchmark}) b ON b.item_id = d.doc_id % 40""",
+FROM {documents} d JOIN (SELECT item_id, replace(replace(text, '.', ''), chr(10), ' ') AS title FROM {benchmark}) b ON b.item_id = d.doc_id % 40""",
     # Papers that open with a title and an abstract.
     "abstract_papers": """
 SELECT d.doc_id, concat('A title of paper ', d.doc_id, chr(10), CASE d.doc_id % 3 WHEN 0 THEN 'Abstract' WHEN 1 THEN 'EXECUTIVE SUMMARY' ELSE 'Synopsis:' END, chr(10),
  replace(d.text, '. ', concat('.', chr(10))), chr(10), CASE d.doc_id % 2 WHEN 0 THEN 'KEYWORDS' ELSE '1. Background' END, chr(10), d.text) AS text
 FROM {documents} d""",
     "fact_reviews": """
-SELECT d.doc_id AS review_id, substr(d.text, 1, 80) AS claim_text,
+SELECT d.doc_id AS review_id, d.text AS claim_text,
  CASE WHEN l.quality = 1 AND d.doc_id % 2 = 0 THEN 'True' WHEN l.quality = 1 THEN 'Mostly true' WHEN l.toxic = 1 THEN 'Incorrect' WHEN d.doc_id % 2 = 0 THEN 'Partly supported' ELSE 'Unproven' END AS textual_rating,
  d.source AS publisher, concat('https://reviews.example.org/', d.doc_id) AS url
 FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
-    # First lines of all documents as claims, to be looked up among the reviews.
+    # All documents as claims, to be looked up among the reviews.
     "lead_claims": """
-SELECT doc_id, concat('claim_0_', doc_id) AS claim_id, substr(text, 1, 80) AS text,
+SELECT doc_id, concat('claim_0_', doc_id) AS claim_id, text,
  CASE WHEN doc_id % 3 = 0 THEN 'quantitative' ELSE 'qualitative' END AS claim_type
 FROM {documents}""",
     "attempts": """

@@ -17,7 +17,7 @@ def words(x: str) -> str:
 
 
 def catalog_hits(i: Inputs):
-    return D.catalog_search(i.view("data_claims"), i.view("dataset_catalog"), hot_items=100)
+    return D.catalog_search(i.view("data_claims"), i.view("dataset_catalog"))
 
 
 def pick_resource(i):
@@ -455,7 +455,7 @@ QUERIES = {
     "text_source_search": (
         lambda i: D.text_source_search(
             i.view("lead_claims"),
-            i.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), "text"), hot_items=100),
+            i.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), "text")),
         oracle(
             f"SELECT doc_id, claim_id, arg_min(source_id, rank) AS source_id, max(overlap) AS overlap, count(*) AS n_candidates, 0.8::DOUBLE AS relevance_score FROM ({_txt}) GROUP BY doc_id, claim_id",
             *_txt_needs,
@@ -513,8 +513,8 @@ QUERIES = {
     "bibliographic_query": (
         lambda i: D.bibliographic_query(parsed(i)).select("doc_id", "citation_id", "bibliographic_query", "scholar_query"),
         oracle(
-            """SELECT doc_id, citation_id, CASE WHEN title IS NOT NULL THEN concat_ws(' ', title, first_author, year) ELSE substr(citation_text, 1, 200) END AS bibliographic_query,
- CASE WHEN title IS NOT NULL THEN concat_ws(' ', '"' || title || '"', first_author, year) ELSE substr(citation_text, 1, 200) END AS scholar_query FROM parsed""",
+            """SELECT doc_id, citation_id, CASE WHEN title IS NOT NULL THEN concat_ws(' ', title, first_author, year) ELSE citation_text END AS bibliographic_query,
+ CASE WHEN title IS NOT NULL THEN concat_ws(' ', '"' || title || '"', first_author, year) ELSE citation_text END AS scholar_query FROM parsed""",
             "parsed",
         ),
     ),
@@ -530,12 +530,12 @@ FROM (SELECT page_id, ['onlinelibrary.wiley.com', 'example.com', 'WWW.NATURE.COM
     ),
     "paywall_page": (
         lambda i: D.paywall_page(paywall_pages(i)).select("page_id", "url", "is_paywalled"),
-        f"""SELECT page_id, url, {any_of('lower(url)', K.LOGIN_URL_WORDS)} OR {any_of('lower(substr(body, 1, 2000))', K.PAYWALL_PHRASES)} AS is_paywalled FROM (
+        f"""SELECT page_id, url, {any_of('lower(url)', K.LOGIN_URL_WORDS)} OR {any_of('lower(body)', K.PAYWALL_PHRASES)} AS is_paywalled FROM (
  SELECT page_id, CASE WHEN page_id % 7 = 0 THEN concat(url, '/Login?next=/') ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN concat('Please SIGN IN to read. ', html) ELSE html END AS body FROM pages)""",
     ),
     "login_page": (
         lambda i: D.login_page(login_pages(i)).select("page_id", "is_login_page"),
-        """SELECT page_id, page_id % 3 <> 0 AND contains(lower(decode(encode(h)[1:4096], 'replace')) , 'login') AS is_login_page FROM (
+        """SELECT page_id, page_id % 3 <> 0 AND contains(lower(h), 'login') AS is_login_page FROM (
  SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('<p>LogIn</p>', html) WHEN 1 THEN concat(html, '<p>login</p>') ELSE html END AS h FROM pages)""",
     ),
     "candidate_links": (

@@ -63,7 +63,6 @@ CLEAR_RATINGS = ("true", "false", "correct", "incorrect")
 HEDGED_RATINGS = ("mostly", "partly", "somewhat")
 CLEAR_CONFIDENCE, HEDGED_CONFIDENCE, OTHER_CONFIDENCE = 0.9, 0.6, 0.4
 DEFAULT_SIMILARITY = 0.8
-FACT_QUERY_CHARS = 512
 STRONG_CONFIDENCE = 0.8
 DEFAULT_MODEL_CONFIDENCE = 0.5
 
@@ -78,7 +77,6 @@ REUSE_CONFIDENCE = 0.75
 TEXT_QUERY_CHARS = 200
 TEXT_TOP_K = 3
 TEXT_SCORE = 0.8
-BIBLIOGRAPHIC_QUERY_CHARS = 200
 PAYWALL_DOMAINS = (
     "jstor.org", "nature.com", "science.org", "springer.com", "wiley.com",
     "tandfonline.com", "sagepub.com", "elsevier.com", "sciencedirect.com",

@@ -159,22 +159,25 @@ def span_loose(text: Column, claim: Column, hint: Column) -> Column:
 
 
 def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True) -> DataFrame:
-    """Claims with ``start`` and ``end`` in the text of their paper, null when not found."""
-    text, claim, hint = F.col("_text"), F.col("text"), F.col("hint")
-    exact = span_exact(text, claim, hint)
-    joined = claims.join(papers.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    located = joined.withColumn("_at", exact)
-    found = F.when(
-        F.col("_at").isNotNull(), F.struct(F.col("_at").alias("start"), (F.col("_at") + F.length(claim)).alias("end"))
-    )
-    if loose:
-        found = found.otherwise(span_loose(text, claim, hint))
-    return (
-        located.withColumn("_span", found)
-        .withColumn("start", F.col("_span.start"))
-        .withColumn("end", F.col("_span.end"))
-        .drop("_text", "_at", "_span")
-    )
+    """Claims with ``start`` and ``end`` in the text of their paper, null when not found.
+
+    The claims of a paper are searched beside its text in one row, so the text
+    is shuffled once, however many claims it has.
+    """
+    names = [c for c in claims.columns if c not in ("start", "end")]
+    text = F.col("_text")
+
+    def located(c: Column) -> Column:
+        found = bind(span_exact(text, c["text"], c["hint"]), lambda at: F.when(
+            at.isNotNull(), F.struct(at.alias("start"), (at + F.length(c["text"])).alias("end"))))
+        if loose:
+            found = F.coalesce(found, span_loose(text, c["text"], c["hint"]))
+        return bind(found, lambda s: F.struct(
+            *[c[n].alias(n) for n in names], s["start"].alias("start"), s["end"].alias("end")))
+
+    listed = claims.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("_claims"))
+    texts = papers.select("doc_id", F.col("text").alias("_text"))
+    return listed.join(texts, "doc_id").select(F.inline(F.transform("_claims", located)))
 
 
 def citation_markers(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -327,10 +327,10 @@ def parsed_citation_once(citations: DataFrame, model: Callable) -> DataFrame:
 
 
 def bibliographic_query(parsed: DataFrame) -> DataFrame:
-    """Search strings: title, author and year when the title is known, else the start of the raw text."""
+    """Search strings: title, author and year when the title is known, else the raw text."""
     title = not_empty(F.col("title"))
     tail = [not_empty(F.col("first_author")), F.when(F.col("year") != 0, F.col("year").cast("string"))]
-    raw = head(F.col("citation_text"), K.BIBLIOGRAPHIC_QUERY_CHARS)
+    raw = F.col("citation_text")
     return parsed.withColumns(
         {
             "bibliographic_query": F.when(title.isNotNull(), F.concat_ws(" ", title, *tail)).otherwise(raw),
@@ -359,19 +359,18 @@ def paywall_host(urls: DataFrame, hosts: tuple[str, ...] = K.PUBLISHER_HOSTS) ->
 
 
 def paywall_page(pages: DataFrame) -> DataFrame:
-    """Pages that want a login: by the address, or by a phrase in the first 2,000 characters shown."""
-    snippet = F.lower(head(F.col("body"), 2000))
+    """Pages that want a login: by the address, or by a phrase anywhere in the text shown."""
+    shown = F.lower("body")
     return pages.withColumn(
         "is_paywalled",
-        contains_any(F.lower("url"), K.LOGIN_URL_WORDS) | contains_any(snippet, K.PAYWALL_PHRASES),
+        contains_any(F.lower("url"), K.LOGIN_URL_WORDS) | contains_any(shown, K.PAYWALL_PHRASES),
     )
 
 
 def login_page(pages: DataFrame) -> DataFrame:
-    """HTML pages whose first 4,096 bytes speak of a login."""
-    start = F.lower(F.decode(F.substring(F.encode("html", "UTF-8"), 1, 4096), "ISO-8859-1"))
+    """HTML pages that speak of a login."""
     html = F.contains(F.coalesce("content_type", F.lit("")), F.lit("text/html"))
-    return pages.withColumn("is_login_page", html & F.contains(start, F.lit("login")))
+    return pages.withColumn("is_login_page", html & F.contains(F.lower("html"), F.lit("login")))
 
 
 def strip_elements(html: Column, tags: tuple[str, ...]) -> Column:

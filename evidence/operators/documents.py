@@ -221,17 +221,19 @@ def parse_refs_model(route: DataFrame, model: Callable) -> DataFrame:
     return citations_from_answer(answered)
 
 
-def extract_citations(papers: DataFrame, model: Callable | None = None) -> DataFrame:
-    """Bibliographies of all papers: rules first, the model only where the rules fail."""
+def extract_citations(papers: DataFrame, model: Callable | None = None, positions: bool = False) -> DataFrame:
+    """Bibliographies of all papers: rules first, the model only where the rules fail.
+
+    ``positions`` adds ``pos``, the place of each entry in its list.
+    """
+    columns = ["doc_id", "citation_id", "citation_text", *(["pos"] if positions else [])]
     sections = papers.withColumn("ref_section", reference_section_of(F.col("text"))).withColumn(
         "style", style_of(F.col("ref_section"))
     )
     parsed = citation_last_wins(parse_refs(sections))
     validity = validate_bibliography(parsed)
-    kept = parsed.join(validity.where("is_valid").select("doc_id"), "doc_id", "left_semi").select(
-        "doc_id", "citation_id", "citation_text"
-    )
+    kept = parsed.join(validity.where("is_valid").select("doc_id"), "doc_id", "left_semi").select(*columns)
     if model is None:
         return kept
     asked = citation_last_wins(parse_refs_model(citation_route(sections, validity), model))
-    return kept.unionByName(asked.select("doc_id", "citation_id", "citation_text"))
+    return kept.unionByName(asked.select(*columns))

@@ -20,7 +20,7 @@ def score(
     input_cols: list[str],
     out_schema: str,
     task: str = "generic",
-    keep_once: bool = False,
+    keep_once: bool = True,
 ) -> DataFrame:
     """Add the columns of ``out_schema`` computed by ``fn`` from ``input_cols``.
 
@@ -29,7 +29,8 @@ def score(
     may also return ``input_tokens``, ``output_tokens`` and ``error``. When a
     batch raises, its rows are tried one by one and only the failing rows get
     null outputs and an ``error``. ``keep_once`` writes the answers to the
-    shared folder, so that a lost executor never asks the model again.
+    shared folder, so that neither a second use of the result nor a lost
+    executor asks the model again; without it every action does.
     """
     inputs = df.select(*input_cols).distinct()
     wanted = T.StructType.fromDDL(out_schema)

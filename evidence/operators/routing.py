@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from evidence import constants as K
 from evidence.functions.ratings import rating_confidence, rating_passes
-from evidence.functions.text import head, not_empty, squeeze
+from evidence.functions.text import not_empty, squeeze
 from evidence.operators.hook import score
 
 
+def is_cited() -> Column:
+    return F.coalesce(F.col("citation_id") != "", F.lit(False))
+
+
 def result_class() -> Column:
     """One of the four classes; null for a claim type that is neither of the two known ones."""
-    cited = F.col("citation_id").isNotNull() & (F.col("citation_id") != "")
-    suffix = F.when(cited, F.lit("_cited")).otherwise(F.lit("_uncited"))
+    suffix = F.when(is_cited(), F.lit("_cited")).otherwise(F.lit("_uncited"))
     return F.when(F.col("claim_type").isin("qualitative", "quantitative"), F.concat("claim_type", suffix))
 
 
@@ -25,7 +28,8 @@ def route_claims(claims: DataFrame) -> DataFrame:
 
 
 def fact_key(text: Column) -> Column:
-    return F.lower(squeeze(head(text, K.FACT_QUERY_CHARS)))
+    """The whole text in lower case with white space squeezed; equal keys share a review."""
+    return F.lower(squeeze(text))
 
 
 def factcheck_lookup(claims: DataFrame, reviews: DataFrame, similarity: Column | None = None) -> DataFrame:

@@ -198,15 +198,21 @@ def parse_verdict_text(outputs: DataFrame, text: str = "output") -> DataFrame:
 
 
 def quantitative_result(claims: DataFrame, checks: DataFrame, method: str = "table_check") -> DataFrame:
-    """Result rows of claims checked on data; ``checks`` has one row per claim."""
+    """Result rows of claims checked on data, one for each claim; ``checks`` has at most one row per claim.
+
+    A claim without a check is a failed result that says so.
+    """
     keys = [c for c in ("doc_id", "claim_id") if c in checks.columns and c in claims.columns]
     uncited = (
         F.coalesce("originally_uncited", F.lit(False)) if "originally_uncited" in claims.columns else F.lit(False)
     )
-    return claims.join(checks, keys).select(
-        *keys, "claim_type", uncited.alias("originally_uncited"), "validated",
-        F.lit(method).alias("validation_method"), "passed", "confidence", "explanation",
-        F.array("dataset").alias("sources_used"), F.col("error").alias("errors"),
+    missing = F.col("_checked").isNull()
+    sources = F.when(missing, F.array().cast("array<string>")).otherwise(F.array("dataset"))
+    return claims.join(checks.withColumn("_checked", F.lit(True)), keys, "left").select(
+        *keys, "claim_type", uncited.alias("originally_uncited"), F.coalesce("validated", F.lit(False)).alias("validated"),
+        F.lit(method).alias("validation_method"), F.when(missing, F.lit(False)).otherwise(F.col("passed")).alias("passed"),
+        F.when(missing, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), "explanation",
+        sources.alias("sources_used"), F.when(missing, F.lit("No check for this claim")).otherwise(F.col("error")).alias("errors"),
     )
 
 

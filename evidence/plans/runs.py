@@ -24,7 +24,8 @@ def extract(
     size: int = K.CHUNK_TOKENS, overlap: int = K.CHUNK_OVERLAP_CHARS,
 ) -> Extraction:
     """Papers to located claims mapped to their bibliographies. Models are optional; rules stand in."""
-    citations = documents.extract_citations(papers, citation_model)
+    listed = documents.extract_citations(papers, citation_model, positions=True)
+    citations = listed.drop("pos")
     bodies = documents.body_text(papers)
     chunks = chunking.chunk_by_tokens(bodies, "body", "doc_id", size, overlap)
     if claim_model is None:
@@ -33,7 +34,6 @@ def extract(
         facts = papers.select(
             "doc_id", documents.title_of(F.col("text")).alias("title"), documents.abstract_of(F.col("text")).alias("abstract")
         )
-        listed = citations.withColumn("pos", F.lit(0))
         found = C.extract_claims_model(C.claim_context(chunks, facts, listed), claim_model)
     valid, _ = C.claim_constraint(found)
     located = C.locate_claims(valid, bodies.withColumnRenamed("body", "text"))
@@ -77,6 +77,7 @@ class Validation:
     results: DataFrame
     batches: DataFrame
     stats: DataFrame
+    rejects: DataFrame
 
 
 def validate(
@@ -89,14 +90,18 @@ def validate(
     ``attempts`` and ``texts(doc_id, citation_id, source_text)`` are what was
     fetched for each citation; ``checks`` are outcomes of ``quant_check`` for
     claims with a dataset; ``found_sources`` are datasets found for uncited claims.
+    Every claim has a row in ``results``, or in ``rejects`` if its type is unknown.
     With ``store`` the claims and the model's answers are written once and read
     by every branch, so no claim is scored twice.
     """
     keep = materialize if store else (lambda df, name: df)
-    routed = keep(routing.route_claims(claims), "routed")
+    every = keep(routing.route_claims(claims), "routed")
+    routed = every.where(F.col("result_class").isNotNull())
+    rejects = every.where(F.col("result_class").isNull()).withColumn(
+        "reject_reason", F.concat(F.lit("Unknown claim type: "), F.coalesce("claim_type", F.lit("none"))))
     scored = keep(
         routing.plausibility(
-            routing.factcheck_outcome(routing.factcheck_lookup(routed.where(F.col("citation_id").isNull()), reviews)),
+            routing.factcheck_outcome(routing.factcheck_lookup(routed.where(~routing.is_cited()), reviews)),
             plausibility_model,
         ),
         "scored",
@@ -106,7 +111,7 @@ def validate(
         scored.where(F.col("claim_type") == "quantitative"), found_sources
     )
     promoted = routing.promote_found_source(with_data).select(*claims.columns, "found_source", "originally_uncited")
-    cited = routed.where(F.col("citation_id").isNotNull())
+    cited = routed.where(routing.is_cited())
     sourced = keep(
         routing.split_backing(routing.union_quant_cited(promoted, cited.select(*claims.columns))), "sourced"
     )
@@ -148,4 +153,4 @@ def validate(
         (quant_direct, K.RESULT_CLASSES[1]), (failed, None), (grounded, None), (measured, None),
     ):
         results = results.unionByName(classed(frame, name))
-    return Validation(results, batches, reporting.result_stats(results))
+    return Validation(results, batches, reporting.result_stats(results), rejects)

@@ -29,11 +29,11 @@ def test_normalize_answers(spark):
 
 
 def test_location(spark):
-    text = "Intro sentence. The sky is blue. Outro. The sky  is\nblue. (a+b)* = c|d."
+    text = "Tides were low. Gulls eat crabs. Later. Gulls  eat\ncrabs. (a+b)* = c|d."
     cases = [
-        ("The sky is blue.", 0, (16, 32)), ("The sky is blue.", 30, (16, 32)), ("The sky is  blue.", 30, (40, 57)),
-        ("a paraphrase", 0, (None, None)), ("", 0, (None, None)), ("  ", 999, (47, 49)), ("   ", 0, (None, None)),
-        ("(a+b)*  = c|d.", 3, (58, 71)), ("The sky", -5, (16, 23)),
+        ("Gulls eat crabs.", 0, (16, 32)), ("Gulls eat crabs.", 30, (16, 32)), ("Gulls eat  crabs.", 30, (40, 57)),
+        ("crabs eat gulls", 0, (None, None)), ("", 0, (None, None)), ("  ", 999, (45, 47)), ("   ", 0, (None, None)),
+        ("(a+b)*  = c|d.", 3, (58, 71)), ("Gulls", -5, (16, 21)),
     ]
     df = spark.createDataFrame([(1, i, c, h) for i, (c, h, _) in enumerate(cases)], "doc_id bigint, n int, text string, hint int")
     paper = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
