@@ -175,14 +175,15 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and for ids that are kept more than once.
     """
     groups = groups_of(docs, doc_id, text, **filters).select("_fp", "_sha", F.col("keep_id").alias("_keep"), F.lit(True).alias("_copied"))
-    marked = _keyed(docs, text).drop("_norm").join(groups, ["_fp", "_sha"], "left")
-    kept = marked.where(F.col("_copied").isNull() | F.col(doc_id).eqNullSafe(F.col("_keep")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))  # whole rows, whatever their columns are called
+    marked = _keyed(rows, "_text").select("_row", "_fp", "_sha").join(groups, ["_fp", "_sha"], "left")
+    kept = marked.where(F.col("_copied").isNull() | F.col("_row")[doc_id].eqNullSafe(F.col("_keep")))
     again = (
         kept.where("_copied").groupBy("_fp", "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     )
     again = materialize(again, "again")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, ["_fp", "_sha"], "left_anti").select(*docs.columns)
+        return kept.select("_row.*")
+    once = kept.join(again, ["_fp", "_sha"], "left_anti").select("_row")
     repeats = kept.join(again, ["_fp", "_sha"], "left_semi").dropDuplicates(["_fp", "_sha"])
-    return once.unionByName(repeats.select(*docs.columns))
+    return once.union(repeats.select("_row")).select("_row.*")

@@ -244,4 +244,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = near_duplicates(docs, doc_id, text, words, **options)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"))  # whole rows, whatever their columns are called
+    return rows.join(gone, F.col("_row")[doc_id] == F.col("_gone"), "left_anti").select("_row.*")
