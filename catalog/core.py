@@ -185,7 +185,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sections": (
         ("sections_0",),
         f"""SELECT *, {_STYLE} AS style, CASE WHEN ref_section IS NOT NULL AND ref_section <> ''
- THEN substring(text, 1, strpos(text, ref_section) - 1) ELSE substring(text, 1, cast(floor(length(text) * 0.7::DOUBLE) AS bigint)) END AS body
+ THEN substring(text, 1, strpos(text, ref_section) - 1) ELSE text END AS body
 FROM sections_0""",
     ),
     "numeric_entries": (

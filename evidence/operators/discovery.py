@@ -28,65 +28,76 @@ def overlap_topk(
 
     * queries with the same catalog words are searched once;
     * a word held by more than ``hot_items`` items is *hot*. Items sharing a
-      rarer word with a query are scored on all their words;
+      rarer word with a query are scored on all their words; the overlap of the
+      ``k``-th best of them is the bound ``b`` that other items have to reach;
     * an item sharing hot words only is matched through the set of hot words it
-      holds. Of the items with one such set, only the ``k`` smallest keys can be
-      among the best ``k``, so each set carries no more than those.
+      holds. A set with ``b`` or more of a query's ``n`` hot words holds one of
+      its ``n - b + 1`` rarest ones, so only those are joined, and none at all
+      where ``n < b``. Of the items with one such set, only the ``k`` smallest
+      keys can be among the best ``k``, so each set carries no more than those.
 
     With ``store`` the word sets of both sides are written once to the shared
     folder instead of being built anew in every branch.
     """
     keep = materialize if store else (lambda df, name: df)
     words = items.select(item_key, F.explode("words").alias("word"))
-    frequency = keep(words.groupBy("word").agg((F.count(F.lit(1)) > hot_items).alias("is_hot")), "frequency")
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("held_by"))
+    frequency = keep(frequency.withColumn("is_hot", F.col("held_by") > hot_items), "frequency")
     graded = words.join(frequency, "word").groupBy(item_key).agg(
         F.sort_array(F.collect_set(F.when(F.col("is_hot"), F.col("word")))).alias("hot_set"),
         F.collect_set(F.when(~F.col("is_hot"), F.col("word"))).alias("rare_words"),
     )
     sets = keep(graded, "sets")
 
-    # Distinct profiles get a compact exact id: the smallest query that has the profile.
+    # Distinct profiles, rarest word first, get a compact exact id: the smallest query that has the profile.
     profiles = keep(
         queries.select(*query_key, F.explode("words").alias("word"))
         .join(frequency, "word")
         .groupBy(*query_key)
-        .agg(F.sort_array(F.collect_set(F.struct("word", "is_hot"))).alias("profile")),
+        .agg(F.sort_array(F.collect_set(F.struct("held_by", "word", "is_hot"))).alias("profile")),
         "profiles",
     )
-    distinct = keep(profiles.groupBy("profile").agg(F.min(F.struct(*query_key)).alias("pid")), "distinct")
     hot_part = F.transform(F.filter("profile", lambda x: x["is_hot"]), lambda x: x["word"])
-    profile_words = distinct.select("pid", hot_part.alias("own_hot"), F.explode("profile").alias("_p")).select(
-        "pid", "own_hot", "_p.word", "_p.is_hot"
-    )
+    distinct = profiles.groupBy("profile").agg(F.min(F.struct(*query_key)).alias("pid"))
+    distinct = keep(distinct.withColumn("own_hot", hot_part), "distinct")
+    own_rare = F.transform(F.filter("profile", lambda x: ~x["is_hot"]), lambda x: x["word"])
 
     rare = sets.select(item_key, "hot_set", F.explode("rare_words").alias("word"))
     by_rare = (
-        profile_words.where(~F.col("is_hot"))
+        distinct.select("pid", "own_hot", F.explode(own_rare).alias("word"))
         .join(rare, "word")
         .select("pid", item_key, F.size(F.array_intersect("own_hot", "hot_set")).alias("hot_overlap"))
         .groupBy("pid", item_key)
         .agg((F.count(F.lit(1)) + F.max("hot_overlap")).alias("overlap"))
     )
+    best_rare = keep(top_k(by_rare, ["pid"], [F.col("overlap").desc(), F.col(item_key)], k, "_place"), "best_rare")
+    bound = best_rare.where(F.col("_place") == k).select("pid", F.col("overlap").alias("bound"))
 
     hot_sets = sets.where(F.size("hot_set") > 0).select(item_key, "hot_set")
-    named = hot_sets.groupBy("hot_set").agg(F.min(item_key).alias("set_id"))
+    named = keep(hot_sets.groupBy("hot_set").agg(F.min(item_key).alias("set_id")), "named")
     carriers = top_k(hot_sets, ["hot_set"], [F.col(item_key)], k, "_carrier").join(named, "hot_set").select(
         "set_id", item_key
     )
-    shared = (
-        profile_words.where("is_hot")
-        .select("pid", "word")
+    needed = F.greatest(F.coalesce("bound", F.lit(1)), F.lit(1)).cast("int")
+    asking = distinct.join(bound, "pid", "left").select("pid", "own_hot", needed.alias("needed"))
+    prefix = F.slice("own_hot", F.lit(1), F.greatest(F.size("own_hot") - F.col("needed") + 1, F.lit(0)))
+    met = (
+        asking.select("pid", F.explode(prefix).alias("word"))
         .join(named.select("set_id", F.explode("hot_set").alias("word")), "word")
-        .groupBy("pid", "set_id")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+        .select("pid", "set_id").distinct()
+    )
+    shared = (
+        met.join(named, "set_id").join(asking, "pid")
+        .select("pid", "set_id", "needed", F.size(F.array_intersect("own_hot", "hot_set")).alias("overlap"))
+        .where(F.col("overlap") >= F.col("needed"))
     )
     # The best items lie in the best sets, a set ranking by its smallest item.
     best_sets = top_k(shared, ["pid"], [F.col("overlap").desc(), F.col("set_id")], k, "_set_rank")
-    by_hot = best_sets.join(carriers, "set_id").select("pid", item_key, "overlap")
+    by_hot = best_sets.join(carriers, "set_id").select("pid", item_key, F.col("overlap").cast("bigint").alias("overlap"))
 
-    scored = by_rare.unionByName(by_hot).groupBy("pid", item_key).agg(F.max("overlap").alias("overlap"))
+    scored = best_rare.select("pid", item_key, "overlap").unionByName(by_hot).groupBy("pid", item_key).agg(F.max("overlap").alias("overlap"))
     best = top_k(scored, ["pid"], [F.col("overlap").desc(), F.col(item_key)], k)
-    return profiles.join(distinct.join(best, "pid"), "profile").select(*query_key, item_key, "overlap", "rank")
+    return profiles.join(distinct.select("profile", "pid").join(best, "pid"), "profile").select(*query_key, item_key, "overlap", "rank")
 
 
 def catalog_search(

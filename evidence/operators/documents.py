@@ -63,13 +63,17 @@ def abstract_of(text: Column) -> Column:
     return bind(F.transform(F.slice(lines(text), 1, 80), strip), search)
 
 
-def reference_section_of(text: Column) -> Column:
-    """Text after the first heading line; else from a heading word in the last 30 percent; else null."""
+def reference_section_of(text: Column, search_from: float = K.BODY_SHARE) -> Column:
+    """Text after the first heading line; else from a heading word behind ``search_from`` of the text; else null.
+
+    Without a heading line, words like "references" nearer the begin are taken
+    for prose; ``search_from=0`` searches all of the text.
+    """
     after_heading = [
         strip(first_match(text, rf"(?imsd)^{word.replace(' ', '[ ]')}{K.SPACE}*$(.*)", 1))
         for word in K.REFERENCE_HEADINGS
     ]
-    tail = F.substring(text, (F.floor(F.length(text) * K.BODY_SHARE) + 1).cast("int"), F.length(text))
+    tail = F.substring(text, (F.floor(F.length(text) * search_from) + 1).cast("int"), F.length(text))
 
     def from_word(t: Column) -> Column:
         low = F.lower(t)
@@ -82,12 +86,13 @@ def reference_section_of(text: Column) -> Column:
     return F.coalesce(*after_heading, bind(tail, from_word))
 
 
-def body_of(text: Column, section: Column) -> Column:
-    """Text before the reference section, or the first 70 percent when there is none."""
+def body_of(text: Column, section: Column, share: float = 1.0) -> Column:
+    """Text before the reference section; without one the first ``share`` of the text, by default all of it."""
+    rest = text if share >= 1 else F.substring(text, F.lit(1), F.floor(F.length(text) * share).cast("int"))
     return F.when(
         section.isNotNull() & (section != ""),
         F.substring(text, F.lit(1), F.instr(text, section) - 1),
-    ).otherwise(F.substring(text, F.lit(1), F.floor(F.length(text) * K.BODY_SHARE).cast("int")))
+    ).otherwise(rest)
 
 
 def style_of(section: Column) -> Column:
@@ -124,9 +129,9 @@ def with_sections(papers: DataFrame) -> DataFrame:
     )
 
 
-def body_text(papers: DataFrame) -> DataFrame:
+def body_text(papers: DataFrame, share: float = 1.0) -> DataFrame:
     return papers.select(
-        "doc_id", body_of(F.col("text"), reference_section_of(F.col("text"))).alias("body")
+        "doc_id", body_of(F.col("text"), reference_section_of(F.col("text")), share).alias("body")
     )
 
 
