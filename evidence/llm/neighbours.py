@@ -28,7 +28,7 @@ from evidence.llm.common import ranked
 from evidence.session import materialize
 
 K = 10
-CURVES = 8
+CURVES = 4
 DIMENSIONS = 4
 BITS = 12
 #: Share of true neighbours that windows are made for; queries it is measured on; vectors that projections are fitted on.

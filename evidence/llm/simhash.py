@@ -32,6 +32,12 @@ MAX_LEVELS = 16
 SAMPLE = 32768
 LEAF = 256
 BLOCK = 1 << 16
+#: For similar texts: fingerprints over single words that are searched, words of a shingle of the
+#: fingerprint that confirms a link, and how many of its 256 bits may differ.
+TABLES = 4
+CONFIRM_WORDS = 5
+CONFIRM_BITS = 49
+KEPT_WORDS = 1 << 18
 
 
 def simhash(text: str, words: int = WORDS) -> int:
@@ -109,18 +115,36 @@ def route(prints: np.ndarray, points: np.ndarray, radii: np.ndarray, max_bits: i
     return rows, node - len(points)
 
 
-def _routing(points: np.ndarray, radii: np.ndarray, max_bits: int):
+def _routing(points: np.ndarray, radii: np.ndarray, max_bits: int, names: list[str]):
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column("_fp").to_numpy(zero_copy_only=False)
-            rows, leaf = route(unsigned(prints), points, radii, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(prints[rows])], ["shard", "_fp"])
+            rows, leaf = route(unsigned(batch.column("_fp").to_numpy(zero_copy_only=False)), points, radii, max_bits)
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *(taken.column(n) for n in names)], ["shard", *names])
 
     return routed
 
 
-def links(prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of distinct fingerprints at ``max_bits`` or less, by a vantage-point tree; some twice."""
+def into_shards(points: DataFrame, max_bits: int, shard_rows: int, max_levels: int, sample: int) -> DataFrame:
+    """The rows of ``points`` (``_fp`` and other columns) with the ``shard`` they are sent to, or several.
+
+    The upper tree has a leaf for each ``shard_rows`` rows, but no more than
+    ``2 ** max_levels``: beyond that the shards grow. Its vantage points come
+    from ``sample`` fingerprints; all rows are routed.
+    """
+    levels = min(max_levels, max(0, int(np.ceil(np.log2(max(1, points.count()) / shard_rows)))))
+    chosen = points.select("_fp").orderBy(F.xxhash64(F.col("_fp"), F.lit(1)), "_fp").limit(sample if levels else 0)
+    tree = upper_tree(unsigned([r[0] for r in chosen.collect()]), levels)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(_routing(*tree, max_bits, points.columns), f"shard int, {shape}")
+
+
+def links(prints: np.ndarray, max_bits: int, confirm: np.ndarray | None = None, confirm_bits: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs at ``max_bits`` or less, by a vantage-point tree; some twice.
+
+    With ``confirm``, more bits of each place, only pairs that differ in
+    ``confirm_bits`` of those or fewer.
+    """
     waiting = [np.arange(len(prints))]
     while waiting:
         at = waiting.pop()
@@ -135,14 +159,18 @@ def links(prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.nd
         for start in range(0, len(at), LEAF):  # a leaf, or points that no vantage point parts: all, in blocks
             a, b = np.nonzero(apart(here[start : start + LEAF, None], here[None, start:]) <= max_bits)
             kept = a < b
-            if kept.any():
-                yield at[start + a[kept]], at[start + b[kept]]
+            a, b = at[start + a[kept]], at[start + b[kept]]
+            if confirm is not None:
+                kept = apart(confirm[a], confirm[b]).sum(axis=1) <= confirm_bits
+                a, b = a[kept], b[kept]
+            if len(a):
+                yield a, b
 
 
-def local_roots(prints: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each of the sorted fingerprints the place of the smallest one that links lead to."""
+def local_roots(prints: np.ndarray, max_bits: int, *confirm) -> np.ndarray:
+    """For each place the smallest one that links lead to."""
     root = np.arange(len(prints))
-    found = list(links(prints, max_bits))
+    found = list(links(prints, max_bits, *confirm))
     if not found:
         return root
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -199,16 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
 def print_roots(
     distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, max_levels: int = MAX_LEVELS, sample: int = SAMPLE
 ) -> DataFrame:
-    """``node`` and ``root`` of every fingerprint of ``distinct`` (``_fp``) that has a link to another one.
-
-    The upper tree has a leaf for each ``shard_rows`` fingerprints, but no more
-    than ``2 ** max_levels``: beyond that the shards grow. Its vantage points
-    come from ``sample`` fingerprints; all fingerprints are routed and compared.
-    """
-    levels = min(max_levels, max(0, int(np.ceil(np.log2(max(1, distinct.count()) / shard_rows)))))
-    chosen = distinct.orderBy(F.xxhash64(F.col("_fp"), F.lit(1)), "_fp").limit(sample if levels else 0)
-    points, radii = upper_tree(unsigned([r[0] for r in chosen.select("_fp").collect()]), levels)
-    routed = distinct.select("_fp").mapInArrow(_routing(points, radii, max_bits), "shard int, _fp bigint")
+    """``node`` and ``root`` of every fingerprint of ``distinct`` (``_fp``) that has a link to another one."""
+    routed = into_shards(distinct.select("_fp"), max_bits, shard_rows, max_levels, sample)
     return components(routed.groupBy("shard").applyInPandas(_sharded(max_bits), "a bigint, b bigint"))
 
 
@@ -242,7 +262,99 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat that id are all kept, as are documents without an id.
     """
-    found = near_duplicates(docs, doc_id, text, words, **options)
+    return _without(docs, doc_id, near_duplicates(docs, doc_id, text, words, **options))
+
+
+def _without(docs: DataFrame, doc_id: str, found: DataFrame) -> DataFrame:
+    """``docs`` without those that are not the first of their component."""
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     rows = docs.select(F.struct("*").alias("_row"))  # whole rows, whatever their columns are called
     return rows.join(gone, F.col("_row")[doc_id] == F.col("_gone"), "left_anti").select("_row.*")
+
+
+# ---- similar texts ----
+
+def _ones(hashes: list[bytes], bits: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def sketch(text: str, known: dict[bytes, bytes]) -> tuple[list[int], bytes]:
+    """``TABLES`` fingerprints over single words, and 256 bits over ``CONFIRM_WORDS``-word shingles; zeros without words."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * TABLES, bytes(32)
+    single, joint, n = np.zeros(64 * TABLES, np.int64), np.zeros(256, np.int64), max(1, len(found) - CONFIRM_WORDS + 1)
+    for at in range(0, len(found), BLOCK):
+        part = found[at : at + BLOCK]
+        for w in set(part) - known.keys():
+            known[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range(TABLES // 2))
+        single += _ones([known[w] for w in part], 64 * TABLES)
+        if len(known) > KEPT_WORDS:
+            known.clear()
+    for at in range(0, n, BLOCK):
+        part = found[at : min(n, at + BLOCK) + CONFIRM_WORDS - 1]
+        view, ends = memoryview(b" ".join(part)), np.cumsum([len(w) + 1 for w in part]).tolist()
+        last = range(min(CONFIRM_WORDS, len(part)) - 1, len(part))
+        runs = [view[(ends[k - CONFIRM_WORDS] if k >= CONFIRM_WORDS else 0) : ends[k] - 1] for k in last]
+        joint += _ones([xxhash.xxh3_128_digest(r) + xxhash.xxh3_128_digest(r, 1) for r in runs], 256)
+    prints = np.packbits(single * 2 > len(found), bitorder="little").view("<i8").tolist()
+    return prints, np.packbits(joint * 2 > n, bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, bytes] = {}
+    for batch in batches:
+        made = [sketch(t, known) for t in texts_of(batch, "_text")]
+        prints = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(TABLES)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *prints, pa.array([m[1] for m in made], pa.binary())], ["doc_id", *[f"p{k}" for k in range(TABLES)], "confirm"])
+
+
+def _confirmed(max_bits: int, confirm_bits: int):
+    def stars(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        node, bits = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["confirm"]), np.uint64).reshape(-1, 4)
+        root = local_roots(unsigned(rows["_fp"].to_numpy()), max_bits, bits, confirm_bits)
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+
+    return stars
+
+
+def similar_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, confirm_bits: int = CONFIRM_BITS,
+    shard_rows: int = SHARD_ROWS, max_levels: int = MAX_LEVELS, sample: int = SAMPLE,
+) -> DataFrame:
+    """One row for each document: ``doc_id`` and ``component_id``, the smallest id among those that links lead to.
+
+    For texts with 0.8 or more of their five-word shingles in common. Such
+    texts are 3 to 11 bits apart as shingles, too far for the tree, but about
+    two as single words. So ``TABLES`` fingerprints over single words are
+    searched, each by a tree of its own, and a link also needs five-word
+    fingerprints of 256 bits that differ in ``confirm_bits`` or fewer. Equal
+    sketches are compared once, and a shard gives one edge for each of its rows
+    at most. Rows without words are one component; null ids stay null.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    names = [f"p{k}" for k in range(TABLES)]
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{n} bigint' for n in names)}, confirm binary"
+    made = materialize(rows.mapInArrow(_sketches, shape), "sketches")
+    distinct = made.groupBy(*names, "confirm").agg(F.min("doc_id").alias("_min")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "distinct")
+    edges = None
+    for name in names:
+        routed = into_shards(distinct.select(F.col(name).alias("_fp"), "node", "confirm"), max_bits, shard_rows, max_levels, sample)
+        found = routed.groupBy("shard").applyInPandas(_confirmed(max_bits, confirm_bits), "a bigint, b bigint")
+        edges = found if edges is None else edges.unionByName(found)
+    rooted = distinct.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("_min").alias("component_id"))
+    classes = materialize(rooted.join(least, "root").select(*names, "confirm", "component_id"), "classes")
+    return made.join(classes, [*names, "confirm"]).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The documents with the smallest id of their component of similar texts, with all their columns.
+
+    Rows that repeat that id are all kept, as are documents without an id.
+    """
+    return _without(docs, doc_id, similar_documents(docs, doc_id, text, **options))

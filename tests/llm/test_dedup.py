@@ -153,3 +153,45 @@ def test_near_duplicates_by_hand(documents, odd, none):
     kept = S.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, None}
     assert S.near_duplicates(none).count() == 0 and S.drop_near_duplicates(none).count() == 0
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_sketches_whatever_the_block(documents, monkeypatch):
+    texts = [r.text for r in documents.limit(40).collect()] + ["", "one", "a b c d", "a b c d e", "x y z " * 40]
+    whole = [S.sketch(t or "", {}) for t in texts]
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "KEPT_WORDS", 3)
+    assert [S.sketch(t or "", {}) for t in texts] == whole
+
+
+def test_similar_documents(spark):
+    """Nearly all pairs with 0.8 of their shingles in common end in one component, and no text joins one it has little in common with."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0 OR doc_id < 3000").select("doc_id", "text")
+    texts = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    component = {r.doc_id: r.component_id for r in S.similar_documents(docs, shard_rows=500).collect()}
+    assert component.keys() == texts.keys()
+    by_shingle: dict = {}
+    for i, s in texts.items():
+        for x in sorted(s)[:12]:
+            by_shingle.setdefault(x, []).append(i)
+    pairs = {(a, b) for v in by_shingle.values() if len(v) < 100 for a in v for b in v if a < b}
+    alike = [(a, b) for a, b in pairs if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
+    assert len(alike) > 50 and sum(component[a] == component[b] for a, b in alike) >= 0.95 * len(alike)
+    groups: dict = {}
+    for i, c in component.items():
+        groups.setdefault(c, []).append(i)
+    for c, members in groups.items():
+        assert c == min(members)
+        for i in members[:20]:
+            others = [texts[j] for j in members if j != i]
+            assert len(members) == 1 or not texts[i] or max(len(texts[i] & o) / len(texts[i] | o) for o in others) >= 0.45  # told by an estimate
+
+
+def test_similar_odd_rows(odd, none):
+    kept = S.drop_similar(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, None} and 7 not in {r.doc_id for r in kept.collect()}
+    assert S.drop_similar(none).count() == 0
