@@ -31,8 +31,10 @@ def stream_token_cost(
 ) -> DataFrame:
     """Tokens and cost per task and time window.
 
-    Tumbling by default, sliding with ``slide``, per session with ``gap``. Rows
-    later than the watermark are not counted.
+    Tumbling by default, sliding with ``slide``, per session with ``gap``. In
+    append mode a window appears once the watermark has passed it, its state is
+    dropped, and later rows are not counted. In complete mode every window is
+    kept and every row counts: for runs over what there is, not for endless ones.
     """
     if gap:
         window = F.session_window("ts", gap)
