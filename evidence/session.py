@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,14 +44,16 @@ def scratch_dir(spark: SparkSession, name: str = "table") -> str:
     """A fresh path under the folder the cluster shares.
 
     That is ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``.
-    Where neither is set a session on one machine gets a folder of its own; on a
-    cluster an error is raised, because executors do not see each other's disks.
+    Where neither is set a session on one machine gets a folder of its own, which
+    goes when the process ends; on a cluster an error is raised, because executors
+    do not see each other's disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="evidence-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
