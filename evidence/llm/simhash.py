@@ -286,8 +286,9 @@ def sketch(text: str, known: dict[bytes, bytes]) -> tuple[list[int], bytes]:
     single, joint, n = np.zeros(64 * TABLES, np.int64), np.zeros(256, np.int64), max(1, len(found) - CONFIRM_WORDS + 1)
     for at in range(0, len(found), BLOCK):
         part = found[at : at + BLOCK]
-        for w in set(part) - known.keys():
-            known[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range(TABLES // 2))
+        for w in set(part):
+            if w not in known:
+                known[w] = b"".join(xxhash.xxh3_128_digest(w, k) for k in range(TABLES // 2))
         single += _ones([known[w] for w in part], 64 * TABLES)
         if len(known) > KEPT_WORDS:
             known.clear()

@@ -69,7 +69,7 @@ def _counting(definition: str, by_words: bool):
                 words = [t.split(" ") for t in block]
                 if len(sizes) > KEPT_WORDS:
                     sizes.clear()
-                new = list({w for ws in words for w in ws} - sizes.keys())
+                new = [w for w in {w for ws in words for w in ws} if w not in sizes]
                 sizes.update(zip(new, of(new), strict=True))
                 found += [sum(map(sizes.__getitem__, ws)) for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(found, pa.int64())], ["content", "n_tokens"])
