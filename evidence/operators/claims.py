@@ -11,6 +11,7 @@ from evidence import constants as K
 from evidence.functions import citations as C
 from evidence.functions.text import bind, head, not_empty, sentences, strip
 from evidence.operators.hook import score
+from evidence.session import by_key
 from evidence.operators.ranking import rank_in_groups, top_k
 
 SEQ_BUCKET = 100_000
@@ -177,7 +178,7 @@ def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True) -> D
 
     listed = claims.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("_claims"))
     texts = papers.select("doc_id", F.col("text").alias("_text"))
-    return listed.join(texts, "doc_id").select(F.inline(F.transform("_claims", located)))
+    return by_key(listed.join(texts, "doc_id"), "doc_id").select(F.inline(F.transform("_claims", located)))
 
 
 def citation_markers(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
