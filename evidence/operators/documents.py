@@ -86,8 +86,8 @@ def reference_section_of(text: Column, search_from: float = K.BODY_SHARE) -> Col
     return F.coalesce(*after_heading, bind(tail, from_word))
 
 
-def body_of(text: Column, section: Column, share: float = 1.0) -> Column:
-    """Text before the reference section; without one the first ``share`` of the text, by default all of it."""
+def body_of(text: Column, section: Column, share: float = K.BODY_SHARE) -> Column:
+    """Text before the reference section; without one the first ``share`` of the text (1: all of it)."""
     rest = text if share >= 1 else F.substring(text, F.lit(1), F.floor(F.length(text) * share).cast("int"))
     return F.when(
         section.isNotNull() & (section != ""),
@@ -129,7 +129,7 @@ def with_sections(papers: DataFrame) -> DataFrame:
     )
 
 
-def body_text(papers: DataFrame, share: float = 1.0) -> DataFrame:
+def body_text(papers: DataFrame, share: float = K.BODY_SHARE) -> DataFrame:
     return papers.select(
         "doc_id", body_of(F.col("text"), reference_section_of(F.col("text")), share).alias("body")
     )

@@ -56,9 +56,9 @@ def test_reference_section_and_body(spark):
     sections = column(D.reference_section(df), "ref_section")
     assert sections == ["1. A b.", "x", None, "references inline", "body\nReferences\nlist", ""]
     bodies = column(D.body_text(df), "body")
-    assert bodies[0] == "body\nreferences\n" and bodies[2] == "nothing here at all"
-    assert bodies[4] == "contents\nReferences\n" and bodies[5] == "text\nReferences\n"
-    assert column(D.body_text(df, share=0.7), "body")[2] == "nothing here at all"[:13]
+    assert bodies[0] == "body\nreferences\n" and bodies[2] == "nothing here at all"[:13]
+    assert bodies[4] == "contents\nReferences\n" and bodies[5] == "text\nReferences\n"[:11]
+    assert column(D.body_text(df, share=1), "body")[2] == "nothing here at all"
 
 
 def test_styles(spark):
