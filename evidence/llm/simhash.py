@@ -7,6 +7,9 @@ distance ``d`` or less can only be parted when the nearer one lies in the last
 ``d`` steps of the radius (triangle inequality), so those, and no others, are
 sent to the far side as well. Each shard then runs the same tree further down
 to small leaves. Every link is thus seen in at least one leaf.
+
+Similar texts are found without fingerprints: by the exact similarity of their
+sets of shingles, through a prefix filter.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ MAX_LEVELS = 16
 SAMPLE = 32768
 LEAF = 256
 BLOCK = 1 << 16
-#: For similar texts: fingerprints over single words that are searched, words of a shingle of the
-#: fingerprint that confirms a link, and how many of its 256 bits may differ.
+#: For sketches: fingerprints over single words. For similar texts: words of a shingle, words held with
+#: their hashes, shingles whose counts give the order, rows of a block of pairs, and the open pairs for
+#: each row of a shingle that are compared without more ado.
 TABLES = 4
 CONFIRM_WORDS = 5
-CONFIRM_BITS = 49
 KEPT_WORDS = 1 << 18
+COMMON = 1 << 17
+BLOCK_ROWS = 2048
+FREE_PAIRS = 32
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def simhash(text: str, words: int = WORDS) -> int:
@@ -279,7 +286,10 @@ def _ones(hashes: list[bytes], bits: int) -> np.ndarray:
 
 
 def sketch(text: str, known: dict[bytes, bytes]) -> tuple[list[int], bytes]:
-    """``TABLES`` fingerprints over single words, and 256 bits over ``CONFIRM_WORDS``-word shingles; zeros without words."""
+    """``TABLES`` fingerprints over single words, and 256 bits over ``CONFIRM_WORDS``-word shingles; zeros without words.
+
+    An estimate, which ``similar_documents`` does not rest on.
+    """
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return [0] * TABLES, bytes(32)
@@ -302,55 +312,157 @@ def sketch(text: str, known: dict[bytes, bytes]) -> tuple[list[int], bytes]:
     return prints, np.packbits(joint * 2 > n, bitorder="little").tobytes()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, bytes] = {}
-    for batch in batches:
-        made = [sketch(t, known) for t in texts_of(batch, "_text")]
-        prints = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(TABLES)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *prints, pa.array([m[1] for m in made], pa.binary())], ["doc_id", *[f"p{k}" for k in range(TABLES)], "confirm"])
+class _Words(dict):
+    """Hashes of words, counted out once each."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def _confirmed(max_bits: int, confirm_bits: int):
-    def stars(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        node, bits = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["confirm"]), np.uint64).reshape(-1, 4)
-        root = local_roots(unsigned(rows["_fp"].to_numpy()), max_bits, bits, confirm_bits)
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
 
-    return stars
+def shingle_set(text: str, known: _Words) -> np.ndarray:
+    """The distinct hashes of all ``CONFIRM_WORDS``-word shingles, sorted; of a shorter text one, without words none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    words = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    width = min(CONFIRM_WORDS, len(found))
+    n = len(found) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ words[k : k + n]) * MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else 0
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
+    for batch in batches:
+        found = [shingle_set(t, known) for t in texts_of(batch, "_text")]
+        yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), _lists(found)], ["node", "shingles"])
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray):
+    """The shingles of which two similar texts share one: all but 0.8 of a text's and one more, seldom ones first."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            nodes, sizes, firsts = [], [], []
+            for text in texts_of(batch, "_text"):
+                found = shingle_set(text, known)
+                n = len(found)
+                nodes.append(_node(found))
+                sizes.append(n)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+                firsts.append(found[: n - (4 * n + 4) // 5 + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)], ["doc_id", "node", "n", "prefix"])
+
+    return prefixes
+
+
+def _common(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in about ``sample`` texts, and their counts there: they only decide an order."""
+    share = max(1, rows.count() // max(1, sample))
+    seen = rows.where(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(_sets, "node bigint, shingles array<bigint>")
+    counted = seen.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    found = counted.orderBy(F.desc("c"), "s").limit(COMMON).collect()
+    common, counts = unsigned([r.s for r in found]), np.array([r.c for r in found], np.int64)
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def _fits(n: str, m: str, i: str, j: str) -> str:
+    """What sizes and places in the order leave room for, at the first shingle that two texts with 0.8 in common share."""
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})"
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets have 0.8 or more in common, stored."""
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    return materialize(both.where("9 * size(array_intersect(_a, _b)) >= 4 * (size(_a) + size(_b))").select("a", "b"), "alike")
+
+
+def _stars(live: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one text of every open shingle, the same for as many shingles as can be, and all others that hold it."""
+    live = live.join(open_.select("token"), "token", "left_semi")
+    first = live.groupBy("token").agg(F.min_by(F.struct("node", "label", "n", "pos"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("r"))
+    found = live.join(first, "token").where("label <> r.label").where(_fits("n", "r.n", "pos", "r.pos"))
+    return found.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
+
+
+def _crosses(live: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
+    """All pairs of texts of different labels that share an open shingle, in blocks of ``block_rows`` against each other."""
+    held = live.join(open_.select("token", "major", F.ceil(F.col("rows") / block_rows).alias("k")), "token")
+    own, every = F.pmod(F.xxhash64("node", F.lit(-1)), "k"), F.explode(F.expr("sequence(0L, k - 1)"))
+    left = held.where("label <> major").select("token", "node", "label", "n", "pos", own.alias("i"), every.alias("j"))
+    right = held.select("token", "major", every.alias("i"), own.alias("j"), *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "pos")])
+    found = left.join(right, ["token", "i", "j"]).where("label <> _label AND (_label = major OR node < _node)").where(_fits("n", "_n", "pos", "_pos"))
+    return found.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
 
 
 def similar_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, confirm_bits: int = CONFIRM_BITS,
-    shard_rows: int = SHARD_ROWS, max_levels: int = MAX_LEVELS, sample: int = SAMPLE,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = BLOCK_ROWS, sample: int = SAMPLE, free_pairs: int = FREE_PAIRS,
 ) -> DataFrame:
     """One row for each document: ``doc_id`` and ``component_id``, the smallest id among those that links lead to.
 
-    For texts with 0.8 or more of their five-word shingles in common. Such
-    texts are 3 to 11 bits apart as shingles, too far for the tree, but about
-    two as single words. So ``TABLES`` fingerprints over single words are
-    searched, each by a tree of its own, and a link also needs five-word
-    fingerprints of 256 bits that differ in ``confirm_bits`` or fewer. Equal
-    sketches are compared once, and a shard gives one edge for each of its rows
-    at most. Rows without words are one component; null ids stay null.
+    Texts link where the sets of their five-word shingles (as 64-bit hashes)
+    have a Jaccard similarity of 0.8 or more; every such pair ends in one
+    component and nothing below links. Two such texts share a shingle among the
+    first fifth of each in any common order (prefix filter). While shingles have
+    more than ``free_pairs`` open pairs for each row, one text of each is
+    compared with all that hold it, and pairs within a component found so far
+    are no longer open; then all open pairs are compared, in blocks of
+    ``shard_rows``. Equal sets are compared once. The order, seldom shingles
+    first, comes from about ``sample`` texts and changes no result. Rows without
+    words are one component; null ids stay null.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    names = [f"p{k}" for k in range(TABLES)]
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{n} bigint' for n in names)}, confirm binary"
-    made = materialize(rows.mapInArrow(_sketches, shape), "sketches")
-    distinct = made.groupBy(*names, "confirm").agg(F.min("doc_id").alias("_min")).withColumn("node", F.monotonically_increasing_id())
-    distinct = materialize(distinct, "distinct")
-    edges = None
-    for name in names:
-        routed = into_shards(distinct.select(F.col(name).alias("_fp"), "node", "confirm"), max_bits, shard_rows, max_levels, sample)
-        found = routed.groupBy("shard").applyInPandas(_confirmed(max_bits, confirm_bits), "a bigint, b bigint")
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, prefix array<bigint>"
+    made = materialize(rows.mapInArrow(_prefixes(*_common(rows, sample)), shape), "prefixes")
+    distinct = made.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = postings.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("token")
+    whole = materialize(postings.join(shared, "token"), "postings")
+    sets = rows.select("_text").mapInArrow(_sets, "node bigint, shingles array<bigint>")
+    sets = materialize(sets.join(whole.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    live, edges, roots, last = whole.withColumn("label", F.col("node")), None, None, None
+    for turn in range(64):
+        each = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+        counted = each.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * CAST(c AS double)")).alias("q"), F.max_by("label", F.struct("c", "label")).alias("major"))
+        open_ = materialize(counted.withColumn("open", F.expr("(rows * CAST(rows AS double) - q) / 2")).where("open > 0"), "open")
+        n, pairs = open_.agg(F.sum("rows"), F.sum("open")).first()
+        if not n:
+            break
+        rest = pairs <= free_pairs * n or (last is not None and pairs > 0.8 * last)
+        last = pairs
+        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, open_, turn), sets)
         edges = found if edges is None else edges.unionByName(found)
-    rooted = distinct.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("_min").alias("component_id"))
-    classes = materialize(rooted.join(least, "root").select(*names, "confirm", "component_id"), "classes")
-    return made.join(classes, [*names, "confirm"]).select("doc_id", "component_id")
+        roots = components(edges)
+        if rest:
+            break
+        live = whole.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    if roots is not None:
+        made = made.join(roots, "node", "left")
+    rooted = made.select("doc_id", (F.coalesce("root", "node") if roots is not None else F.col("node")).alias("root"))
+    rooted = materialize(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:

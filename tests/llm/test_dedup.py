@@ -191,6 +191,51 @@ def test_similar_documents(spark):
             assert len(members) == 1 or not texts[i] or max(len(texts[i] & o) / len(texts[i] | o) for o in others) >= 0.45  # told by an estimate
 
 
+def jaccard_roots(texts):
+    """The smallest place of each text's component, by all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(k), find(j)))
+                root[y] = x
+    return [find(k) for k in range(len(texts))]
+
+
+def appended_and_edited(seed):
+    """Texts of distinct words and such that repeat words: one text appended to another, and scattered edits, about 0.8."""
+    pick, texts = random.Random(seed), []
+    for k in range(60):
+        word = (lambda k=k: f"w{k}x{pick.getrandbits(40)}") if k % 2 else (lambda: f"w{int(pick.paretovariate(0.9)) % 5000}")
+        base = [word() for _ in range(pick.choice([3, 8, 30, 100, 200]))]
+        more = base + [word() for _ in range(round(len(base) * pick.uniform(0.18, 0.30)))]
+        edited = list(base)
+        for at in pick.sample(range(len(base)), max(1, round(len(base) * pick.uniform(0.015, 0.03)))):
+            edited[at] = word()
+        texts += [" ".join(base), " ".join(more), " ".join(edited)]
+    return texts
+
+
+@pytest.mark.parametrize("options", [{}, {"free_pairs": 0, "shard_rows": 3, "sample": 20}])
+def test_similar_is_exact(spark, options):
+    pick, texts = random.Random(3), appended_and_edited(1)
+    passage, hot = " ".join(f"p{k}" for k in range(60)), [f"h{k}" for k in range(90)]
+    texts += [f"{passage} {' '.join(f'u{pick.getrandbits(30)}' for _ in range(pick.randint(8, 30)))}" for _ in range(60)]
+    for _ in range(120):
+        copy = list(hot)
+        for at in pick.sample(range(90), pick.randint(0, 3)):
+            copy[at] = f"e{pick.getrandbits(30)}"
+        texts.append(" ".join(copy))
+    found = S.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5), **options)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(jaccard_roots(texts)))
+
+
 def test_similar_odd_rows(odd, none):
     kept = S.drop_similar(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, None} and 7 not in {r.doc_id for r in kept.collect()}
