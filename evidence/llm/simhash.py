@@ -15,6 +15,7 @@ sets of shingles, through a prefix filter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,11 @@ from evidence.session import materialize
 WORDS = 3
 MAX_BITS = 2
 SEED = 42
-#: Fingerprints in a shard, about; the levels of the upper tree; the sample that it is fitted on.
+#: Fingerprints in a shard, about; the levels of the upper tree; how many times as many a shard may hold
+#: in one task; the sample that the tree is fitted on.
 SHARD_ROWS = 8192
 MAX_LEVELS = 16
+FULL = 4
 SAMPLE = 32768
 LEAF = 256
 BLOCK = 1 << 16
@@ -175,21 +178,22 @@ def links(prints: np.ndarray, max_bits: int, confirm: np.ndarray | None = None,
 
 
 def local_roots(prints: np.ndarray, max_bits: int, *confirm) -> np.ndarray:
-    """For each place the smallest one that links lead to."""
+    """For each place the smallest one that links lead to; pairs are folded in as they come, never listed."""
     root = np.arange(len(prints))
-    found = list(links(prints, max_bits, *confirm))
-    if not found:
-        return root
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    while True:
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, was, root)  # what a root learns, all below it learn
-        root = root[root]
-        if np.array_equal(root, was):
-            return root
+    for a, b in links(prints, max_bits, *confirm):
+        a, b = root[a], root[b]
+        parted = a != b
+        a, b = a[parted], b[parted]
+        while len(a):
+            low = np.minimum(root[a], root[b])
+            was = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            np.minimum.at(root, was, root)  # what a root learns, all below it learn
+            root = root[root]
+            if np.array_equal(root, was):
+                break
+    return root
 
 
 def _sharded(max_bits: int):
@@ -202,6 +206,38 @@ def _sharded(max_bits: int):
     return stars
 
 
+def _balls(max_bits: int):
+    """Every fingerprint with all values within half of ``max_bits`` of it; ``_near`` where the rest reaches as far again."""
+    half = (max_bits + 1) // 2
+    masks = [sum(1 << b for b in bits) for k in range(half + 1) for bits in combinations(range(64), k)]
+    masks = np.array(masks, np.uint64)
+    near = np.bitwise_count(masks) <= max_bits - half
+    step = max(1, BLOCK // len(masks))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = unsigned(batch.column("_fp").to_numpy(zero_copy_only=False))
+            for at in range(0, len(prints), step):
+                part = prints[at : at + step]
+                keys = (part[:, None] ^ masks[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.repeat(part, len(masks)).view(np.int64)), pa.array(np.tile(near, len(part)))], ["_key", "_fp", "_near"])
+
+    return balls
+
+
+def ball_links(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (``a``, ``b``) that give distinct fingerprints the components of all links at ``max_bits`` or less.
+
+    Two of them link where their balls share a value. A value is in the balls
+    of no more fingerprints than a ball has values, so however many lie close
+    together, no group grows, and no pairs are made.
+    """
+    met = prints.mapInArrow(_balls(max_bits), "_key bigint, _fp bigint, _near boolean").groupBy("_key")
+    met = met.agg(F.min(F.when(F.col("_near"), F.col("_fp"))).alias("b"), F.collect_list("_fp").alias("_all")).where("b IS NOT NULL AND size(_all) > 1")
+    return met.select(F.explode("_all").alias("a"), "b").where("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every node of ``edges`` (``a``, ``b``); nodes that edges connect have one root.
 
@@ -234,9 +270,17 @@ def components(edges: DataFrame) -> DataFrame:
 def print_roots(
     distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, max_levels: int = MAX_LEVELS, sample: int = SAMPLE
 ) -> DataFrame:
-    """``node`` and ``root`` of every fingerprint of ``distinct`` (``_fp``) that has a link to another one."""
-    routed = into_shards(distinct.select("_fp"), max_bits, shard_rows, max_levels, sample)
-    return components(routed.groupBy("shard").applyInPandas(_sharded(max_bits), "a bigint, b bigint"))
+    """``node`` and ``root`` of every fingerprint of ``distinct`` (``_fp``) that has a link to another one.
+
+    Shards of more than ``FULL`` times ``shard_rows``, which the tree could not
+    part, are linked through ``ball_links`` instead of in one task each.
+    """
+    routed = materialize(into_shards(distinct.select("_fp"), max_bits, shard_rows, max_levels, sample), "routed")
+    full = [r.shard for r in routed.groupBy("shard").count().where(F.col("count") > FULL * shard_rows).collect()]
+    edges = routed.where(~F.col("shard").isin(full)).groupBy("shard").applyInPandas(_sharded(max_bits), "a bigint, b bigint")
+    if full:
+        edges = edges.unionByName(ball_links(routed.where(F.col("shard").isin(full)).select("_fp").distinct(), max_bits))
+    return components(edges)
 
 
 def classes_of(prints: DataFrame, **options: int) -> DataFrame:

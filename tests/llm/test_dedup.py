@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -129,6 +130,42 @@ def test_sharded_components(spark, monkeypatch):
         assert found == {s: least[roots[p]] for s, p in zip(signed, prints, strict=True)}
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+def test_full_shards_are_parted(spark, monkeypatch, bits):
+    """Many fingerprints a few bits around one, which no tree parts: components as by all pairs, and no task gets them all."""
+    whole = S.local_roots
+
+    def bounded(prints, *rest):
+        assert len(prints) <= 80
+        return whole(prints, *rest)
+
+    monkeypatch.setattr(S, "local_roots", bounded)
+    pick, near = random.Random(bits), set()
+    while len(near) < 700:
+        near.add(sum(1 << b for b in pick.sample(range(64), pick.randint(2, 6))))
+    prints = sorted(near | set(close_prints(200, 5)))
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id bigint, _fp bigint")
+    found = {r._fp: r.component_id for r in S.classes_of(df, max_bits=bits, shard_rows=20, max_levels=3).collect()}
+    roots, least = components_of(prints, bits), {}
+    for k, p in enumerate(prints):
+        least.setdefault(roots[p], k)
+    assert found == {s: least[roots[p]] for s, p in zip(signed, prints, strict=True)}
+
+
+def test_pairs_are_not_listed(monkeypatch):
+    def blocks(prints, *_):
+        for k in range(100):
+            yield np.full(100_000, k), np.full(100_000, k + 1)
+
+    monkeypatch.setattr(S, "links", blocks)
+    tracemalloc.start()
+    assert S.local_roots(np.arange(101, dtype=np.uint64), 2).max() == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # all blocks are 160 MB
+
+
 def test_long_chains_and_stars(spark):
     pick = random.Random(7)
     chain = list(range(200))
