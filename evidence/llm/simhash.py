@@ -39,12 +39,14 @@ SAMPLE = 32768
 LEAF = 256
 BLOCK = 1 << 16
 #: For sketches: fingerprints over single words. For similar texts: words of a shingle, words held with
-#: their hashes, shingles whose counts give the order, rows of a block of pairs, and the open pairs for
-#: each row of a shingle that are compared without more ado.
+#: their hashes, texts counted for the order and shingles whose counts give it, bits that mark nodes,
+#: rows of a block of pairs, and the open pairs for each row of a shingle that are compared at once.
 TABLES = 4
 CONFIRM_WORDS = 5
 KEPT_WORDS = 1 << 18
+COUNTED = 4096
 COMMON = 1 << 17
+MARKS = 1 << 24
 BLOCK_ROWS = 2048
 FREE_PAIRS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -391,11 +393,35 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else 0
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
-    for batch in batches:
-        found = [shingle_set(t, known) for t in texts_of(batch, "_text")]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), _lists(found)], ["node", "shingles"])
+def _sets(marks: np.ndarray | None = None):
+    """Nodes and their shingles; with ``marks`` of the nodes that are looked for, few others."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            found = [shingle_set(t, known) for t in texts_of(batch, "_text")]
+            nodes = np.array([_node(f) for f in found], np.int64)
+            if marks is not None:
+                at = nodes.view(np.uint64) % np.uint64(MARKS)
+                kept = np.flatnonzero(marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                found, nodes = [found[k] for k in kept], nodes[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(found)], ["node", "shingles"])
+
+    return sets
+
+
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """``MARKS`` bits, one of which is set for each node: what has none is not among them."""
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS // 8, np.uint8)
+        for batch in batches:
+            at = unsigned(batch.column("node").to_numpy(zero_copy_only=False)) % np.uint64(MARKS)
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for row in nodes.coalesce(16).mapInArrow(marked, "bits binary").collect():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    return bits
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray):
@@ -422,7 +448,7 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
 def _common(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in about ``sample`` texts, and their counts there: they only decide an order."""
     share = max(1, rows.count() // max(1, sample))
-    seen = rows.where(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(_sets, "node bigint, shingles array<bigint>")
+    seen = rows.where(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select("_text").mapInArrow(_sets(), "node bigint, shingles array<bigint>")
     counted = seen.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
     found = counted.orderBy(F.desc("c"), "s").limit(COMMON).collect()
     common, counts = unsigned([r.s for r in found]), np.array([r.c for r in found], np.int64)
@@ -435,10 +461,14 @@ def _fits(n: str, m: str, i: str, j: str) -> str:
     return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})"
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets have 0.8 or more in common, stored."""
+def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets have 0.8 or more in common, stored; sets are made again for texts with a pair."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = rows.select("_text").mapInArrow(_sets(_marks(nodes)), "node bigint, shingles array<bigint>")
+    sets = materialize(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     return materialize(both.where("9 * size(array_intersect(_a, _b)) >= 4 * (size(_a) + size(_b))").select("a", "b"), "alike")
 
 
@@ -461,7 +491,7 @@ def _crosses(live: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = BLOCK_ROWS, sample: int = SAMPLE, free_pairs: int = FREE_PAIRS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = BLOCK_ROWS, sample: int = COUNTED, free_pairs: int = FREE_PAIRS,
 ) -> DataFrame:
     """One row for each document: ``doc_id`` and ``component_id``, the smallest id among those that links lead to.
 
@@ -481,10 +511,8 @@ def similar_documents(
     made = materialize(rows.mapInArrow(_prefixes(*_common(rows, sample)), shape), "prefixes")
     distinct = made.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("token")
+    shared = postings.groupBy("token").count().where("count > 1").select("token")
     whole = materialize(postings.join(shared, "token"), "postings")
-    sets = rows.select("_text").mapInArrow(_sets, "node bigint, shingles array<bigint>")
-    sets = materialize(sets.join(whole.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
     live, edges, roots, last = whole.withColumn("label", F.col("node")), None, None, None
     for turn in range(64):
         each = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -495,7 +523,7 @@ def similar_documents(
             break
         rest = pairs <= free_pairs * n or (last is not None and pairs > 0.8 * last)
         last = pairs
-        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, open_, turn), sets)
+        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, open_, turn), rows)
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
         if rest:
