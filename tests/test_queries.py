@@ -24,6 +24,10 @@ def duck():
 
 
 def plain(value):
+    if isinstance(value, dict):
+        return tuple(sorted((plain(k), plain(v)) for k, v in value.items()))
+    if isinstance(value, (list, tuple)):
+        return tuple(map(plain, value))
     if isinstance(value, float):
         return "nan" if math.isnan(value) else float(f"{value:.12g}")
     return value.replace(tzinfo=None) if hasattr(value, "tzinfo") else value
