@@ -32,8 +32,11 @@ from evidence.session import materialize
 SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 FAN = 64
-#: Words, and pairs of pieces, whose results a task keeps.
-KEPT = 1 << 19
+#: Words, and pairs of pieces, whose results a task keeps: some 400 and 100 bytes each, 60 MB together.
+KEPT_WORDS = 1 << 17
+KEPT_PAIRS = 1 << 17
+#: Words longer than this are not kept, so that the number of kept words bounds their bytes.
+KEPT_CHARS = 64
 #: Rows of a batch that are Python objects at a time.
 ROWS = 128
 LOW = -math.inf
@@ -71,6 +74,7 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.chars: dict[str, int] = {}  # numbers of characters that are no pieces
         self.split = re.compile(f"{SPACE}+[^{SPACE}]*")
+        self.opening = re.compile(f"(?<=[^{SPACE}]){SPACE}")
         probe = "One  more\ttest, été 12\n"
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) or library.encode(probe) != self.encode(probe):
             raise ValueError("only merge (BPE) models that keep white space and do not join words are supported")
@@ -103,7 +107,7 @@ class Pieces:
         key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > KEPT:
+            if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             left = [self.names[a]] if a >= 0 else []
             known = self.pairs[key] = self.merged("".join(left) + self.names[b]) == [*left, self.names[b]]
@@ -151,9 +155,11 @@ class Pieces:
             path.append((i,) if i < self.size else self.ids_of(self.names[i]))
             weight += weights[i] if i < self.size else 0.0
             end = back[end]
-        if len(self.words) > KEPT:
-            self.words.clear()
-        found = self.words[word] = (tuple(i for ids in reversed(path) for i in ids), weight)
+        found = (tuple(i for ids in reversed(path) for i in ids), weight)
+        if n <= KEPT_CHARS:
+            if len(self.words) > KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -163,8 +169,11 @@ class Pieces:
             out += (known.get(word) or self.word(word))[0]
         return out
 
+    def spell(self, ids: list[int]) -> str:
+        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        return self.spell(ids).removeprefix(" ")
 
     # ---- chunks of giant documents ----
 
@@ -188,7 +197,7 @@ class Pieces:
         for k, state in enumerate(entries):
             at = front.setdefault(state[1] if state else lo, {})
             at.setdefault(state, [LOW] * len(entries))[k] = 0.0
-        starts = [m.start() for m in re.finditer(f"(?:^|(?<=[^{SPACE}])){SPACE}", text)]
+        starts = [0] * text.startswith(SPACE) + [m.start() for m in self.opening.finditer(text)]
         following = dict(zip(starts, starts[1:], strict=False))
         openings = set(starts)
         for pos in range(lo, hi):
@@ -229,12 +238,18 @@ class Pieces:
         text, lo, hi = before + body + after, len(before), len(before) + len(body)
         entries = self.states(text, lo) if before else [None]
         exits = self.states(text, hi)
-        front = self.sweep(text, lo, hi, entries)
-        columns = [front.get(e, {}).get((s, e)) or [LOW] * len(entries) for s, e in exits]
+        meet = self.opening.search(text, lo, hi) if before else None
+        if meet:  # every path passes the begin of this word, so what follows is the same for all entries
+            reached = [max(x) for x in zip(*self.sweep(text, lo, meet.start(), entries)[meet.start()].values(), strict=True)]
+            front = self.sweep(text, meet.start(), hi, [None])
+            columns = [[x + y for x in reached for y in front.get(e, {}).get((s, e), [LOW])] for s, e in exits]
+        else:
+            front = self.sweep(text, lo, hi, entries)
+            columns = [front.get(e, {}).get((s, e)) or [LOW] * len(entries) for s, e in exits]
         return len(entries), len(exits), [c[k] for k in range(len(entries)) for c in columns]
 
-    def backtrace(self, before: str, body: str, after: str, entry: int, leave: int) -> list[int]:
-        """The ids of the pieces that begin in a chunk, between two chosen states."""
+    def backtrace(self, before: str, body: str, after: str, entry: int, leave: int) -> tuple[list[int], int, int]:
+        """The ids of the pieces that begin in a chunk, between two chosen states, and the places they reach from and to."""
         text, lo, hi = before + body + after, len(before), len(before) + len(body)
         first = self.states(text, lo)[entry] if before else None
         state = self.states(text, hi)[leave]
@@ -245,7 +260,7 @@ class Pieces:
             pos, way, ids = trace[at]
             found.append(ids)
             at = (pos, way)
-        return [i for ids in reversed(found) for i in ids]
+        return [i for ids in reversed(found) for i in ids], first[1] if first else lo, state[1]
 
 
 def times(a: tuple, b: tuple) -> tuple[int, int, list[float]]:
@@ -256,24 +271,39 @@ def times(a: tuple, b: tuple) -> tuple[int, int, list[float]]:
     return n, p, [max(map(sum, zip(r, c, strict=True))) for r in rows for c in columns]
 
 
-def _whole(model: bytes):
+def _whole(model: bytes, check: bool):
+    """Ids of texts of one chunk and, with ``check``, whether they decode to the text; the text itself stays in the task."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = pa.array([pieces.encode(t) for t in texts_of(part, "_text")], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_text"), ids], ["doc_id", "_text", "ids"])
+                ids, same = [], []
+                for text in texts_of(part, "_text"):
+                    ids.append(pieces.encode(text))
+                    same.append(pieces.decode(ids[-1]) == text if check else None)
+                columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "same"])
 
     return encode
 
 
+def _chunk_rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The chunks of a batch one by one: text before, of and behind it, and the values of ``columns``."""
+    for at in range(batch.num_rows):
+        yield tuple(batch.column(c)[at].as_py() for c in ("before", "body", "after", *columns))
+
+
+def _signed(*texts: str) -> list[str]:
+    return [t.replace(" ", SPACE) for t in texts]
+
+
 def _matrices(model: bytes):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            parts = zip(*[batch.column(c).to_pylist() for c in ("before", "body", "after")], strict=True)
-            made = list(zip(*[pieces.matrix(*p) for p in parts], strict=True)) or [[], [], []]
+            made = list(zip(*[pieces.matrix(*_signed(*chunk)) for chunk in _chunk_rows(batch)], strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("no"), *(pa.array(list(x), t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True))],
                 ["digest", "no", "n_in", "n_out", "weights"],
@@ -283,12 +313,18 @@ def _matrices(model: bytes):
 
 
 def _tracing(model: bytes):
+    """Ids of chunks between their two states, and whether they decode to the characters they cover."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            parts = zip(*[batch.column(c).to_pylist() for c in ("before", "body", "after", "entry", "leave")], strict=True)
-            ids = pa.array([pieces.backtrace(*p) for p in parts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("no"), ids], ["digest", "no", "ids"])
+            ids, same = [], []
+            for before, body, after, entry, leave in _chunk_rows(batch, "entry", "leave"):
+                found, begin, end = pieces.backtrace(*_signed(before, body, after), entry, leave)
+                ids.append(found)
+                same.append(pieces.spell(found) == (before + body + after)[begin:end])
+            columns = [batch.column("digest"), batch.column("no"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "no", "ids", "same"])
 
     return compute
 
@@ -338,13 +374,12 @@ def _scan(matrices: DataFrame) -> DataFrame:
 
 
 def _chunks(texts: DataFrame, size: int, reach: int) -> DataFrame:
-    """``digest``, ``no`` and the text of every chunk with ``reach`` characters on both sides."""
-    norm = F.concat(F.lit(SPACE), F.translate("_text", " ", SPACE))
-    last = F.floor((F.length("_norm") - 1) / size).cast("bigint")
-    cut = lambda begin, n: F.substring(F.col("_norm"), begin, n)
+    """``digest``, ``no`` and the text of every chunk, a space put first, with ``reach`` characters on both sides."""
+    last = F.floor((F.length("_text")) / size).cast("bigint")
+    cut = lambda begin, n: F.substring(F.col("_text"), begin, n)
     begin = (F.col("no") * size + 1).cast("int")
     return (
-        texts.select("digest", norm.alias("_norm")).select("digest", "_norm", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("no"))
+        texts.select("digest", F.concat(F.lit(" "), "_text").alias("_text"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("no"))
         .select(
             "digest", "no",
             F.when(F.col("no") > 0, cut(begin - reach, F.lit(reach))).otherwise("").alias("before"),
@@ -358,38 +393,38 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row for each document: ``doc_id``, ``ids`` (array of int), ``n_tokens``, ``n_chunks``, ``source_text``.
-
-    Texts of ``chunk_chars`` characters or fewer are one chunk; longer ones are
-    cut, scanned and traced back chunk by chunk, copies of a text once. The ids
-    are those of the library for the whole text. Null and empty texts have no
-    ids. Repeated rows keep a row each; other columns are not read.
-    """
+def _coded(docs: DataFrame, model: bytes, doc_id: str, text: str, chunk_chars: int, check: bool) -> DataFrame:
+    """``doc_id``, ``ids``, ``same``, ``n_chunks``."""
     reach = Pieces(model).longest
     if chunk_chars < 2 * reach:
         raise ValueError(f"chunks need {2 * reach} characters or more")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     long = F.length("_text") >= chunk_chars
-    whole = rows.where(~long).mapInArrow(_whole(model), f"doc_id {kind}, _text string, ids array<int>").withColumn("n_chunks", F.lit(1).cast("bigint"))
+    whole = rows.where(~long).mapInArrow(_whole(model, check), f"doc_id {kind}, ids array<int>, same boolean")
+    whole = whole.withColumn("n_chunks", F.lit(1).cast("bigint"))
     giant = rows.where(long).withColumn("digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))
-    chunks = _chunks(giant, chunk_chars, reach)
+    chunks = materialize(_chunks(giant.select("digest", "_text").dropDuplicates(["digest"]), chunk_chars, reach), "chunks")
     shape = "digest binary, no bigint, n_in int, n_out int, weights array<double>"
-    matrices = materialize(chunks.mapInArrow(_matrices(model), shape).dropDuplicates(["digest", "no"]), "matrices")
-    states = _scan(matrices)
-    traced = (
-        chunks.dropDuplicates(["digest", "no"]).join(states, ["digest", "no"])
-        .mapInArrow(_tracing(model), "digest binary, no bigint, ids array<int>")
-    )
-    joined = traced.groupBy("digest").agg(F.collect_list(F.struct("no", "ids")).alias("_parts")).select(
-        "digest", F.flatten(F.array_sort("_parts")["ids"]).alias("ids"), F.size("_parts").cast("bigint").alias("n_chunks")
-    )
+    states = _scan(materialize(chunks.mapInArrow(_matrices(model), shape), "matrices"))
+    traced = chunks.join(states, ["digest", "no"]).mapInArrow(_tracing(model), "digest binary, no bigint, ids array<int>, same boolean")
+    joined = traced.groupBy("digest").agg(
+        F.collect_list(F.struct("no", "ids")).alias("_parts"), F.bool_and("same").alias("same")
+    ).select("digest", F.flatten(F.array_sort("_parts")["ids"]).alias("ids"), "same", F.size("_parts").cast("bigint").alias("n_chunks"))
     joined = materialize(joined, "ids")
-    long_ids = giant.join(joined, "digest").select("doc_id", "_text", "ids", "n_chunks")
-    return whole.unionByName(long_ids).select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "n_chunks", F.col("_text").alias("source_text")
-    )
+    return whole.unionByName(giant.select("doc_id", "digest").join(joined, "digest").drop("digest"))
+
+
+def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """One row for each document: ``doc_id``, ``ids`` (array of int), ``n_tokens``, ``n_chunks``.
+
+    Texts of less than ``chunk_chars`` characters are one chunk; longer ones are
+    made distinct, cut once, scanned and traced back chunk by chunk. The ids
+    are those of the library for the whole text. Null and empty texts have no
+    ids. Repeated rows keep a row each; other columns are not read.
+    """
+    coded = _coded(docs, model, doc_id, text, chunk_chars, check=False)
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "n_chunks")
 
 
 def _decoding(model: bytes):
@@ -417,11 +452,12 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", to: str = "text")
     return decoded.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("text").alias(to))
 
 
-def round_trip(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Encoded documents and whether decoding gives their text again: ``doc_id``, ``ids``, ``n_tokens``, ``n_chunks``, ``same``.
 
-    ``same`` is false only for texts that hold the model's own space sign.
+    A text is encoded, decoded and compared in one step, a giant text chunk by
+    chunk. ``same`` is false only for texts that hold the model's own space
+    sign. Rows are as those of ``encode``.
     """
-    back = decode(encode(docs, model, doc_id, text, **options), model, to="_back")
-    return back.select("doc_id", "ids", "n_tokens", "n_chunks", (F.col("source_text") == F.col("_back")).alias("same"))
-
+    coded = _coded(docs, model, doc_id, text, chunk_chars, check=True)
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "n_chunks", "same")

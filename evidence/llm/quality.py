@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence.llm.common import Adam, blocks, bytes_of, windows
@@ -23,6 +23,8 @@ TRAINED_PASSAGES = 48
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE = 40, 64, 3e-3
 BLOCK_BYTES = 1 << 21
+#: Rows of a batch that are Python objects at a time.
+ROWS = 512
 SEED = 5
 
 Model = dict[str, np.ndarray]
@@ -176,18 +178,29 @@ def scores(model: Model, texts: list[bytes]) -> list[float]:
     return found
 
 
+def _scored_batches(model: Model | None, batches: Iterator[pa.RecordBatch], texts) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
+    """Batches of at most ``ROWS`` rows with their scores; ``texts`` gives the texts of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, [0.5] * part.num_rows if model is None else scores(model, texts(part))
+
+
 def _scoring(model: Model | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [0.5] * batch.num_rows if model is None else scores(model, bytes_of(batch, "_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.float64())], ["_row", "_score"])
+        for part, found in _scored_batches(model, batches, lambda b: bytes_of(b, "_text")):
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, pa.float64())], ["_row", "_score"])
 
     return score
 
 
-def _scored(row: Column, docs: DataFrame, model: Model | None, text: str) -> DataFrame:
-    rows = docs.select(row.alias("_row"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_scoring(model), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
+def _keeping(model: Model | None, place: int, threshold: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = lambda b: [x or b"" for x in b.column(0).field(place).cast(pa.binary()).to_pylist()]
+        for part, found in _scored_batches(model, batches, texts):
+            yield part.filter(pa.array([x >= threshold for x in found], pa.bool_()))
+
+    return keep
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -198,11 +211,15 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     learned, every score is 0.5. Repeated rows keep a row each; other columns
     are not read.
     """
-    return _scored(F.col(doc_id), docs, model, text).select(
+    rows = docs.select(F.col(doc_id).alias("_row"), F.col(text).alias("_text"))
+    found = rows.mapInArrow(_scoring(model), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
+    return found.select(
         F.col("_row").alias("doc_id"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with all their columns."""
-    return _scored(F.struct("*"), docs, model, text).where(F.col("_score") >= threshold).select("_row.*")
+    """The documents whose score reaches ``threshold``, with all their columns; every row passes the task once."""
+    rows = docs.select(F.struct("*").alias("_row"))
+    kept = rows.mapInArrow(_keeping(model, docs.columns.index(text), threshold), rows.schema)
+    return kept.select("_row.*")
