@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -32,10 +32,10 @@ from evidence.session import materialize
 SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 FAN = 64
-#: Words, and pairs of pieces, whose results a task keeps: some 400 and 100 bytes each, 60 MB together.
-KEPT_WORDS = 1 << 17
+#: Words, and pairs of pieces, whose results a task keeps: some 400 and 100 bytes each, some 100 MB together.
+KEPT_WORDS = 1 << 18
 KEPT_PAIRS = 1 << 17
-#: Words longer than this are not kept, so that the number of kept words bounds their bytes.
+#: Longer words are searched and not kept, so that the number of kept words bounds their bytes.
 KEPT_CHARS = 64
 #: Rows of a batch that are Python objects at a time.
 ROWS = 128
@@ -46,7 +46,7 @@ class Pieces:
     """The lattice of one model; not sent to tasks but built there from the model's bytes."""
 
     def __init__(self, model: bytes):
-        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        library = self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids, self.score, self.byte, self.out = {}, {}, [0] * 256, []
         self.trie: dict = {}  # character -> [the piece that ends here or -1, next characters]
         self.names: list[str] = []
@@ -73,10 +73,15 @@ class Pieces:
         self.words: dict[str, tuple[tuple[int, ...], float]] = {}
         self.pairs: dict[int, bool] = {}
         self.chars: dict[str, int] = {}  # numbers of characters that are no pieces
-        self.split = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.opening = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+        signs = "".join(sorted({c for p in self.ids for c in p if c.isnumeric() and not c.isalpha()} | {"_"}))
+        letter, mark = rf"[^\W\d{signs}]", rf"(?:[\W\d{signs}](?<!{SPACE}))"
+        self.split = re.compile(f"{SPACE}*{letter}+|{SPACE}*{mark}+|{SPACE}+")
+        self.opening = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<={letter})(?={mark})|(?<={mark})(?={letter})")
+        if any(self.opening.search(p) for p in self.ids):  # pieces that join letters and marks: only spaces part words
+            self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+            self.opening = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
         probe = "One  more\ttest, été 12\n"
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) or library.encode(probe) != self.encode(probe):
+        if any(self.opening.search(p) for p in self.ids) or library.encode(probe) != self.encode(probe):
             raise ValueError("only merge (BPE) models that keep white space and do not join words are supported")
 
     def number(self, piece: str) -> int:
@@ -90,17 +95,21 @@ class Pieces:
         return i
 
     def merged(self, text: str) -> list[str]:
-        """The model's pieces of a short text, by merging the best pair again and again."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The model's pieces of a short text, by merging the best pair, the first of equal ones, again and again."""
+        parts, score = list(text), self.score.get
+        joint = [score(a + b, LOW) for a, b in zip(parts, parts[1:], strict=False)]
+        while joint:
+            best = max(joint)
+            if best == LOW:
+                break
+            i = joint.index(best)
+            piece = parts[i] = parts[i] + parts.pop(i + 1)
+            del joint[i]
+            if i:
+                joint[i - 1] = score(parts[i - 1] + piece, LOW)
+            if i < len(joint):
+                joint[i] = score(piece + parts[i + 1], LOW)
+        return parts
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece ``b`` may follow ``a``; with ``a`` = -1, whether ``b`` may stand at all."""
@@ -126,12 +135,33 @@ class Pieces:
     def word(self, word: str) -> tuple[tuple[int, ...], float]:
         """Ids and weight of the best path through a word, which no piece leaves.
 
-        One path to each place has a finite weight, so the first piece found
-        to end it is the one.
+        The one path of a finite weight is what merging gives, so a short word
+        is merged; through a long one the path is searched piece by piece.
         """
         found = self.words.get(word)
         if found is not None:
             return found
+        if len(word) > KEPT_CHARS:
+            return self.path(word)
+        found = self.solved(tuple(i for part in self.merged(word) for i in self.ids_of(part)))
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        self.words[word] = found
+        return found
+
+    def solved(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], float]:
+        return ids, sum(map(self.weights.__getitem__, ids))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Solves new words in one call of the library, which merges faster; it puts the space sign before a word itself."""
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        new = [w for w in set(words) if w not in self.words and len(w) <= KEPT_CHARS and w[0] == SPACE and w[1:2] not in ("", SPACE)]
+        for word, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1), strict=True):
+            self.words[word] = self.solved(tuple(ids))
+
+    def path(self, word: str) -> tuple[tuple[int, ...], float]:
+        """Ids and weight of the path through a long word: the first piece found to end at a place is the one."""
         n, trie, known, follows = len(word), self.trie, self.pairs.get, self.follows
         last, back = [-1] + [None] * n, [0] * (n + 1)
         for start in range(n):
@@ -155,19 +185,22 @@ class Pieces:
             path.append((i,) if i < self.size else self.ids_of(self.names[i]))
             weight += weights[i] if i < self.size else 0.0
             end = back[end]
-        found = (tuple(i for ids in reversed(path) for i in ids), weight)
-        if n <= KEPT_CHARS:
-            if len(self.words) > KEPT_WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        return tuple(i for ids in reversed(path) for i in ids), weight
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text of one chunk."""
-        known, out = self.words, []
-        for word in self.split.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            out += (known.get(word) or self.word(word))[0]
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        words = [self.split.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        self.learn(w for ws in words for w in ws)
+        known, found = self.words.get, []
+        for ws in words:
+            ids: list[int] = []
+            for word in ws:
+                ids += (known(word) or self.word(word))[0]
+            found.append(ids)
+        return found
 
     def spell(self, ids: list[int]) -> str:
         return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
@@ -189,15 +222,16 @@ class Pieces:
     def sweep(self, text: str, lo: int, hi: int, entries: list, trace: dict | None = None) -> dict:
         """Weights of all states behind ``hi`` from each entry state: place -> state -> list by entry.
 
-        Only pieces that begin in [lo, hi) are added. At the begin of a word all
+        Only pieces that begin in [lo, hi) are added. At the begin of a word, which no piece crosses, all
         states become one (None), and whole words are taken in one step.
         ``trace`` gets the way back, for a single entry.
         """
+        self.learn(self.split.findall(text, lo, hi))
         front: dict[int, dict] = {}
         for k, state in enumerate(entries):
             at = front.setdefault(state[1] if state else lo, {})
             at.setdefault(state, [LOW] * len(entries))[k] = 0.0
-        starts = [0] * text.startswith(SPACE) + [m.start() for m in self.opening.finditer(text)]
+        starts = [0, *(m.start() for m in self.opening.finditer(text))]
         following = dict(zip(starts, starts[1:], strict=False))
         openings = set(starts)
         for pos in range(lo, hi):
@@ -279,10 +313,9 @@ def _whole(model: bytes, check: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids, same = [], []
-                for text in texts_of(part, "_text"):
-                    ids.append(pieces.encode(text))
-                    same.append(pieces.decode(ids[-1]) == text if check else None)
+                texts = texts_of(part, "_text")
+                ids = pieces.encode_all(texts)
+                same = [pieces.decode(x) == text if check else None for x, text in zip(ids, texts, strict=True)]
                 columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "same"])
 
