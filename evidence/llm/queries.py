@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 import corpus_pipeline
-from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, sanitise, simhash, token_counts, url_filters
+from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, repair, sanitise, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -105,6 +105,10 @@ def op10_quality(spark, folder):
     return quality.score(docs, model).withColumn("held_out", crc_mod(3) == 1)
 
 
+def op13_repair(spark, folder):
+    return repair.repair_damaged(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_url_filters": (op1_url_filters, OP1_SQL),
@@ -117,4 +121,5 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
     "op10_quality": (op10_quality, None),
+    "op13_repair": (op13_repair, None),
 }
