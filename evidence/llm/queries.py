@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 import corpus_pipeline
-from evidence.llm import exact_dedup, langid, mixing, neighbours, pieces, quality, repair, sanitise, simhash, token_counts, url_filters
+from evidence.llm import align, exact_dedup, langid, mixing, neighbours, pieces, quality, repair, sanitise, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -105,6 +105,12 @@ def op10_quality(spark, folder):
     return quality.score(docs, model).withColumn("held_out", crc_mod(3) == 1)
 
 
+def op12_alignment(spark, folder):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return align.link_tokens(table(spark, folder, "documents"), definition, pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op13_repair(spark, folder):
     return repair.repair_damaged(table(spark, folder, "conversations"))
 
@@ -121,5 +127,6 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
     "op10_quality": (op10_quality, None),
+    "op12_alignment": (op12_alignment, None),
     "op13_repair": (op13_repair, None),
 }
