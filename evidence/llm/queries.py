@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 import corpus_pipeline
-from evidence.llm import align, exact_dedup, langid, mixing, neighbours, pieces, quality, repair, sanitise, simhash, token_counts, url_filters
+from evidence.llm import align, exact_dedup, langid, mixing, neighbours, pieces, quality, repair, sanitise, secrets, simhash, token_counts, url_filters
 from evidence.session import scratch_dir
 
 
@@ -105,6 +105,10 @@ def op10_quality(spark, folder):
     return quality.score(docs, model).withColumn("held_out", crc_mod(3) == 1)
 
 
+def op11_secrets(spark, folder):
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 def op12_alignment(spark, folder):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
@@ -127,6 +131,7 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_simhash": (op9_simhash, None),
     "op10_quality": (op10_quality, None),
+    "op11_secrets": (op11_secrets, None),
     "op12_alignment": (op12_alignment, None),
     "op13_repair": (op13_repair, None),
 }
