@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ HOT = 1 << 19
 SUMMED, LISTED = 1 << 20, 1 << 22
 
 
+#: Fixed value: how byte-level vocabularies part a text before they merge bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PROBE = " It's 12 o'clock,\t\n  naïve 日本語 <|x|> \U0001f600  aaaaaaaa\n\n"
+
+
 def byte_signs() -> dict[str, int]:
     """The printable sign that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,62 +111,72 @@ class Aligner:
         self.n_b = len(self.b_bytes)
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.names = [str(i) for i in range(max(len(self.a_bytes), self.n_b))]
+        size = max(len(self.a_bytes), self.n_b)
+        self.names = np.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], object).reshape(3, size)
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x and i not in special}
+        self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self.ranked.encode_ordinary(PROBE) != self.a.encode(PROBE, add_special_tokens=False).ids:
+            self.ranked = None  # another kind of definition
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both tokenizers; none where either does not spell a space and the text."""
         filled = [k for k, t in enumerate(texts) if t]
-        a = self.a.encode_batch_fast([" " + texts[k] for k in filled], add_special_tokens=False)
+        spaced = [" " + texts[k] for k in filled]
+        if self.ranked:  # the vocabulary's own ranks, merged four times as fast
+            a = list(map(self.ranked.encode_ordinary, spaced))
+        else:
+            a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode([texts[k] for k in filled], num_threads=1)
         found: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         for k, x, y in zip(filled, a, b, strict=True):
-            said, ids = (" " + texts[k]).encode(), x.ids
-            if b"".join(map(self.a_bytes.__getitem__, ids)) == said and b"".join(map(self.b_bytes.__getitem__, y)) == said:
-                found[k] = ids, y
+            said = (" " + texts[k]).encode()
+            if b"".join(map(self.a_bytes.__getitem__, x)) == said and b"".join(map(self.b_bytes.__getitem__, y)) == said:
+                found[k] = x, y
         return found
 
     def block(self, texts: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         """For each text its numbers, and its distinct linked pairs (``a * n_b + b``) with how often they are linked."""
         tokens = self.tokens(texts)
-        a = np.array([i for x, _ in tokens for i in x], np.int64)
-        b = np.array([i for _, y in tokens for i in y], np.int64)
+        a, b = (np.concatenate([np.array(t[k], np.int64) for t in tokens]) for k in (0, 1))
         a_end, b_end = np.cumsum([len(x) for x, _ in tokens]), np.cumsum([len(y) for _, y in tokens])
-        names = self.names
-        a_said, b_said = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
-        said: list[str] = []
-        bounds: list[tuple[int, int, int, int]] = []  # irregular groups
-        runs: list[tuple[int, int, int]] = []
+        irregular, runs = [], []
         for i, p, j, q, one in segments(np.cumsum(self.a_length[a]).tolist(), np.cumsum(self.b_length[b]).tolist()):
             if one:
                 runs.append((i, j, p - i))
-                said += [x + "|" + y for x, y in zip(a_said[i:p], b_said[j:q], strict=True)]
             else:
-                bounds.append((i, p, j, q))
-                said.append(",".join(a_said[i:p]) + "|" + ",".join(b_said[j:q]))
-        at, _, long = np.array(runs, np.int64).reshape(-1, 3).T
-        i0, i1, j0, j1 = np.array(bounds, np.int64).reshape(-1, 4).T
-        # The number of groups that begin in or before each token of A gives those of a text.
-        begins = np.zeros(len(a) + 1, np.int64)
-        begins[spans(at, long)] = 1
-        begins[i0] = 1
-        groups = np.concatenate([[0], np.cumsum(begins[:-1])])
+                irregular.append((i, p, j, q))
+        at, to, long = np.array(runs, np.int64).reshape(-1, 3).T
+        i0, i1, j0, j1 = np.array(irregular, np.int64).reshape(-1, 4).T
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)  # tokens that end a group
+        a_last[np.concatenate([spans(at, long), i1 - 1])] = True
+        b_last[np.concatenate([spans(to, long), j1 - 1])] = True
+        ended = np.concatenate([[0], np.cumsum(a_last)])
+        said = self.spelled(a, b, a_last, b_last)
         text_of = np.repeat(np.arange(len(texts)), np.diff(a_end, prepend=0))
-        pairs, times = self.links(a, b, text_of, runs, (i0, i1, j0, j1))
+        pairs, times = self.links(a, b, text_of, (at, to, long), (i0, i1, j0, j1))
         wide = len(self.a_bytes) * self.n_b
         place = np.searchsorted(pairs, np.arange(len(texts) + 1) * wide)
-        begin = 0
         for k, (x, y) in enumerate(tokens):
-            end = int(groups[a_end[k]])
+            end = int(a_end[k] + b_end[k])
             mine = slice(place[k], place[k + 1])
-            digest = hashlib.sha256(";".join(said[begin:end]).encode()).hexdigest() if x else ""
-            numbers = {"n_a": len(x), "n_b": len(y), "n_groups": end - begin, "n_links": int(times[mine].sum()), "groups_sha256": digest}
+            digest = hashlib.sha256("".join(said[end - len(x) - len(y) : end])[:-1].encode()).hexdigest() if x else ""
+            n_groups = int(ended[a_end[k]] - ended[a_end[k] - len(x)])
+            numbers = {"n_a": len(x), "n_b": len(y), "n_groups": n_groups, "n_links": int(times[mine].sum()), "groups_sha256": digest}
             yield numbers, pairs[mine] - k * wide, times[mine]
-            begin = end
 
-    def links(self, a: np.ndarray, b: np.ndarray, text_of: np.ndarray, runs: list[tuple[int, int, int]], irregular: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def spelled(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> list[str]:
+        """Ids with the mark behind each, in groups: those of A, a bar, those of B, a semicolon."""
+        a_stop, b_stop = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        made = np.empty(len(a) + len(b), object)
+        made[np.arange(len(a)) + np.concatenate([[0], b_stop])[a_group]] = self.names[a_last.astype(int), a]
+        made[np.arange(len(b)) + a_stop[b_group]] = self.names[2 * b_last.astype(int), b]
+        return made.tolist()
+
+    def links(self, a: np.ndarray, b: np.ndarray, text_of: np.ndarray, runs: tuple, irregular: tuple) -> tuple[np.ndarray, np.ndarray]:
         """All linked pairs as ``(text * ids of A + a) * ids of B + b``, sorted and distinct, with how often each is linked."""
         left = (text_of * len(self.a_bytes) + a) * self.n_b
-        at, to, long = np.array(runs, np.int64).reshape(-1, 3).T
+        at, to, long = runs
         found = [counted(left[spans(at, long)] + b[spans(to, long)])]
         i0, i1, j0, j1 = irregular
         n_left, n_right = i1 - i0, j1 - j0
