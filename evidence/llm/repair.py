@@ -8,8 +8,9 @@ audit); a table for each node, a place in the rows and a state of the pattern,
 drops prefixes that a cheaper or equally cheap and earlier one dominates. It
 ends when the stack is empty: then the incumbent is proved best.
 
-Rows are sorted by conversation and turn in ranges. A conversation is searched
-in blocks of ``BLOCK`` rows: the best (cost, audit) from each state to each
+Rows are sorted by conversation and turn in ranges, which move each row once. A
+range finishes the conversations within it and hands on those at its two ends.
+A conversation is searched in blocks of ``BLOCK`` rows: the best (cost, audit) from each state to each
 state. Blocks combine associatively, inside a task and, where a conversation
 reaches over several ranges, between tasks, so none has to fit in one task. Only
 the digest of the repaired text runs through such a conversation row by row.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evidence.llm.common import SPACE, slots
+from evidence.llm.common import SPACE
 from evidence.session import materialize
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -168,17 +169,16 @@ class Spelling:
             self.put(ROLE[self.state], "")
             self.at += 1
 
-    def row(self, role: str, text: str, copies: int) -> None:
-        for _ in range(copies):
-            self.insert()
-            edit = self.audit[self.at]
-            self.at += 1
-            if edit == "K":
-                self.state = KEPT[self.state, role[:1]]
-                self.put(role, text)
-            elif edit == "R":
-                self.state = GIVEN[self.state]
-                self.put(ROLE[self.state], text)
+    def row(self, role: str, text: str) -> None:
+        self.insert()
+        edit = self.audit[self.at]
+        self.at += 1
+        if edit == "K":
+            self.state = KEPT[self.state, role[:1]]
+            self.put(role, text)
+        elif edit == "R":
+            self.state = GIVEN[self.state]
+            self.put(ROLE[self.state], text)
 
     def finish(self) -> None:
         self.insert()
@@ -190,39 +190,38 @@ class Part:
     def __init__(self):
         self.items: list[Item] = []
         self.blocks: list[Ways] = []
-        self.rows: list[tuple[str, str, int]] = []
+        self.rows: list[tuple[str, str]] = []
         self.seen: set = set()
         self.blank = self.duplicate = self.truncated = self.illegal = self.turns = 0
         self.first = self.last = None  # initials of roles
         self.low = self.high = None  # turns
 
-    def add(self, turn, role: str, text: str, copies: int, earlier: bool, keep: bool) -> None:
+    def add(self, turn, role: str, text: str, earlier: bool = False, keep: bool = True) -> None:
         initial, key = role[:1], hashlib.sha256(f"{role}\0{text}".encode("utf-8", "surrogatepass")).digest()
         if self.last is None:
             self.first = initial
         else:
             self.illegal += self.last + initial not in LEGAL
-        self.illegal += copies - 1
         self.last = initial
         if turn is not None:
             self.turns += turn != self.high
             self.low, self.high = turn if self.low is None else self.low, turn
-        if not WORDY.search(text):
-            self.blank += copies
-            self.items.append(copies)
-        elif earlier or key in self.seen:
-            self.duplicate += copies
-            self.items.append(copies)
+        blank = not WORDY.search(text)
+        again = not blank and (earlier or key in self.seen)
+        self.blank += blank
+        self.duplicate += again
+        if blank or again:  # rows that must go are one item as long as no other comes between
+            if self.items and isinstance(self.items[-1], int):
+                self.items[-1] += 1
+            else:
+                self.items.append(1)
         else:
             cut = not ENDED.search(text)
             self.truncated += cut
             self.items.append((initial, cut))
-            if copies > 1:
-                self.duplicate += copies - 1
-                self.items.append(copies - 1)
         self.seen.add(key)
         if keep:
-            self.rows.append((role, text, copies))
+            self.rows.append((role, text))
         if len(self.items) >= BLOCK:
             self.blocks.append(ways(self.items))
             self.items = []
@@ -236,6 +235,7 @@ class Part:
         return search(self.items, 0, [DONE])[0][:2]
 
 
+ORDER = ("conv", "turn", "role", "digest", "salt")
 RESULT = "gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"
 PART = "slot int, blank bigint, duplicate bigint, truncated bigint, illegal bigint, turns bigint, low bigint, high bigint, first string, last string, froms array<int>, tos array<int>, costs array<bigint>, audits array<string>"
 
@@ -246,45 +246,81 @@ def _rows_of(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
         yield from zip(*[part.column(c).to_pylist() for c in columns], strict=True)
 
 
-def _result(part: Part, cost: int, audit: str, digest: str) -> tuple:
-    gaps = part.high - part.low + 1 - part.turns if part.low is not None else 0
-    return gaps, part.blank, part.duplicate, part.truncated, part.illegal, cost, audit, digest
+def _result(conv, part: Part) -> dict:
+    """The row of a whole conversation."""
+    cost, audit = part.best()
+    spelling = Spelling()
+    spelling.follow(audit)
+    for row in part.rows:
+        spelling.row(*row)
+    spelling.finish()
+    return {
+        "conv": conv, "gaps": part.high - part.low + 1 - part.turns if part.low is not None else 0,
+        "blank": part.blank, "duplicate": part.duplicate, "truncated": part.truncated, "illegal": part.illegal,
+        "cost": cost, "audit": audit, "repaired_sha256": spelling.digest.hexdigest(),
+    }
+
+
+def _sweeping(schema: pa.Schema):
+    """Sorted rows of a range to results of the conversations within it.
+
+    The first and the last one may go on in a neighbouring range: their rows
+    are handed on as they are, the first one's without holding them.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, part, held, made = None, True, Part(), [], []
+        for batch in batches:
+            for row in _rows_of(batch, [*ORDER, "text", "_slot"]):
+                conv, turn, role, _, _, text, _ = row
+                if at is None:
+                    at = (conv,)
+                elif conv != at[0]:
+                    if not first:
+                        made.append(_result(at[0], part))
+                    at, first, part, held = (conv,), False, Part(), []
+                if first:
+                    made.append(dict(zip((*ORDER, "text", "_slot"), row, strict=True)))
+                else:
+                    part.add(turn, role, text)
+                    held.append(row)
+                if len(made) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema=schema)
+                    made = []
+        made += [dict(zip((*ORDER, "text", "_slot"), row, strict=True)) for row in held]
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    return compute
 
 
 def _summing(schema: pa.Schema):
-    """Sorted rows to one row for each part: a whole conversation's result, or what a range holds of a wider one."""
+    """Sorted rows of conversations at the ends of ranges: a result, or of those in several ranges what this one holds."""
 
     def close(conv, slot, wide, part: Part) -> dict:
-        if wide:
-            through = part.through()
-            states = sorted(through)
-            return {
-                "conv": conv, "slot": slot, "blank": part.blank, "duplicate": part.duplicate, "truncated": part.truncated, "illegal": part.illegal,
-                "turns": part.turns, "low": part.low, "high": part.high, "first": part.first, "last": part.last,
-                "froms": [s[0] for s in states], "tos": [s[1] for s in states],
-                "costs": [through[s][0] for s in states], "audits": [through[s][1] for s in states],
-            }
-        cost, audit = part.best()
-        spelling = Spelling()
-        spelling.follow(audit)
-        for row in part.rows:
-            spelling.row(*row)
-        spelling.finish()
-        names = [x.split()[0] for x in RESULT.split(", ")]
-        return {"conv": conv} | dict(zip(names, _result(part, cost, audit, spelling.digest.hexdigest()), strict=True))
+        if not wide:
+            return _result(conv, part)
+        through = part.through()
+        states = sorted(through)
+        return {
+            "conv": conv, "slot": slot, "blank": part.blank, "duplicate": part.duplicate, "truncated": part.truncated, "illegal": part.illegal,
+            "turns": part.turns, "low": part.low, "high": part.high, "first": part.first, "last": part.last,
+            "froms": [s[0] for s in states], "tos": [s[1] for s in states],
+            "costs": [through[s][0] for s in states], "audits": [through[s][1] for s in states],
+        }
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part, made = None, Part(), []
+        at, part = None, Part()
         for batch in batches:
-            for slot, conv, turn, role, text, copies, wide, earlier in _rows_of(batch, ["_slot", "conv", "turn", "role", "text", "copies", "wide", "earlier"]):
+            made = []
+            for slot, conv, turn, role, text, wide, earlier in _rows_of(batch, ["_slot", "conv", "turn", "role", "text", "wide", "earlier"]):
                 if (slot, conv, wide) != at:
                     if at is not None:
                         made.append(close(at[1], at[0], at[2], part))
                     at, part = (slot, conv, wide), Part()
-                part.add(turn, role, text, copies, earlier, not wide)
+                part.add(turn, role, text, earlier, not wide)
             if made:
                 yield pa.RecordBatch.from_pylist(made, schema=schema)
-                made = []
         if at is not None:
             yield pa.RecordBatch.from_pylist([close(at[1], at[0], at[2], part)], schema=schema)
 
@@ -331,7 +367,7 @@ def _spelling(schema: pa.Schema):
         at, spelling, begun = None, Spelling(), False
         for batch in batches:
             made = []
-            for conv, audit, role, text, copies in _rows_of(batch, ["conv", "audit", "role", "text", "copies"]):
+            for conv, audit, role, text in _rows_of(batch, ["conv", "audit", "role", "text"]):
                 if begun and conv != at:
                     spelling.finish()
                     made.append({"conv": at, "repaired_sha256": spelling.digest.hexdigest()})
@@ -340,7 +376,7 @@ def _spelling(schema: pa.Schema):
                 if audit is not None:
                     spelling.follow(audit)
                 else:
-                    spelling.row(role, text, copies)
+                    spelling.row(role, text)
             if made:
                 yield pa.RecordBatch.from_pylist(made, schema=schema)
         if begun:
@@ -371,9 +407,14 @@ def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.col(conv_id).alias("conv"), F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text"),
     )
-    once = plain.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("digest", F.md5("text"))
-    order = ["conv", "turn", "role", "digest"]
-    table = slots(once, *order)
+    # The salt parts rows that are alike in all, however many, over ranges.
+    plain = plain.withColumns({"digest": F.md5("text"), "salt": F.xxhash64(F.monotonically_increasing_id())})
+    ranges = plain.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("_slot", F.spark_partition_id())
+    schema, kind = _arrow(plain, f"{RESULT}, turn bigint, role string, digest string, salt bigint, text string, _slot int")
+    swept = materialize(ranges.mapInArrow(_sweeping(schema), kind), "swept")
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    within = swept.where("_slot IS NULL").select(F.col("conv").alias("conv_id"), *names)
+    table = swept.where("_slot IS NOT NULL").select(*ORDER, "text", "_slot")  # at most two conversations of each range
     spans = table.groupBy("conv").agg(F.min("_slot").alias("_low"), F.max("_slot").alias("_high")).where("_low < _high").select(F.col("conv").alias("_conv"))
     spans = materialize(spans, "wide")  # at most one for each range
     wide = table.join(F.broadcast(spans), F.col("conv").eqNullSafe(F.col("_conv")), "left_semi")
@@ -382,25 +423,23 @@ def repair(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         *[F.col(c).alias(f"_{c}") for c in ("conv", "role", "digest")], "_first")
     same = lambda *names: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
     again = keys.join(first, same("conv", "role", "digest")).where("_slot > _first").select(
-        "_conv", "_role", "_digest", F.col("_slot").alias("_in"), F.lit(True).alias("earlier"))
-    again = materialize(again, "seen")  # texts of wide conversations that an earlier range holds
+        "_conv", "_role", "_digest", F.col("_slot").alias("_in"), F.lit(True).alias("earlier"))  # texts that an earlier range holds
     flagged = (
         table.join(F.broadcast(spans.withColumn("wide", F.lit(True))), F.col("conv").eqNullSafe(F.col("_conv")), "left").drop("_conv")
         .join(again, [*same("conv", "role", "digest"), F.col("_slot") == F.col("_in")], "left")
-        .select("_slot", "conv", "turn", "role", "digest", "text", "copies", F.coalesce("wide", F.lit(False)).alias("wide"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
+        .select(*ORDER, "text", "_slot", F.coalesce("wide", F.lit(False)).alias("wide"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
     )
-    ordered = flagged.repartition("_slot").sortWithinPartitions("_slot", *order)
+    ordered = flagged.repartition("_slot").sortWithinPartitions("_slot", *ORDER)
     schema, kind = _arrow(table, f"{RESULT}, " + ", ".join(x for x in PART.split(", ") if x not in RESULT.split(", ")))
     parts = materialize(ordered.mapInArrow(_summing(schema), kind), "parts")
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    whole = parts.where("slot IS NULL").select(F.col("conv").alias("conv_id"), *names)
+    whole = within.unionByName(parts.where("slot IS NULL").select(F.col("conv").alias("conv_id"), *names))
     edits_kind = f"conv {table.schema['conv'].dataType.simpleString()}, slot int, " + RESULT.removesuffix(", repaired_sha256 string")
     edits = parts.where("slot IS NOT NULL").select("conv", *[x.split()[0] for x in PART.split(", ")]).groupBy("conv").applyInPandas(_chosen, edits_kind)
     edits = materialize(edits, "edits")
     lines = edits.select("conv", F.col("slot").alias("_slot"), F.lit(0).alias("_kind"), "audit").unionByName(
-        wide.select("conv", "_slot", F.lit(1).alias("_kind"), "turn", "role", "digest", "text", "copies"), allowMissingColumns=True)
+        wide.select(*ORDER, "_slot", F.lit(1).alias("_kind"), "text"), allowMissingColumns=True)
     schema, kind = _arrow(table, "repaired_sha256 string")
-    spelled = lines.repartition("conv").sortWithinPartitions("conv", "_slot", "_kind", "turn", "role", "digest").select("conv", "audit", "role", "text", "copies")
+    spelled = lines.repartition("conv").sortWithinPartitions("conv", "_slot", "_kind", *ORDER[1:]).select("conv", "audit", "role", "text")
     digests = spelled.mapInArrow(_spelling(schema), kind).select(F.col("conv").alias("_conv"), "repaired_sha256")
     totals = edits.groupBy("conv", *names[:6]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "audit"))), lambda x: x["audit"]), "").alias("audit"))
     long = totals.join(digests, F.col("conv").eqNullSafe(F.col("_conv"))).select(F.col("conv").alias("conv_id"), *names)
