@@ -207,10 +207,10 @@ SELECT doc_id, claim_id, CASE WHEN hit <> '' THEN strpos(tail, hit) + 49 WHEN ag
 FROM (SELECT *, regexp_extract(tail, p, 0) AS hit, regexp_extract(body, p, 0) AS again FROM (
  SELECT c.doc_id, claim_id, {_PATTERN} AS p, s.body, substring(s.body, 51) AS tail FROM raw_claims c JOIN sections s ON s.doc_id = c.doc_id))"""
 _CONTEXT = f"""
-SELECT s.doc_id, 0::BIGINT AS chunk_id, title, CASE WHEN length(abstract) > 400 THEN abstract[1:400] || '...' ELSE abstract END AS abstract_preview, citation_list
+SELECT s.doc_id, 0::BIGINT AS chunk_id, title, abstract AS abstract_preview, citation_list
 FROM sections s LEFT JOIN titles t ON t.doc_id = s.doc_id LEFT JOIN (
- SELECT doc_id, string_agg(concat(citation_id, ': ', substr(citation_text, 1, 100), '...'), chr(10) ORDER BY rn) AS citation_list
- FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, citation_id) AS rn FROM book) WHERE rn <= 10 GROUP BY doc_id) l ON l.doc_id = s.doc_id"""
+ SELECT doc_id, string_agg(concat(citation_id, ': ', citation_text), chr(10) ORDER BY rn) AS citation_list
+ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, citation_id) AS rn FROM book) GROUP BY doc_id) l ON l.doc_id = s.doc_id"""
 
 QUERIES = {
     "claim_coverage": (

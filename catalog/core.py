@@ -162,7 +162,7 @@ def _section() -> str:
     return f"CASE{cases} END"
 
 
-_NB = f"array_to_string(list_slice(list_filter(string_split(ref_section, chr(10)), lambda x: {strip('x')} <> ''), 1, 20), chr(10))"
+_NB = f"array_to_string(list_filter(string_split(ref_section, chr(10)), lambda x: {strip('x')} <> ''), chr(10))"
 _STYLE = "CASE " + " ".join(
     f"WHEN regexp_matches({_NB}, {lit('(?m)' + p)}) THEN {lit(n)}" for n, p in K.CITATION_STYLES
 ) + " END"
@@ -185,7 +185,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sections": (
         ("sections_0",),
         f"""SELECT *, {_STYLE} AS style, CASE WHEN ref_section IS NOT NULL AND ref_section <> ''
- THEN substring(text, 1, strpos(text, ref_section) - 1) ELSE substring(text, 1, cast(floor(length(text) * 0.7::DOUBLE) AS bigint)) END AS body
+ THEN substring(text, 1, strpos(text, ref_section) - 1) ELSE text END AS body
 FROM sections_0""",
     ),
     "numeric_entries": (
@@ -219,7 +219,7 @@ FROM entries GROUP BY ALL""",
     ),
     "citations": (
         ("book", "validity"),
-        "SELECT doc_id, citation_id, citation_text FROM book WHERE doc_id IN (SELECT doc_id FROM validity WHERE is_valid)",
+        "SELECT book.doc_id, citation_id, citation_text, is_valid FROM book JOIN validity USING (doc_id)",
     ),
     "raw_claims": (
         ("sections",),

@@ -30,9 +30,9 @@ def parse_refs_model(i):
     return D.parse_refs_model(D.citation_route(s, D.validate_bibliography(_parsed(i))), stub)
 
 
-_L = "list_transform(string_split(text, chr(10))[1:80], lambda x: " + strip("x") + ")"
+_L = "list_transform(string_split(text, chr(10)), lambda x: " + strip("x") + ")"
 _STOP = f"(({upper_case('x')} AND length(x) > 5) OR {any_of('lower(x)', K.ABSTRACT_STOPS)})"
-_FOLLOW = "list_filter(l[i + 1:i + 29], lambda x: x <> '')"
+_FOLLOW = "list_filter(l[i + 1:], lambda x: x <> '')"
 _AT = f"list_position(list_transform(f, lambda x: {_STOP}), true)"
 
 def char_chunks_of(table: str, key: str, text: str) -> str:
@@ -73,11 +73,11 @@ walk AS (
 SELECT doc_id, emit.c AS chunk_id, emit.t AS text, emit.p AS start_pos, emit.p + length(emit.t) AS end_pos, emit.u AS token_count
 FROM walk WHERE emit IS NOT NULL"""
 
-TITLE_SQL = f"SELECT doc_id, list_filter({_L}[1:10], lambda x: length(x) > 10 AND NOT {upper_case('x')})[1] AS title FROM abstract_papers"
+TITLE_SQL = f"SELECT doc_id, list_filter({_L}, lambda x: length(x) > 10 AND NOT {upper_case('x')})[1] AS title FROM abstract_papers"
 ABSTRACT_SQL = f"""SELECT doc_id, array_to_string(arg_min(b, i) FILTER (WHERE len(b) > 0), ' ') AS abstract FROM (
  SELECT doc_id, i, CASE WHEN {_AT} IS NULL OR {_AT} = 0 THEN f ELSE f[1:{_AT} - 1] END AS b FROM (
   SELECT doc_id, i, CASE WHEN {any_of('lower(l[i])', K.ABSTRACT_WORDS)} THEN {_FOLLOW} ELSE [] END AS f FROM (
-   SELECT doc_id, l, unnest(range(1, least(len(l), 50) + 1)) AS i FROM (SELECT doc_id, {_L} AS l FROM abstract_papers))))
+   SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_L} AS l FROM abstract_papers))))
 GROUP BY doc_id"""
 
 QUERIES = {
@@ -89,7 +89,7 @@ QUERIES = {
         lambda i: D.paper_title(i.view("abstract_papers").unionByName(
             i.papers.withColumn("doc_id", -F.col("doc_id") - 1))),
         oracle(
-            f"""SELECT doc_id, list_filter({_L}[1:10], lambda x: length(x) > 10 AND NOT {upper_case('x')})[1] AS title
+            f"""SELECT doc_id, list_filter({_L}, lambda x: length(x) > 10 AND NOT {upper_case('x')})[1] AS title
 FROM (SELECT * FROM abstract_papers UNION ALL SELECT -doc_id - 1, text FROM papers)""",
             "abstract_papers", "papers",
         ),

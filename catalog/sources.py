@@ -266,8 +266,8 @@ SELECT doc_id, claim_id, item AS {item}, overlap, rank FROM (
 WHERE rank <= {k}"""
 
 
-def _topk(k: int, item: str, claims: str, chars: int, items_sql: str, *needs: str) -> str:
-    q = f"SELECT doc_id, claim_id, list_sort({words(f'substr(text, 1, {chars})')}) AS profile FROM {claims}"
+def _topk(k: int, item: str, claims: str, items_sql: str, *needs: str) -> str:
+    q = f"SELECT doc_id, claim_id, list_sort({words('text')}) AS profile FROM {claims}"
     CTES[f"q_{item}"] = (needs, q)
     CTES[f"items_{item}"] = (needs, items_sql)
     body = _TOPK.format(item=item, k=k).replace("FROM q JOIN", f"FROM q_{item} q JOIN").replace(
@@ -276,12 +276,12 @@ def _topk(k: int, item: str, claims: str, chars: int, items_sql: str, *needs: st
 
 
 _cat, _cat_needs = _topk(
-    5, "dataset_id", "data_claims", K.CATALOG_QUERY_CHARS,
+    5, "dataset_id", "data_claims",
     "SELECT dataset_id AS item, " + words("concat_ws(' ', title, notes)") + " AS words FROM dataset_catalog",
     "data_claims", "dataset_catalog",
 )
 _txt, _txt_needs = _topk(
-    3, "source_id", "lead_claims", K.TEXT_QUERY_CHARS,
+    3, "source_id", "lead_claims",
     "SELECT conv_id * 1000 + turn AS item, " + words("text") + " AS words FROM conversations",
     "lead_claims",
 )
@@ -290,7 +290,7 @@ CTES["repo"] = (
     ("lead_claims",),
     """SELECT *, min(tier) OVER (PARTITION BY doc_id, claim_id) AS best FROM (
  SELECT doc_id, claim_id, pos, source, concat('https://', source, '.example.org/', doc_id, '/', pos) AS url, tier, repository, CASE tier WHEN 0 THEN 0.7 ELSE 0.65 END::DOUBLE AS score
- FROM lead_claims JOIN (VALUES ('data.gov', 3, 2, 0, 0), ('kaggle', 5, 1, 0, 1), ('zenodo', 2, 3, 1, 0), ('figshare', 7, 1, 1, 1)) s(source, every, n, tier, repository) ON doc_id % every = 0,
+ FROM lead_claims JOIN (VALUES ('data.gov', 3, 2, 0, 0), ('kaggle', 5, 1, 0, 1), ('zenodo', 2, 4, 1, 0), ('figshare', 7, 1, 1, 1)) s(source, every, n, tier, repository) ON doc_id % every = 0,
  LATERAL (SELECT unnest(range(1, n + 1)) AS pos))""",
 )
 CTES["chosen"] = (
@@ -490,7 +490,7 @@ QUERIES = {
     "title_search_recover_doi": (
         lambda i: D.title_search_recover_doi(title_hits(i)).select("citation_key", "recovered_doi", F.array_join("urls", " ").alias("urls")),
         oracle(
-            """SELECT citation_key, arg_min(doi, pos) FILTER (WHERE doi IS NOT NULL) AS recovered_doi, coalesce(string_agg(oa_url, ' ' ORDER BY pos), '') AS urls FROM title_hits WHERE pos <= 3 GROUP BY citation_key""",
+            """SELECT citation_key, arg_min(doi, pos) FILTER (WHERE doi IS NOT NULL) AS recovered_doi, coalesce(string_agg(oa_url, ' ' ORDER BY pos), '') AS urls FROM title_hits GROUP BY citation_key""",
             "title_hits",
         ),
     ),

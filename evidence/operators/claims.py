@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidence import constants as K
 from evidence.functions import citations as C
-from evidence.functions.text import bind, head, not_empty, sentences, strip
+from evidence.functions.spans import locate
+from evidence.functions.text import head, not_empty, sentences, strip
 from evidence.operators.hook import score
-from evidence.session import by_key
 from evidence.operators.ranking import rank_in_groups, top_k
 
 SEQ_BUCKET = 100_000
+#: Claims that are searched beside one copy of their paper's text.
+CLAIMS_LISTED = 4096
 
 _CLAIM = "struct<claim_text:string,claim_type:string,citation_marker:string,is_original:boolean>"
 
@@ -92,24 +96,31 @@ def extract_claims_model(context: DataFrame, model: Callable) -> DataFrame:
     return normalize_claim_json(asked)
 
 
-def claim_context(chunks: DataFrame, facts: DataFrame, citations: DataFrame) -> DataFrame:
-    """Chunks with title, abstract preview and the first ten bibliography entries of their paper."""
-    first = top_k(citations, ["doc_id"], [F.col("pos"), F.col("citation_id")], K.CITATIONS_SHOWN)
-    line = F.concat(F.col("citation_id"), F.lit(": "), head(F.col("citation_text"), K.CITATION_PREVIEW_CHARS), F.lit("..."))
+def claim_context(
+    chunks: DataFrame, facts: DataFrame, citations: DataFrame,
+    entries: int | None = None, entry_chars: int | None = None, abstract_chars: int | None = None,
+) -> DataFrame:
+    """Chunks with title, abstract and bibliography of their paper, one line an entry.
+
+    ``entries``, ``entry_chars`` and ``abstract_chars`` bound what a model is
+    shown; by default it is shown all. Shortened texts end in three dots.
+    """
+
+    def shown(text: Column, chars: int | None) -> Column:
+        if chars is None:
+            return text
+        return F.when(F.length(text) > chars, F.concat(head(text, chars), F.lit("..."))).otherwise(text)
+
+    order = [F.col("pos"), F.col("citation_id")]
+    first = citations if entries is None else top_k(citations, ["doc_id"], order, entries)
+    line = F.concat(F.col("citation_id"), F.lit(": "), shown(F.col("citation_text"), entry_chars))
     lists = first.groupBy("doc_id").agg(
         F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))), lambda x: x["line"]
-            ),
-            "\n",
+            F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n",
         ).alias("citation_list")
     )
-    preview = F.when(
-        F.length("abstract") > K.ABSTRACT_PREVIEW_CHARS,
-        F.concat(head(F.col("abstract"), K.ABSTRACT_PREVIEW_CHARS), F.lit("...")),
-    ).otherwise(F.col("abstract"))
     per_paper = facts.join(lists, "doc_id", "left").select(
-        "doc_id", "title", preview.alias("abstract_preview"), "citation_list"
+        "doc_id", "title", shown(F.col("abstract"), abstract_chars).alias("abstract_preview"), "citation_list"
     )
     return chunks.join(per_paper, "doc_id", "left")
 
@@ -124,61 +135,33 @@ def claim_constraint(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims.where(~broken), claims.where(broken).withColumn("reject_reason", reason)
 
 
-def span_exact(text: Column, claim: Column, hint: Column) -> Column:
-    """0-based start of the first occurrence at or after the hint, else of the first one, else null."""
-    from_hint = F.greatest(hint, F.lit(0)) + 1
-    at = F.call_function("locate", claim, text, from_hint)
-    again = F.call_function("locate", claim, text, F.lit(1))
-    return F.when(claim != "", F.coalesce(F.nullif(at, F.lit(0)), F.nullif(again, F.lit(0))) - 1)
-
-
-def span_loose(text: Column, claim: Column, hint: Column) -> Column:
-    """Struct ``(start, end)`` of the claim's words across any whitespace, or null."""
-    tokens = F.filter(F.split(strip(claim), K.SPACE + "+"), lambda t: t != "")
-    quoted = F.transform(tokens, lambda t: F.regexp_replace(t, r"([\\\[\](){}.*+?^$|#&~\-])", r"\\$1"))
-    pattern = F.when(F.size(tokens) > 0, F.array_join(quoted, K.SPACE + "+"))
-    start_at = F.greatest(hint, F.lit(0))
-    tail = F.substring(text, start_at + 1, F.length(text))
-
-    def find(body: Column, p: Column, shift: Column) -> Column:
-        # The matched words first occur where the pattern first matches.
-        return bind(
-            F.call_function("regexp_extract", body, p, F.lit(0)),
-            lambda hit: F.when(
-                hit != "",
-                bind(
-                    F.instr(body, hit) - 1 + shift,
-                    lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end")),
-                ),
-            ),
-        )
+def _locating(loose: bool):
+    def locating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # a text and a bounded list of its claims
+                claims = batch.column("_claims").slice(at, 1).flatten()
+                wanted = zip(claims.field("text").to_pylist(), claims.field("hint").to_pylist(), strict=True)
+                found = locate(batch.column("_text")[at].as_py() or "", wanted, loose)
+                ends = [pa.array([f and f[k] for f in found], pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*claims.flatten(), *ends], [*[f.name for f in claims.type], "start", "end"])
 
-    return F.when(
-        pattern.isNotNull(),
-        bind(pattern, lambda p: F.coalesce(bind(tail, lambda t: find(t, p, start_at)), find(text, p, F.lit(0)))),
-    )
+    return locating
 
 
-def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True) -> DataFrame:
+def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True, listed: int = CLAIMS_LISTED) -> DataFrame:
     """Claims with ``start`` and ``end`` in the text of their paper, null when not found.
 
-    The claims of a paper are searched beside its text in one row, so the text
-    is shuffled once, however many claims it has.
+    All claims of a list are found in one pass over the text, see
+    ``evidence.functions.spans``. A paper with more than about ``listed`` claims
+    is dealt out in several rows, each with its text and one list of claims.
     """
     names = [c for c in claims.columns if c not in ("start", "end")]
-    text = F.col("_text")
-
-    def located(c: Column) -> Column:
-        found = bind(span_exact(text, c["text"], c["hint"]), lambda at: F.when(
-            at.isNotNull(), F.struct(at.alias("start"), (at + F.length(c["text"])).alias("end"))))
-        if loose:
-            found = F.coalesce(found, span_loose(text, c["text"], c["hint"]))
-        return bind(found, lambda s: F.struct(
-            *[c[n].alias(n) for n in names], s["start"].alias("start"), s["end"].alias("end")))
-
-    listed = claims.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("_claims"))
+    lists = claims.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / listed).alias("_lists"))
+    dealt = claims.select(*names).join(lists, "doc_id").withColumn("_list", F.pmod(F.xxhash64(*names), "_lists"))
+    rows = dealt.groupBy("doc_id", "_list").agg(F.collect_list(F.struct(*names)).alias("_claims"))
     texts = papers.select("doc_id", F.col("text").alias("_text"))
-    return by_key(listed.join(texts, "doc_id"), "doc_id").select(F.inline(F.transform("_claims", located)))
+    shape = T.StructType([*claims.select(*names).schema.fields, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return rows.join(texts, "doc_id").select("_text", "_claims").mapInArrow(_locating(loose), shape)
 
 
 def citation_markers(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

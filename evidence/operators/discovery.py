@@ -101,19 +101,21 @@ def overlap_topk(
 
 
 def catalog_search(
-    claims: DataFrame, catalog: DataFrame, k: int = K.CATALOG_TOP_K, hot_items: int = HOT_TOKEN_ITEMS
+    claims: DataFrame, catalog: DataFrame, k: int = K.CATALOG_TOP_K, hot_items: int = HOT_TOKEN_ITEMS, chars: int | None = None
 ) -> DataFrame:
-    """Up to five catalog datasets for the first 100 characters of each claim."""
-    queries = claims.select("doc_id", "claim_id", word_keys(head(F.col("text"), K.CATALOG_QUERY_CHARS)).alias("words"))
+    """Up to ``k`` catalog datasets for each claim, searched by its whole text or its first ``chars`` characters."""
+    asked = F.col("text") if chars is None else head(F.col("text"), chars)
+    queries = claims.select("doc_id", "claim_id", word_keys(asked).alias("words"))
     entries = catalog.select("dataset_id", word_keys(F.concat_ws(" ", "title", "notes")).alias("words"))
     return overlap_topk(queries, entries, ["doc_id", "claim_id"], "dataset_id", k, hot_items)
 
 
 def text_source_search(
-    claims: DataFrame, sources: DataFrame, k: int = K.TEXT_TOP_K, hot_items: int = HOT_TOKEN_ITEMS
+    claims: DataFrame, sources: DataFrame, k: int = K.TEXT_TOP_K, hot_items: int = HOT_TOKEN_ITEMS, chars: int | None = None
 ) -> DataFrame:
-    """The best text source for the first 200 characters of a claim, with the ``k`` candidates."""
-    queries = claims.select("doc_id", "claim_id", word_keys(head(F.col("text"), K.TEXT_QUERY_CHARS)).alias("words"))
+    """The best text source for each claim, of ``k`` candidates, searched by its whole text or its first ``chars`` characters."""
+    asked = F.col("text") if chars is None else head(F.col("text"), chars)
+    queries = claims.select("doc_id", "claim_id", word_keys(asked).alias("words"))
     entries = sources.select("source_id", word_keys(F.col("text")).alias("words"))
     hits = overlap_topk(queries, entries, ["doc_id", "claim_id"], "source_id", k, hot_items)
     return hits.groupBy("doc_id", "claim_id").agg(
@@ -137,16 +139,16 @@ def pick_resource(resources: DataFrame) -> DataFrame:
     )
 
 
-def union_repositories(primary: list[DataFrame], fallback: list[DataFrame]) -> DataFrame:
+def union_repositories(primary: list[DataFrame], fallback: list[DataFrame], fallback_k: int | None = None) -> DataFrame:
     """Candidates of the first repositories; those of the others only for claims without any.
 
-    Frames need ``doc_id, claim_id, url, source, pos``.
+    ``fallback_k`` keeps that many candidates of each of the others. Frames need ``doc_id, claim_id, url, source, pos``.
     """
     tiers = []
     for tier, frames in enumerate((primary, fallback)):
         points = K.CATALOG_SCORE if tier == 0 else K.WEB_CATALOG_SCORE
         for order, frame in enumerate(frames):
-            kept = frame if tier == 0 else frame.where(F.col("pos") <= K.WEB_CATALOG_TOP_K)
+            kept = frame if tier == 0 or fallback_k is None else frame.where(F.col("pos") <= fallback_k)
             tiers.append(
                 kept.select("doc_id", "claim_id", "url", "source", "pos").withColumns(
                     {"tier": F.lit(tier), "repository": F.lit(order), "score": F.lit(points)}
@@ -280,9 +282,9 @@ def crossref_pdf_links(works: DataFrame) -> DataFrame:
     )
 
 
-def title_search_recover_doi(hits: DataFrame, k: int = 3) -> DataFrame:
-    """From the first hits of a title search: the open-access URLs and the first DOI seen."""
-    shown = hits.where(F.col("pos") <= k)
+def title_search_recover_doi(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """From the hits of a title search, or the first ``k``: the open-access URLs and the first DOI seen."""
+    shown = hits if k is None else hits.where(F.col("pos") <= k)
     order = F.array_sort(
         F.collect_list(F.when(F.coalesce("oa_url", F.lit("")) != "", F.struct("pos", "oa_url")))
     )

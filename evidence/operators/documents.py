@@ -27,40 +27,46 @@ def assemble_pages(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
     )
 
 
-def title_of(text: Column) -> Column:
-    candidates = F.transform(F.slice(lines(text), 1, 10), strip)
+def title_of(text: Column, within: int | None = None) -> Column:
+    """The first line, of the first ``within`` (default all), that is longer than 10 characters and not all upper case."""
+    shown = lines(text) if within is None else F.slice(lines(text), 1, within)
     return F.try_element_at(
-        F.filter(candidates, lambda x: (F.length(x) > 10) & ~is_upper(x)), F.lit(1)
+        F.filter(F.transform(shown, strip), lambda x: (F.length(x) > 10) & ~is_upper(x)), F.lit(1)
     )
 
 
-def abstract_of(text: Column) -> Column:
-    """Lines after the first heading that names an abstract and is followed by any text.
+def abstract_of(text: Column, within: int | None = None, following: int | None = None) -> Column:
+    """Lines after the first heading that names an abstract and is followed by any text, up to a line that stops it.
 
-    Only the first 50 lines may hold the heading and at most 29 lines follow it.
+    ``within`` bounds the lines that may hold the heading, ``following`` those
+    after it that are read; by default neither is bounded.
     """
 
     def stops(x: Column) -> Column:
         return (is_upper(x) & (F.length(x) > 5)) | contains_any(F.lower(x), K.ABSTRACT_STOPS)
 
-    def collect(all_lines: Column, i: Column) -> Column:
-        following = F.filter(F.slice(all_lines, i + 1, 29), lambda x: x != "")
-        return bind(
-            F.array_position(F.transform(following, stops), True),
-            lambda at: F.when(at == 0, following).otherwise(
-                F.slice(following, 1, (at - 1).cast("int"))
-            ),
-        )
+    def collect(filled: Column) -> Column:
+        # Lines that are not blank, with their numbers, whether they name an abstract and whether they stop one.
+        at = lambda k: F.element_at(filled, k.cast("int"))
+        near = lambda k: F.lit(True) if following is None else at(k + 1)["no"] <= at(k)["no"] + following
+        early = lambda k: F.lit(True) if within is None else at(k)["no"] < within
+        heading = F.when(F.size(filled) > 1, F.try_element_at(F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(filled) - 1, F.lit(1))),
+            lambda k: at(k)["names"] & early(k) & ~at(k + 1)["stops"] & near(k)), F.lit(1)))
 
-    def search(all_lines: Column) -> Column:
-        headings = F.filter(
-            F.sequence(F.lit(1), F.least(F.size(all_lines), F.lit(50))),
-            lambda i: contains_any(F.lower(F.element_at(all_lines, i)), K.ABSTRACT_WORDS),
-        )
-        bodies = F.filter(F.transform(headings, lambda i: collect(all_lines, i)), lambda b: F.size(b) > 0)
-        return F.array_join(F.try_element_at(bodies, F.lit(1)), " ")
+        def rest(k: Column) -> Column:
+            after = F.slice(filled, k + 1, F.size(filled))
+            if following is not None:
+                after = F.filter(after, lambda x: x["no"] <= at(k)["no"] + following)
+            return bind(after, lambda xs: bind(
+                F.array_position(F.transform(xs, lambda x: x["stops"]), True),
+                lambda p: F.array_join(F.transform(F.when(p == 0, xs).otherwise(F.slice(xs, 1, (p - 1).cast("int"))), lambda x: x["line"]), " ")))
+
+        return bind(heading, lambda k: F.when(k.isNotNull(), rest(k)))
 
-    return bind(F.transform(F.slice(lines(text), 1, 80), strip), search)
+    numbered = F.transform(F.transform(lines(text), strip), lambda x, no: F.struct(
+        x.alias("line"), no.alias("no"), contains_any(F.lower(x), K.ABSTRACT_WORDS).alias("names"), stops(x).alias("stops")))
+    return bind(F.filter(numbered, lambda x: x["line"] != ""), collect)
 
 
 def reference_section_of(text: Column, search_from: float = K.BODY_SHARE) -> Column:
@@ -86,8 +92,8 @@ def reference_section_of(text: Column, search_from: float = K.BODY_SHARE) -> Col
     return F.coalesce(*after_heading, bind(tail, from_word))
 
 
-def body_of(text: Column, section: Column, share: float = K.BODY_SHARE) -> Column:
-    """Text before the reference section; without one the first ``share`` of the text (1: all of it)."""
+def body_of(text: Column, section: Column, share: float = 1) -> Column:
+    """Text before the reference section; without one the first ``share`` of the text, by default all of it."""
     rest = text if share >= 1 else F.substring(text, F.lit(1), F.floor(F.length(text) * share).cast("int"))
     return F.when(
         section.isNotNull() & (section != ""),
@@ -95,9 +101,10 @@ def body_of(text: Column, section: Column, share: float = K.BODY_SHARE) -> Colum
     ).otherwise(rest)
 
 
-def style_of(section: Column) -> Column:
-    """First citation style that matches in the first 20 non-blank lines."""
-    shown = F.array_join(F.slice(F.filter(lines(section), lambda x: strip(x) != ""), 1, 20), "\n")
+def style_of(section: Column, within: int | None = None) -> Column:
+    """First citation style that matches in the non-blank lines, or in the first ``within`` of them."""
+    filled = F.filter(lines(section), lambda x: strip(x) != "")
+    shown = F.array_join(filled if within is None else F.slice(filled, 1, within), "\n")
 
     def detect(t: Column) -> Column:
         style = F.lit(None).cast("string")
@@ -108,12 +115,12 @@ def style_of(section: Column) -> Column:
     return bind(shown, detect)
 
 
-def paper_title(papers: DataFrame) -> DataFrame:
-    return papers.select("doc_id", title_of(F.col("text")).alias("title"))
+def paper_title(papers: DataFrame, within: int | None = None) -> DataFrame:
+    return papers.select("doc_id", title_of(F.col("text"), within).alias("title"))
 
 
-def paper_abstract(papers: DataFrame) -> DataFrame:
-    return papers.select("doc_id", abstract_of(F.col("text")).alias("abstract"))
+def paper_abstract(papers: DataFrame, within: int | None = None, following: int | None = None) -> DataFrame:
+    return papers.select("doc_id", abstract_of(F.col("text"), within, following).alias("abstract"))
 
 
 def reference_section(papers: DataFrame) -> DataFrame:
@@ -129,14 +136,14 @@ def with_sections(papers: DataFrame) -> DataFrame:
     )
 
 
-def body_text(papers: DataFrame, share: float = K.BODY_SHARE) -> DataFrame:
+def body_text(papers: DataFrame, share: float = 1) -> DataFrame:
     return papers.select(
         "doc_id", body_of(F.col("text"), reference_section_of(F.col("text")), share).alias("body")
     )
 
 
-def citation_style(sections: DataFrame) -> DataFrame:
-    return sections.select("doc_id", style_of(F.col("ref_section")).alias("style"))
+def citation_style(sections: DataFrame, within: int | None = None) -> DataFrame:
+    return sections.select("doc_id", style_of(F.col("ref_section"), within).alias("style"))
 
 
 def _explode_entries(sections: DataFrame, styles: tuple[str, ...], entries: Column) -> DataFrame:
@@ -227,18 +234,21 @@ def parse_refs_model(route: DataFrame, model: Callable) -> DataFrame:
 
 
 def extract_citations(papers: DataFrame, model: Callable | None = None, positions: bool = False) -> DataFrame:
-    """Bibliographies of all papers: rules first, the model only where the rules fail.
+    """Bibliographies of all papers, with ``is_valid``: whether the rules found enough plausible entries in the paper.
 
-    ``positions`` adds ``pos``, the place of each entry in its list.
+    Without a model every entry the rules found is kept, valid or not. A model
+    reads the papers whose bibliography is not valid instead of the rules; its
+    entries have a null ``is_valid``. ``positions`` adds ``pos``, the place of
+    each entry in its list.
     """
-    columns = ["doc_id", "citation_id", "citation_text", *(["pos"] if positions else [])]
+    columns = ["doc_id", "citation_id", "citation_text", "is_valid", *(["pos"] if positions else [])]
     sections = papers.withColumn("ref_section", reference_section_of(F.col("text"))).withColumn(
         "style", style_of(F.col("ref_section"))
     )
     parsed = citation_last_wins(parse_refs(sections))
     validity = validate_bibliography(parsed)
-    kept = parsed.join(validity.where("is_valid").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    flagged = parsed.join(validity.select("doc_id", "is_valid"), "doc_id").select(*columns)
     if model is None:
-        return kept
+        return flagged
     asked = citation_last_wins(parse_refs_model(citation_route(sections, validity), model))
-    return kept.unionByName(asked.select(*columns))
+    return flagged.where("is_valid").unionByName(asked.withColumn("is_valid", F.lit(None).cast("boolean")).select(*columns))

@@ -1,9 +1,12 @@
 """Claims: parsing answers, location, order, groups, routing."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from evidence import constants as K
+from evidence.functions import spans
 from evidence.operators import claims as C
 from evidence.operators import routing
 
@@ -44,6 +47,51 @@ def test_location(spark):
             assert text[want[0]:want[1]].split() == claim.split()
 
 
+def plain_span(text, claim, hint, loose):
+    """By find, then by a pattern of the claim's words."""
+    hint = max(0, hint or 0)
+    if not claim:
+        return None
+    at = text.find(claim, hint)
+    at = text.find(claim) if at < 0 else at
+    if at >= 0:
+        return at, at + len(claim)
+    words = [re.escape(w) for w in re.split(f"[{K.SPACE_CHARS}]+", claim) if w]
+    if not loose or not words:
+        return None
+    pattern = re.compile(f"[{K.SPACE_CHARS}]+".join(words))
+    hit = pattern.search(text, hint) or pattern.search(text)
+    return hit.span() if hit else None
+
+
+def test_many_spans_by_brute_force():
+    rng = random.Random(5)
+    parts = ["a", "b", "ab", " ", "  ", "\n", "\u2003 ", "é", "\U0001f600", "abab", "the cat ", "x.y"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        wanted = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 4))), rng.choice([None, -3, 0, 5, 20, 999])) for _ in range(8)]
+        for _ in range(8):
+            a = rng.randint(0, len(text))
+            piece = text[a : a + rng.randint(0, 50)]
+            wanted.append((re.sub(r"\s+", lambda m: rng.choice([" ", "  ", "\t"]), piece) if rng.random() < 0.5 else piece, rng.randint(0, 70)))
+        for loose in (False, True):
+            assert spans.locate(text, [*wanted, (None, 0)], loose) == [plain_span(text, w, h, loose) for w, h in wanted] + [None]
+
+
+def test_hashes_that_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(spans, "whole_hash", lambda text: spans.np.uint64(0))
+    monkeypatch.setattr(spans.Finder, "hashes", lambda self, places, width: spans.np.zeros(len(places), spans.np.uint64))
+    assert spans.locate("one two one", [("two", 0), ("one", 2), ("six", 0)], True) == [(4, 7), (8, 11), None]
+
+
+def test_claims_of_a_long_paper_are_dealt_out(spark):
+    text = " ".join(f"sentence number {n}." for n in range(3000))
+    df = spark.createDataFrame([(1, f"c{n}", f"sentence  number {n}.", 0) for n in range(3000)], "doc_id bigint, claim_id string, text string, hint int")
+    paper = spark.createDataFrame([(1, text), (2, "no claims")], "doc_id bigint, text string")
+    got = C.locate_claims(df, paper, listed=100).collect()
+    assert len(got) == 3000 and all(text[r.start : r.end] == r.text.replace("  ", " ") for r in got)
+
+
 def test_constraint_splits_rows(spark):
     df = spark.createDataFrame([("a", True, True), ("b", True, False), ("c", False, True)], "claim_id string, is_original boolean, citation_found boolean")
     good, bad = C.claim_constraint(df)
@@ -86,10 +134,13 @@ def test_rating_modes(spark):
         "Mostly true": (True, True), "Inaccurate": (True, False), "Verified": (True, True)}
 
 
-def test_context_keeps_ten_entries(spark):
+def test_context_is_whole_unless_bounded(spark):
     chunks = spark.createDataFrame([(1, 0, "t")], "doc_id bigint, chunk_id int, text string")
     facts = spark.createDataFrame([(1, "T", "x" * 500)], "doc_id bigint, title string, abstract string")
     book = spark.createDataFrame([(1, str(n), "e" * 200, n) for n in range(15)], "doc_id bigint, citation_id string, citation_text string, pos int")
-    row = C.claim_context(chunks, facts, book).first()
+    whole = C.claim_context(chunks, facts, book).first()
+    assert whole.abstract_preview == "x" * 500
+    assert whole.citation_list.split("\n") == [f"{n}: " + "e" * 200 for n in range(15)]
+    row = C.claim_context(chunks, facts, book, entries=10, entry_chars=100, abstract_chars=400).first()
     assert len(row.abstract_preview) == 403 and row.citation_list.split("\n")[9] == "9: " + "e" * 100 + "..."
     assert len(row.citation_list.split("\n")) == 10
