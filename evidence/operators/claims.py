@@ -15,6 +15,7 @@ from evidence.functions.spans import locate
 from evidence.functions.text import head, not_empty, sentences, strip
 from evidence.operators.hook import score
 from evidence.operators.ranking import rank_in_groups, top_k
+from evidence.session import materialize
 
 SEQ_BUCKET = 100_000
 #: Claims that are searched beside one copy of their paper's text.
@@ -156,6 +157,7 @@ def locate_claims(claims: DataFrame, papers: DataFrame, loose: bool = True, list
     is dealt out in several rows, each with its text and one list of claims.
     """
     names = [c for c in claims.columns if c not in ("start", "end")]
+    claims = materialize(claims.select(*names), "claims")  # read twice below, but extracted once
     lists = claims.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / listed).alias("_lists"))
     dealt = claims.select(*names).join(lists, "doc_id").withColumn("_list", F.pmod(F.xxhash64(*names), "_lists"))
     rows = dealt.groupBy("doc_id", "_list").agg(F.collect_list(F.struct(*names)).alias("_claims"))

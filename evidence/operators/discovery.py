@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidence import constants as K
 from evidence.functions.text import bind, contains_any, ends_with_any, head, not_empty, squeeze, word_keys
 from evidence.operators.hook import score
+from evidence.operators.postings import block_topk
 from evidence.operators.ranking import nest_parts, rank_in_groups, top_k
 from evidence.session import materialize
 
@@ -111,13 +112,13 @@ def catalog_search(
 
 
 def text_source_search(
-    claims: DataFrame, sources: DataFrame, k: int = K.TEXT_TOP_K, hot_items: int = HOT_TOKEN_ITEMS, chars: int | None = None
+    claims: DataFrame, sources: DataFrame, k: int = K.TEXT_TOP_K, chars: int | None = None
 ) -> DataFrame:
     """The best text source for each claim, of ``k`` candidates, searched by its whole text or its first ``chars`` characters."""
     asked = F.col("text") if chars is None else head(F.col("text"), chars)
     queries = claims.select("doc_id", "claim_id", word_keys(asked).alias("words"))
     entries = sources.select("source_id", word_keys(F.col("text")).alias("words"))
-    hits = overlap_topk(queries, entries, ["doc_id", "claim_id"], "source_id", k, hot_items)
+    hits = block_topk(queries, entries, ["doc_id", "claim_id"], "source_id", k)
     return hits.groupBy("doc_id", "claim_id").agg(
         F.min_by("source_id", "rank").alias("source_id"),
         F.max("overlap").alias("overlap"),

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from evidence.operators import discovery as D
-from evidence.operators import fetch, ranking, reporting, routing, verdicts
+from evidence.operators import fetch, postings, ranking, reporting, routing, verdicts
 from evidence.operators.hook import score, usage_of
 
 
@@ -18,9 +18,11 @@ def test_overlap_equals_brute_force(spark):
     queries = {(d, f"c{n}"): pick(6) + ["zz"] for d in range(5) for n in range(20)}
     q = spark.createDataFrame([(d, c, w) for (d, c), w in queries.items()], "doc_id bigint, claim_id string, words array<string>")
     i = spark.createDataFrame(list(items.items()), "item bigint, words array<string>")
-    for hot in (0, 10, 40, 1000):
+    searches = {hot: D.overlap_topk(q, i, ["doc_id", "claim_id"], "item", 4, hot) for hot in (0, 10, 40, 1000)}
+    searches |= {f"{n} an item block": postings.block_topk(q, i, ["doc_id", "claim_id"], "item", 4, n) for n in (9, 70, 8192)}
+    for hot, search in searches.items():
         got = {}
-        for r in D.overlap_topk(q, i, ["doc_id", "claim_id"], "item", 4, hot).collect():
+        for r in search.collect():
             got.setdefault((r.doc_id, r.claim_id), {})[r["rank"]] = (r.item, r.overlap)
         for key, words in queries.items():
             ranked = sorted(((-len(set(words) & set(v)), k) for k, v in items.items() if set(words) & set(v)))[:4]
