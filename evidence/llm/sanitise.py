@@ -161,7 +161,7 @@ def _counting(known: frozenset | None):
         for batch in batches:
             n: Counter = Counter()
             for text in texts_of(batch, "_text"):
-                if known is not None and known.isdisjoint(WORD.findall(text.lower())):
+                if known is not None and known.isdisjoint({w.lower() for w in set(WORD.findall(text))}):
                     continue
                 for begin, end in contexts(text):
                     terms = {m.lower() for m in WORD.findall(text, begin, end)}

@@ -490,6 +490,10 @@ def _crosses(live: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
     return found.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
 
 
+#: Turns of comparing one text of each shingle before all pairs still open are compared.
+TURNS = 64
+
+
 def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = BLOCK_ROWS, sample: int = COUNTED, free_pairs: int = FREE_PAIRS,
 ) -> DataFrame:
@@ -501,8 +505,8 @@ def similar_documents(
     first fifth of each in any common order (prefix filter). While shingles have
     more than ``free_pairs`` open pairs for each row, one text of each is
     compared with all that hold it, and pairs within a component found so far
-    are no longer open; then all open pairs are compared, in blocks of
-    ``shard_rows``. Equal sets are compared once. The order, seldom shingles
+    are no longer open; then, and after ``TURNS`` such turns at the latest, all
+    open pairs are compared, in blocks of ``shard_rows``. Equal sets are compared once. The order, seldom shingles
     first, comes from about ``sample`` texts and changes no result. Rows without
     words are one component; null ids stay null.
     """
@@ -514,14 +518,14 @@ def similar_documents(
     shared = postings.groupBy("token").count().where("count > 1").select("token")
     whole = materialize(postings.join(shared, "token"), "postings")
     live, edges, roots, last = whole.withColumn("label", F.col("node")), None, None, None
-    for turn in range(64):
+    for turn in range(TURNS):
         each = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         counted = each.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * CAST(c AS double)")).alias("q"), F.max_by("label", F.struct("c", "label")).alias("major"))
         open_ = materialize(counted.withColumn("open", F.expr("(rows * CAST(rows AS double) - q) / 2")).where("open > 0"), "open")
         n, pairs = open_.agg(F.sum("rows"), F.sum("open")).first()
         if not n:
             break
-        rest = pairs <= free_pairs * n or (last is not None and pairs > 0.8 * last)
+        rest = turn == TURNS - 1 or pairs <= free_pairs * n or (last is not None and pairs > 0.8 * last)
         last = pairs
         found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, open_, turn), rows)
         edges = found if edges is None else edges.unionByName(found)
