@@ -502,9 +502,9 @@ def similar_documents(
     Texts link where the sets of their five-word shingles (as 64-bit hashes)
     have a Jaccard similarity of 0.8 or more; every such pair ends in one
     component and nothing below links. Two such texts share a shingle among the
-    first fifth of each in any common order (prefix filter). While shingles have
-    more than ``free_pairs`` open pairs for each row, one text of each is
-    compared with all that hold it, and pairs within a component found so far
+    first fifth of each in any common order (prefix filter). Of every shingle with
+    more than ``free_pairs`` open pairs for each of its rows one text is
+    compared with all that hold it, as long as that closes a fifth of such pairs, and pairs within a component found so far
     are no longer open; then, and after ``TURNS`` such turns at the latest, all
     open pairs are compared, in blocks of ``shard_rows``. Equal sets are compared once. The order, seldom shingles
     first, comes from about ``sample`` texts and changes no result. Rows without
@@ -522,12 +522,13 @@ def similar_documents(
         each = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         counted = each.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * CAST(c AS double)")).alias("q"), F.max_by("label", F.struct("c", "label")).alias("major"))
         open_ = materialize(counted.withColumn("open", F.expr("(rows * CAST(rows AS double) - q) / 2")).where("open > 0"), "open")
-        n, pairs = open_.agg(F.sum("rows"), F.sum("open")).first()
+        wide = open_.where(F.col("open") > free_pairs * F.col("rows"))
+        n, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("open") > free_pairs * F.col("rows"), F.col("open")))).first()
         if not n:
             break
-        rest = turn == TURNS - 1 or pairs <= free_pairs * n or (last is not None and pairs > 0.8 * last)
+        rest = turn == TURNS - 1 or pairs is None or (last is not None and pairs > 0.8 * last)
         last = pairs
-        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, open_, turn), rows)
+        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, wide, turn), rows)
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
         if rest:
