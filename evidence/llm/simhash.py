@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence.llm.common import texts_of, unsigned
+from evidence.operators.ranking import top_k
 from evidence.session import materialize
 
 WORDS = 3
@@ -49,6 +50,8 @@ COMMON = 1 << 17
 MARKS = 1 << 24
 BLOCK_ROWS = 2048
 FREE_PAIRS = 32
+#: Texts of a crowded shingle that others are compared with in a turn.
+STARS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -473,11 +476,20 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _stars(live: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one text of every open shingle, the same for as many shingles as can be, and all others that hold it."""
+    """Pairs of ``STARS`` texts of every open shingle, the same for as many shingles as can be, and others that hold it.
+
+    A text is paired with at most ``STARS`` others a turn, those it shares most
+    such shingles with: the pairs grow with the texts of a group, not with its
+    square.
+    """
     live = live.join(open_.select("token"), "token", "left_semi")
-    first = live.groupBy("token").agg(F.min_by(F.struct("node", "label", "n", "pos"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("r"))
+    chance = F.xxhash64("node", F.lit(turn))
+    first = live.groupBy("token", F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(STARS)).alias("deal")).agg(
+        F.min_by(F.struct("node", "label", "n", "pos"), F.struct(chance, "node")).alias("r"))
     found = live.join(first, "token").where("label <> r.label").where(_fits("n", "r.n", "pos", "r.pos"))
-    return found.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
+    votes = found.groupBy("node", F.col("r.node").alias("star")).agg(F.count(F.lit(1)).alias("votes"))
+    best = top_k(votes, ["node"], [F.col("votes").desc(), F.col("star")], STARS, "_place")
+    return best.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
 
 
 def _crosses(live: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
