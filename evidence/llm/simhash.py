@@ -52,6 +52,9 @@ BLOCK_ROWS = 2048
 FREE_PAIRS = 32
 #: Texts of a crowded shingle that others are compared with in a turn.
 STARS = 8
+#: 64-bit words that hold the parity of a set, and their columns.
+PARITY = 4
+ODD = [f"odd_{k}" for k in range(PARITY)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -427,23 +430,35 @@ def _marks(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """``PARITY`` words: of each bit, whether an odd number of shingles falls on it.
+
+    Where two sets differ in d shingles their words differ in d bits at most.
+    """
+    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(common: np.ndarray, counts: np.ndarray):
     """The shingles of which two similar texts share one: all but 0.8 of a text's and one more, seldom ones first."""
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, odd = [], [], [], []
             for text in texts_of(batch, "_text"):
                 found = shingle_set(text, known)
                 n = len(found)
                 nodes.append(_node(found))
                 sizes.append(n)
+                odd.append(_parity(found))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
                 firsts.append(found[: n - (4 * n + 4) // 5 + 1])
+            words = np.array(odd, np.int64).reshape(-1, PARITY)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)], ["doc_id", "node", "n", "prefix"])
+                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts), *[pa.array(words[:, k]) for k in range(PARITY)]],
+                ["doc_id", "node", "n", "prefix", *ODD])
 
     return prefixes
 
@@ -492,13 +507,20 @@ def _stars(live: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
 
 
-def _crosses(live: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
-    """All pairs of texts of different labels that share an open shingle, in blocks of ``block_rows`` against each other."""
-    held = live.join(open_.select("token", "major", F.ceil(F.col("rows") / block_rows).alias("k")), "token")
+def _crosses(live: DataFrame, open_: DataFrame, odd: DataFrame, block_rows: int) -> DataFrame:
+    """Pairs of texts of different labels that share an open shingle, in blocks of ``block_rows`` against each other.
+
+    Sets with 0.8 in common differ in a ninth of their sizes at most. Pairs whose
+    parity words (``odd``, by node) differ in more bits than that are left out: none of them is alike.
+    """
+    held = live.join(open_.select("token", "major", F.ceil(F.col("rows") / block_rows).alias("k")), "token").join(odd, "node")
     own, every = F.pmod(F.xxhash64("node", F.lit(-1)), "k"), F.explode(F.expr("sequence(0L, k - 1)"))
-    left = held.where("label <> major").select("token", "node", "label", "n", "pos", own.alias("i"), every.alias("j"))
-    right = held.select("token", "major", every.alias("i"), own.alias("j"), *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "pos")])
-    found = left.join(right, ["token", "i", "j"]).where("label <> _label AND (_label = major OR node < _node)").where(_fits("n", "_n", "pos", "_pos"))
+    sides = ["node", "label", "n", "pos", *ODD]
+    left = held.where("label <> major").select("token", *sides, own.alias("i"), every.alias("j"))
+    right = held.select("token", F.expr("label = major").alias("first"), every.alias("i"), own.alias("j"), *[F.col(c).alias(f"_{c}") for c in sides])
+    differing = " + ".join(f"bit_count({c} ^ _{c})" for c in ODD)
+    found = left.join(right, ["token", "i", "j"]).where("label <> _label AND (first OR node < _node)").where(
+        f"{_fits('n', '_n', 'pos', '_pos')} AND 9 * ({differing}) <= n + _n")
     return found.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
 
 
@@ -518,15 +540,17 @@ def similar_documents(
     more than ``free_pairs`` open pairs for each of its rows one text is
     compared with all that hold it, as long as that closes a fifth of such pairs, and pairs within a component found so far
     are no longer open; then, and after ``TURNS`` such turns at the latest, all
-    open pairs are compared, in blocks of ``shard_rows``. Equal sets are compared once. The order, seldom shingles
+    open pairs are compared, in blocks of ``shard_rows``; the parity of how many
+    shingles fall on each of 256 bits first rules out pairs that differ too much. Equal sets are compared once. The order, seldom shingles
     first, comes from about ``sample`` texts and changes no result. Rows without
     words are one component; null ids stay null.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, prefix array<bigint>"
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in ODD)
     made = materialize(rows.mapInArrow(_prefixes(*_common(rows, sample)), shape), "prefixes")
     distinct = made.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    odd = made.groupBy("node").agg(*[F.first(c).alias(c) for c in ODD])
     shared = postings.groupBy("token").count().where("count > 1").select("token")
     whole = materialize(postings.join(shared, "token"), "postings")
     live, edges, roots, last = whole.withColumn("label", F.col("node")), None, None, None
@@ -540,7 +564,7 @@ def similar_documents(
             break
         rest = turn == TURNS - 1 or pairs is None or (last is not None and pairs > 0.8 * last)
         last = pairs
-        found = _alike(_crosses(live, open_, shard_rows) if rest else _stars(live, wide, turn), rows)
+        found = _alike(_crosses(live, open_, odd, shard_rows) if rest else _stars(live, wide, turn), rows)
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
         if rest:

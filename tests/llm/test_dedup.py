@@ -273,6 +273,17 @@ def test_similar_is_exact(spark, options):
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(jaccard_roots(texts)))
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 7, 150, 2000):
+        a = rng.integers(0, 1 << 64, size, np.uint64, endpoint=False)
+        for lost in (0, size // 9, size):
+            b = np.concatenate([a[lost:], rng.integers(0, 1 << 64, lost // 2, np.uint64)])
+            differing = int(np.bitwise_count((S._parity(a) ^ S._parity(b)).view(np.uint64)).sum())
+            assert differing <= lost + lost // 2
+            assert (differing == 0) or lost
+
+
 def test_similar_odd_rows(odd, none):
     kept = S.drop_similar(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, None} and 7 not in {r.doc_id for r in kept.collect()}
