@@ -166,6 +166,17 @@ FACTS = {
 FROM (SELECT *, {KEY % 'text'} AS k FROM lead_claims) c
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {KEY % 'claim_text'} ORDER BY review_id) AS rn, {KEY % 'claim_text'} AS k FROM fact_reviews) r
  ON r.k = c.k AND r.rn = 1""",
+    ),
+    "similar_matches": (
+        ("reworded_claims", "fact_reviews"),
+        f"""SELECT c.*, r.review_id, r.textual_rating, r.publisher, r.url, b.similarity
+FROM reworded_claims c LEFT JOIN (
+ SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY similarity DESC, review_id) AS rn FROM (
+  SELECT claim_id, review_id, count(*) / (any_value(n) + any_value(m) - count(*))::DOUBLE AS similarity
+  FROM (SELECT claim_id, len(w) AS n, unnest(w) AS t FROM (SELECT claim_id, list_distinct(string_split({KEY % 'text'}, ' ')) AS w FROM reworded_claims)) x
+  JOIN (SELECT review_id, len(w) AS m, unnest(w) AS t FROM (SELECT review_id, list_distinct(string_split({KEY % 'claim_text'}, ' ')) AS w FROM fact_reviews)) y USING (t)
+  WHERE t <> '' GROUP BY claim_id, review_id) WHERE similarity >= 0.8) b ON b.claim_id = c.claim_id AND b.rn = 1
+LEFT JOIN fact_reviews r ON r.review_id = b.review_id""",
     ),
     "outcomes": (
         ("matches",),
@@ -331,6 +342,10 @@ FROM claims GROUP BY 1, 2""",
         lambda i: reviews_claims(i),
         oracle("SELECT doc_id, claim_id, text, claim_type, review_id, textual_rating, publisher, url, similarity FROM matches", "matches"),
     ),
+    "factcheck_similar": (
+        lambda i: routing.factcheck_similar(i.view("reworded_claims"), i.view("fact_reviews")).withColumn("similarity", F.round("similarity", 6)),
+        oracle("SELECT doc_id, claim_id, text, review_id, textual_rating, publisher, url, round(similarity, 6) AS similarity FROM similar_matches", "similar_matches"),
+    ),
     "factcheck_outcome": (
         lambda i: outcomes(i).select("doc_id", "claim_id", "found", "fact_confidence", "fact_explanation"),
         oracle("SELECT doc_id, claim_id, found, fact_confidence, fact_explanation FROM outcomes", "outcomes"),

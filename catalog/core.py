@@ -42,6 +42,11 @@ FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
     "lead_claims": """
 SELECT doc_id, concat('claim_0_', doc_id) AS claim_id, text,
  CASE WHEN doc_id % 3 = 0 THEN 'quantitative' ELSE 'qualitative' END AS claim_type
+FROM {documents}""",
+    # The same claims, two in three of them reworded.
+    "reworded_claims": """
+SELECT doc_id, concat('claim_0_', doc_id) AS claim_id,
+ CASE doc_id % 3 WHEN 0 THEN concat('  ', translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) WHEN 1 THEN concat('Reported in ', source, ': ', replace(text, '. ', ' ')) ELSE concat(text, chr(10), 'Nobody has disputed claim ', doc_id) END AS text
 FROM {documents}""",
     "attempts": """
 SELECT doc_id, citation_id, cast(row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS int) AS attempt_no,

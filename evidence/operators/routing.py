@@ -11,6 +11,8 @@ from evidence import constants as K
 from evidence.functions.ratings import rating_confidence, rating_passes
 from evidence.functions.text import not_empty, squeeze
 from evidence.operators.hook import score
+from evidence.operators.setjoin import set_key, similar_sets, word_set
+from evidence.session import materialize
 
 
 def is_cited() -> Column:
@@ -57,6 +59,44 @@ def factcheck_lookup(claims: DataFrame, reviews: DataFrame, similarity: Column |
     )
 
 
+def factcheck_similar(claims: DataFrame, reviews: DataFrame, threshold: float = K.DEFAULT_SIMILARITY) -> DataFrame:
+    """Claims with the review whose words are most like theirs, and that ``similarity``.
+
+    It is the Jaccard similarity of the sets of lower-case words; reviews below
+    ``threshold`` are none, equal ones go to the smaller ``review_id``. Equal sets meet by
+    their key alone; only the other claims are searched, each distinct set once. Claims
+    without words, and such without a review, keep nulls.
+    """
+    columns = ["textual_rating", "publisher", "url"]
+    worded = lambda df, text: df.withColumn("_words", word_set(fact_key(F.col(text)))).withColumn("_pid", set_key(F.col("_words")))
+    said = materialize(worded(claims, "text"), "claims")
+    some = F.size("_words") > 0
+    held = materialize(
+        worded(reviews, "claim_text").where(some).groupBy(F.col("_pid").alias("pid")).agg(
+            F.first("_words").alias("words"),
+            F.min("review_id").alias("review_id"),
+            F.min_by(F.struct(*columns), "review_id").alias("review"),
+        ),
+        "reviews",
+    )
+    asked = said.where(some).groupBy(F.col("_pid").alias("pid")).agg(F.first("_words").alias("words"))
+    equal = asked.join(held, "pid").select("pid", "review_id", "review", F.lit(1.0).alias("similarity"))
+    found = similar_sets(asked.join(held, "pid", "left_anti"), held, threshold)
+    near = (
+        found.join(held.select(F.col("pid").alias("b"), "review_id", "review"), "b")
+        .groupBy(F.col("a").alias("pid"))
+        .agg(F.min_by(F.struct("review_id", "review", "similarity"), F.struct(-F.col("similarity"), "review_id")).alias("best"))
+        .select("pid", "best.*")
+    )
+    best = equal.unionByName(near).withColumnsRenamed({"review_id": "_review_id", "similarity": "_similarity"})
+    return said.join(best, F.col("_pid") == F.col("pid"), "left").select(
+        *[F.col(c) for c in claims.columns],
+        F.col("_review_id").alias("review_id"),
+        *[F.col(f"review.{c}").alias(c) for c in columns],
+        F.col("_similarity").alias("similarity"),
+    )
+
+
 def factcheck_outcome(matches: DataFrame, enabled: bool = True) -> DataFrame:
     """found, confidence, explanation and sources of every claim after the lookup."""
     rated = F.col("textual_rating").isNotNull()

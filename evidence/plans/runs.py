@@ -83,7 +83,7 @@ class Validation:
 def validate(
     claims: DataFrame, reviews: DataFrame, found_sources: DataFrame, attempts: DataFrame,
     texts: DataFrame, checks: DataFrame, plausibility_model: Callable,
-    grounding_model: Callable | None = None, store: bool = True,
+    grounding_model: Callable | None = None, store: bool = True, similarity: float | None = None,
 ) -> Validation:
     """All four classes of claims, from claims to one results table.
 
@@ -91,6 +91,8 @@ def validate(
     fetched for each citation; ``checks`` are outcomes of ``quant_check`` for
     claims with a dataset; ``found_sources`` are datasets found for uncited claims.
     Every claim has a row in ``results``, or in ``rejects`` if its type is unknown.
+    With ``similarity`` a claim takes the review whose words are most like its own, from
+    that Jaccard similarity on; without, a review of the same text.
     With ``store`` the claims and the model's answers are written once and read
     by every branch, so no claim is scored twice.
     """
@@ -99,9 +101,11 @@ def validate(
     routed = every.where(F.col("result_class").isNotNull())
     rejects = every.where(F.col("result_class").isNull()).withColumn(
         "reject_reason", F.concat(F.lit("Unknown claim type: "), F.coalesce("claim_type", F.lit("none"))))
+    uncited = routed.where(~routing.is_cited())
+    reviewed = routing.factcheck_lookup(uncited, reviews) if similarity is None else routing.factcheck_similar(uncited, reviews, similarity)
     scored = keep(
         routing.plausibility(
-            routing.factcheck_outcome(routing.factcheck_lookup(routed.where(~routing.is_cited()), reviews)),
+            routing.factcheck_outcome(reviewed),
             plausibility_model,
         ),
         "scored",

@@ -3,12 +3,14 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidence import constants as K
 from evidence.functions import spans
 from evidence.operators import claims as C
 from evidence.operators import routing
+from evidence.operators.setjoin import similar_sets
 
 
 def claims(spark, rows):
@@ -144,3 +146,34 @@ def test_context_is_whole_unless_bounded(spark):
     row = C.claim_context(chunks, facts, book, entries=10, entry_chars=100, abstract_chars=400).first()
     assert len(row.abstract_preview) == 403 and row.citation_list.split("\n")[9] == "9: " + "e" * 100 + "..."
     assert len(row.citation_list.split("\n")) == 10
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("block_rows", [2, 4096])
+def test_similar_sets_equal_brute_force(spark, threshold, block_rows):
+    pick = random.Random(5)
+    drawn = lambda: sorted({f"w{int(pick.paretovariate(0.7)) % 60}" for _ in range(pick.randint(1, 14))})
+    left, right = {f"l{k}": drawn() for k in range(80)}, {f"r{k}": drawn() for k in range(80)}
+    right |= {f"x{k}": [*left["l0"], f"own{k % 7}"] for k in range(30)}
+    left["none"] = right["none"] = []
+    frames = [spark.createDataFrame(list(sets.items()), "pid string, words array<string>") for sets in (left, right)]
+    got = {(r.a, r.b): r.similarity for r in similar_sets(*frames, threshold, block_rows).collect()}
+    want = {}
+    for a, x in left.items():
+        for b, y in right.items():
+            shared = len({*x} & {*y})
+            if shared and shared / (len(x) + len(y) - shared) >= threshold:
+                want[a, b] = shared / (len(x) + len(y) - shared)
+    assert got == want
+
+
+def test_most_similar_review(spark):
+    claims = spark.createDataFrame(
+        [(1, "A b c d e"), (2, "a  B c d e f"), (3, "nothing alike"), (4, None), (5, " "), (2, "a  B c d e f")], "doc_id int, text string")
+    reviews = spark.createDataFrame(
+        [(9, "e d c b a", "False", "p", "u9"), (8, "a b c d e", "True", "p", "u8"), (7, "a b c d e g", None, None, None), (6, None, "x", "p", "u"), (5, "a b c d f", "x", "p", "u5")],
+        "review_id int, claim_text string, textual_rating string, publisher string, url string")
+    rows = [(r.doc_id, r.review_id, r.url, r.similarity) for r in routing.factcheck_similar(claims, reviews).collect()]
+    assert sorted(rows, key=str) == [(1, 8, "u8", 1.0), (2, 5, "u5", 5 / 6), (2, 5, "u5", 5 / 6), (3, None, None, None), (4, None, None, None), (5, None, None, None)]
+    assert routing.factcheck_similar(claims, reviews.limit(0)).where("review_id IS NOT NULL").count() == 0
+    assert routing.factcheck_similar(claims.limit(0), reviews).count() == 0
