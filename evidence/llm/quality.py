@@ -112,7 +112,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, odds: float, epochs: int =
     """A model of bags of passage features; ``odds`` are those of label 1 among all labelled documents."""
     every = np.concatenate(bags)
     model = new_model(every.mean(axis=0), every.std(axis=0) + 1e-2, seed)
-    bags = [(b - model["mean"]) / model["spread"] for b in bags]
+    every -= model["mean"]
+    every /= model["spread"]
+    bags = np.split(every, np.cumsum([len(b) for b in bags[:-1]]))
     rng = np.random.default_rng(seed)
     adam = Adam({k: v for k, v in model.items() if k not in ("mean", "spread")}, RATE)
     for epoch in range(epochs):
@@ -134,8 +136,8 @@ def _bagging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in bytes_of(batch, "_text"):
             rows, _, used = windows([text], PASSAGE)
             pick = np.unique(np.linspace(0, len(rows) - 1, TRAINED_PASSAGES).astype(int))
-            made.append(passage_features(rows[pick], used[pick]).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(made, pa.list_(pa.float32()))], ["label", "features"])
+            made.append(passage_features(rows[pick], used[pick]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(made, pa.binary())], ["label", "features"])
 
 
 def fit(
@@ -161,12 +163,13 @@ def fit(
     spark = docs.sparkSession
     chosen = spark.createDataFrame(some, f"_id {labels.schema[doc_id].dataType.simpleString()}, _label int")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 * per_label rows
-    found = texts.select("_id", "_label", "_text").mapInArrow(_bagging, "label int, features array<float>").collect()
-    bags = sorted((r["label"], list(r["features"])) for r in found)
+    found = texts.select("_id", "_label", "_text").mapInArrow(_bagging, "label int, features binary").collect()
+    bags = sorted((r["label"], bytes(r["features"])) for r in found)
+    del found
     got = np.array([b[0] for b in bags], np.float32)
     if not 0 < got.sum() < len(got):
         return None
-    return train([np.array(f, np.float32).reshape(-1, FEATURES) for _, f in bags], got, counts[1] / counts[0], epochs)
+    return train([np.frombuffer(f, np.float32).reshape(-1, FEATURES) for _, f in bags], got, counts[1] / counts[0], epochs)
 
 
 def scores(model: Model, texts: list[bytes]) -> list[float]:
