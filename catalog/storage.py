@@ -60,6 +60,28 @@ def tabular(i):
     return table.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("avg_price"), F.max("p_size").alias("max_size"))
 
 
+def mixed_files(i):
+    """The parts in four forms, with records that do not parse and pages among them, loaded by what each file holds."""
+    path = scratch_dir(i.spark, "mixed")
+    part = i.table("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    form = F.pmod("p_partkey", F.lit(4))
+    part.where(form == 0).write.option("header", True).csv(f"{path}/a")
+    part.where(form == 1).select("p_retailprice", "p_type", "p_partkey", "p_size").write.option("header", True).csv(f"{path}/b")
+    lines = part.where(form == 2).select(F.to_json(F.struct("*")).alias("value"))
+    broken = part.where((form == 2) & (F.col("p_size") % 10 == 0)).select(F.concat(F.lit('{"p_partkey": '), "p_type").alias("value"))
+    lines.unionByName(broken).write.text(f"{path}/c.json")
+    blocks = part.where(form == 3).groupBy(F.floor(F.col("p_partkey") / 5000).alias("block")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("p_partkey", "p_type", "p_size", "p_retailprice"))), ",\n"), F.lit("\n]")).alias("value"))
+    blocks.repartition("block").write.partitionBy("block").text(f"{path}/d")
+    i.table("pages").select(F.concat(F.lit("<html>"), "html").alias("value")).write.text(f"{path}/e")
+    rows, rejects = files.load_tabular_files(i.spark, path, "p_partkey bigint, p_type string, p_size int, p_retailprice double")
+    loaded = rows.groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("avg_price"), F.max("p_size").cast("bigint").alias("max_size"))
+    lost = rejects.groupBy("error").agg(F.count("record").alias("n")).select(
+        F.col("error").alias("p_type"), "n", F.lit(None).cast("double").alias("avg_price"), F.lit(None).cast("bigint").alias("max_size"))
+    return loaded.unionByName(lost)
+
+
 def _stream(i, name, schema):
     return streams.read_stream(i.spark, i.folder, f"{name}.parquet", schema)
 
@@ -137,6 +159,12 @@ QUERIES = {
         tabular,
         "SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS avg_price, cast(max(p_size) AS bigint) AS max_size FROM part GROUP BY p_type",
     ),
+    "load_tabular_files": (
+        mixed_files,
+        """SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS avg_price, cast(max(p_size) AS bigint) AS max_size FROM part GROUP BY p_type
+ UNION ALL SELECT 'Record is not a row of the schema', count(*), NULL, NULL FROM part WHERE p_partkey % 4 = 2 AND p_size % 10 = 0 HAVING count(*) > 0
+ UNION ALL SELECT 'URL is not tabular data (detected: text/html)', 0, NULL, NULL FROM pages HAVING count(*) > 0""",
+    ),
     "stream_route": (
         routed_stream,
         """SELECT doc_id, claim_type, citation_id, claim_type || CASE WHEN citation_id IS NULL THEN '_uncited' ELSE '_cited' END AS result_class FROM (

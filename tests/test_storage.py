@@ -71,6 +71,31 @@ def test_payload_folder(spark, tmp_path):
     assert files.load_tabular(spark, str(tmp_path / "a.csv"), "csv").first().y == 2
 
 
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y,name\n1,2,"a, ""b"""\n3,no,c\n4,5\n')
+    (tmp_path / "b.dat").write_text('name,extra,x\n"two\nlines",9,6\n')
+    (tmp_path / "c.json").write_text('{"x": 7, "name": "n"}\n\n{"x": 8, "y":\n')
+    (tmp_path / "d.dat").write_text(json.dumps([{"x": 9, "y": 1}, {"x": 10}], indent=1))
+    (tmp_path / "e.dat").write_text(json.dumps({"x": 11, "name": "é"}, indent=1))
+    (tmp_path / "f.dat").write_text("<!doctype html><p>a,b")
+    (tmp_path / "g.xls").write_bytes(b"\xd0\xcf\x11\xe0zz")
+    (tmp_path / "h.csv").write_text("")
+    (tmp_path / "h2.dat").write_text("q,r\n1,2\n")
+    (tmp_path / "i j.csv").write_text("x\n12\n")
+    rows, rejects = files.load_tabular_files(spark, str(tmp_path), "x bigint, y int, name string")
+    got = {(r.x, r.y, r.name) for r in rows.collect()}
+    assert got == {(1, 2, 'a, "b"'), (6, None, "two\nlines"), (7, None, "n"), (9, 1, None), (10, None, None), (11, None, "é"), (12, None, None)}
+    bad = sorted((r.file.rsplit("/", 1)[1], r.error) for r in rejects.collect())
+    assert [b[0] for b in bad] == ["a.csv", "a.csv", "c.json", "f.dat", "g.xls", "h2.dat"]
+    assert bad[0][1] == "Not of the column's type: y" and bad[1][1] == "Row does not fit the header"
+    assert bad[4][1] == "Unhandled format: xls"
+    names, lost = files.load_tabular_files(spark, str(tmp_path / "a.csv"), "name string")
+    assert names.count() == 2 and lost.groupBy("error").count().first()["error"] == "Row does not fit the header"
+    # Nothing is opened: names decide, and a json file is taken as lines.
+    rows, rejects = files.load_tabular_files(spark, str(tmp_path / "c.json"), "x bigint", sniffed_bytes=0)
+    assert [r.x for r in rows.collect()] == [7] and rejects.count() == 1
+
+
 PAGE = """<html><body><nav><a href="https://a.org/nav">navigation link</a></nav>
 <div class="Cookie-Banner">accept <p>all</p></div>
 <article><h1>Title  here</h1><p>One &amp; two<br>three</p><div id="share-box">share</div><script>var t = "</p>";</script>
