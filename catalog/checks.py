@@ -7,8 +7,9 @@ from catalog.core import CTES, Inputs, lit, oracle
 from catalog.documents import char_chunks_of
 from evidence import constants as K
 from evidence.operators import reporting, retrieval as R, verdicts
+from evidence.operators.hook import score
 from evidence.plans import runs
-from evidence.session import materialize
+from evidence.session import materialize, scratch_dir
 
 GRAM = 4
 
@@ -241,6 +242,24 @@ def errors(i):
         F.col("user_id") % 6 == 3, F.lit("")).otherwise(F.concat(F.lit("status 429 "), "props")).alias("error"))
 
 
+def scored_twice(i):
+    """Two runs with one answer cache: the second asks only for what failed in the first, and says so."""
+    docs, cache = i.table("documents").select("doc_id", "text"), scratch_dir(i.spark, "cache")
+
+    def model(run):
+        def answer(batch):
+            n = batch["text"].str.len()
+            if run == "first" and (n % 7 == 0).any():
+                raise ValueError("model overloaded")
+            return batch.assign(n=n, asked_in=run, input_tokens=n)
+
+        return answer
+
+    one, two = (score(docs, model(run), ["text"], "n bigint, asked_in string", "length", cache=cache) for run in ("first", "second"))
+    before = one.select("doc_id", F.col("error").alias("first_error"))
+    return two.join(before, "doc_id").select("doc_id", "n", "asked_in", "input_tokens", "first_error", "error")
+
+
 def validated(i):
     """The whole validation over the papers: rule claims, reviews, datasets, attempts and texts."""
     claims = materialize(mapped(i), "claims")
@@ -414,6 +433,11 @@ FROM idf WHERE source_key >= 0 GROUP BY claim_key, source_key""",
             "verdicts",
         ),
     ),
+    "score_cached": (
+        scored_twice,
+        """SELECT doc_id, length(text) AS n, CASE WHEN length(text) % 7 = 0 THEN 'second' ELSE 'first' END AS asked_in, CASE WHEN length(text) % 7 = 0 THEN length(text) ELSE 0 END AS input_tokens,
+ CASE WHEN length(text) % 7 = 0 THEN 'model overloaded' END AS first_error, NULL::VARCHAR AS error FROM documents""",
+    ),
     "quant_check": (lambda i: checked(i, SPECS), _check_sql(SPECS)),
     "quant_compare_claims": (lambda i: checked(i, RELATIVE), _check_sql(RELATIVE)),
     "quantitative_result": (

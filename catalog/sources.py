@@ -71,6 +71,20 @@ def reuse_inputs(i):
     )
 
 
+def reuse_asked(i):
+    """The same choice by a model that sees a claim and a dataset found before it."""
+    claims = reuse_inputs(i).join(i.view("data_claims").select("doc_id", "claim_id", "text"), ["doc_id", "claim_id"])
+
+    def fit(batch):
+        name = batch["text"].str.extract(r"Sales of the (\w+) (\w+) in")
+        known = batch["known_url"].str.extract(r"/(\w+)-(\w+)$")
+        near = known[1] < name[1]
+        answer = near.map({True: 0.8, False: 0.6}).where(known[1] != name[1], 0.95).where(known[0] == name[0], 0.1)
+        return batch.assign(confidence=answer)
+
+    return D.dataset_reuse_waves(claims, fit, ["text"])
+
+
 def oa(i):
     return D.rank_oa_locations(i.view("oa_locations"))
 
@@ -480,6 +494,14 @@ QUERIES = {
         lambda i: D.dataset_reuse(reuse_inputs(i)).select("doc_id", "claim_id", "source_url", "found_by_claim_id", "is_reused"),
         oracle("@", "reuse_in").replace(" @", _REUSE),
     ),
+    "dataset_reuse_waves": (
+        lambda i: D.dataset_reuse_waves(reuse_inputs(i)).select("doc_id", "claim_id", "source_url", "found_by_claim_id", "is_reused"),
+        oracle("@", "reuse_in").replace(" @", _REUSE),
+    ),
+    "dataset_reuse_asked": (
+        lambda i: reuse_asked(i).select("doc_id", "claim_id", "source_url", "found_by_claim_id", "is_reused"),
+        oracle("@", "reuse_in").replace(" @", _REUSE),
+    ),
     "discovery_records": (
         discovery_records,
         oracle("SELECT doc_id % 10 AS grp, count(*) AS count, count(*) AS n_listed FROM chosen GROUP BY 1", "chosen"),

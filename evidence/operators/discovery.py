@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -219,6 +219,168 @@ def dataset_reuse(
     )
 
 
+def dataset_reuse_waves(
+    claims: DataFrame, ask: Callable | None = None, inputs: Sequence[str] = (), threshold: float = K.REUSE_CONFIDENCE,
+    waves: int | None = None, cache: str | None = None,
+) -> DataFrame:
+    """``dataset_reuse`` without walking a paper: claims are decided wave by wave, wherever they lie.
+
+    A dataset is found by the first claim that searched it out and reused
+    nothing. Each wave bounds that place from both sides: claims known to search
+    give the latest it can be, claims not yet decided the earliest. A claim that
+    fits a dataset surely found before it reuses; one for which no fitting
+    dataset can lie before it searches. The earliest open claim of every paper is
+    decided in each wave, so the waves end; there are as many as decisions hang
+    on one another. After ``waves`` of them the claims still open are walked
+    in order, which gives the same rows (not with ``ask``, which goes on to the end).
+
+    Confidences come from the claims' ``reuse`` arrays, or from ``ask``: a model
+    for the hook, from ``inputs`` (columns of the claims) and ``known_url`` to
+    ``confidence``. It sees a pair of a claim and a dataset only when that dataset
+    is surely found before the claim, each pair once; ``cache`` keeps the answers.
+    A failed answer counts as no fit. Null urls find nothing; ``seq`` is
+    distinct within a paper. Result as of ``dataset_reuse``.
+    """
+    own = claims.select("doc_id", "claim_id", "seq", "url", "source", "score", *[c for c in inputs if c not in _CLAIM])
+    searched = own.where(F.col("url").isNotNull()).select("doc_id", F.col("url").alias("known_url")).distinct()
+    fit_type = "doc_id bigint, seq bigint, known_url string, confidence double"
+    if ask is None:
+        every = claims.select("doc_id", "seq", F.explode("reuse").alias("_fit")).select(
+            "doc_id", "seq", F.col("_fit.url").alias("known_url"), F.col("_fit.confidence").alias("confidence"))
+        fits = materialize(
+            every.where(F.col("confidence") > threshold).join(searched, ["doc_id", "known_url"], "left_semi")
+            .select("doc_id", "seq", "known_url", "confidence"), "fits")
+    else:
+        fits = own.sparkSession.createDataFrame([], fit_type)
+    state = materialize(own.withColumn("decided", F.lit(None).cast("string")), "wave")
+    turn = 0
+    while True:
+        firsts = _first_found(state)
+        pairs = fits
+        if ask is not None:
+            fits = materialize(_asked(state, firsts, fits, ask, inputs, cache), "fits")
+            pairs = fits.where(F.col("confidence") > threshold)
+        bounds = (
+            pairs.join(firsts, ["doc_id", "known_url"])
+            .groupBy("doc_id", "seq")
+            .agg(F.max(F.col("high") < F.col("seq")).alias("sure"), F.max(F.col("low") < F.col("seq")).alias("maybe"))
+        )
+        maybe = F.coalesce("maybe", F.lit(False))
+        bounded = state.join(bounds, ["doc_id", "seq"], "left")
+        if ask is not None:
+            # Behind the first dataset whose place is open, one could still be found that was never asked about.
+            unsure = firsts.where(~F.col("low").eqNullSafe(F.col("high"))).groupBy("doc_id").agg(F.min("low").alias("unsure"))
+            bounded = bounded.join(unsure, "doc_id", "left")
+            maybe = F.coalesce(F.col("unsure") < F.col("seq"), F.lit(False))
+        decided = (
+            F.when(F.col("decided").isNotNull(), F.col("decided"))
+            .when(F.col("sure"), F.lit("reused"))
+            .when(~maybe, F.lit("searched"))
+        )
+        state = materialize(bounded.withColumn("decided", decided).select(*state.columns), "wave")
+        turn += 1
+        if state.where("decided IS NULL").isEmpty():
+            if ask is not None:  # claims that reuse must have seen the datasets of the last wave
+                fits = materialize(_asked(state, _first_found(state), fits, ask, inputs, cache), "fits")
+            break
+        if ask is None and waves is not None and turn >= waves:
+            state = materialize(_walk_open(state, fits), "wave")
+            break
+    return _reused(state, fits.where(F.col("confidence") > threshold))
+
+
+def _asked(
+    state: DataFrame, firsts: DataFrame, fits: DataFrame, ask: Callable, inputs: Sequence[str], cache: str | None
+) -> DataFrame:
+    """``fits`` and the answers for datasets surely found before a claim that it was not asked about yet."""
+    salt = F.pmod(F.xxhash64("seq"), F.lit(REUSE_SALT))
+    claims = state.where("decided IS NULL OR decided = 'reused'").select("doc_id", "seq", *inputs, salt.alias("_salt"))
+    found = firsts.where(F.col("high").isNotNull()).select(
+        "doc_id", "known_url", "high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(REUSE_SALT - 1).cast("bigint"))).alias("_salt"))
+    due = (
+        claims.join(found, ["doc_id", "_salt"]).where("high < seq").select("doc_id", "seq", *inputs, "known_url")
+        .join(fits, ["doc_id", "seq", "known_url"], "left_anti")
+    )
+    answered = score(due, ask, [*inputs, "known_url"], "confidence double", task="dataset_reuse", cache=cache)
+    return fits.unionByName(
+        answered.select("doc_id", "seq", "known_url", F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
+
+
+#: Parts a paper's claims are dealt into when they meet the datasets found in it.
+REUSE_SALT = 32
+_CLAIM = ("doc_id", "claim_id", "seq", "url", "source", "score")
+
+
+def _first_found(state: DataFrame) -> DataFrame:
+    """Of each dataset of a paper the earliest place it can have been found (``low``) and the latest (``high``)."""
+    searching = F.col("decided") == "searched"
+    return (
+        state.where(F.col("url").isNotNull() & (F.col("decided").isNull() | searching))
+        .groupBy("doc_id", F.col("url").alias("known_url"))
+        .agg(F.min("seq").alias("low"), F.min(F.when(searching, F.col("seq"))).alias("high"))
+    )
+
+
+def _walk_open(state: DataFrame, fits: DataFrame) -> DataFrame:
+    """Open claims decided one after the other in each paper; what is decided comes in as bounds on their fits."""
+    found = _first_found(state.where("decided IS NOT NULL")).select("doc_id", "known_url", F.col("high").alias("found_at"))
+    open_ = state.where("decided IS NULL")
+    fitting = (
+        fits.join(open_.select("doc_id", "seq"), ["doc_id", "seq"])
+        .join(found, ["doc_id", "known_url"], "left")
+        .groupBy("doc_id", "seq")
+        .agg(F.collect_set("known_url").alias("fitting"), F.min("found_at").alias("found_at"))
+    )
+    rows = open_.join(fitting, ["doc_id", "seq"]).select("doc_id", "seq", "url", "fitting", "found_at")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paper, seen = None, set()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.doc_id != paper:
+                    paper, seen = r.doc_id, set()
+                reuses = r.found_at < r.seq or not seen.isdisjoint(r.fitting)
+                if not reuses and r.url is not None:
+                    seen.add(r.url)
+                out.append((r.doc_id, r.seq, "reused" if reuses else "searched"))
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "_late"])
+
+    late = (
+        rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+        .mapInPandas(walk, "doc_id bigint, seq bigint, _late string")
+    )
+    return state.join(late, ["doc_id", "seq"], "left").withColumn("decided", F.coalesce("decided", "_late")).select(*state.columns)
+
+
+def _reused(state: DataFrame, fits: DataFrame) -> DataFrame:
+    """Chosen datasets of decided claims: the best fit found earlier, else the claim's own."""
+    founders = (
+        state.where((F.col("decided") == "searched") & F.col("url").isNotNull())
+        .groupBy("doc_id", F.col("url").alias("known_url"))
+        .agg(F.min_by(F.struct("url", "source", "score", "claim_id", "seq"), "seq").alias("_row"))
+    )
+    best = (
+        fits.join(state.where("decided = 'reused'").select("doc_id", "seq"), ["doc_id", "seq"])
+        .join(founders, ["doc_id", "known_url"])
+        .where(F.col("_row.seq") < F.col("seq"))
+        .groupBy("doc_id", "seq")
+        .agg(F.max_by("_row", F.struct("confidence", -F.col("_row.seq"))).alias("_row"))
+    )
+    chosen = state.where("decided = 'reused'").select("doc_id", "claim_id", "seq").join(best, ["doc_id", "seq"]).select(
+        "doc_id", "claim_id", "seq", F.col("_row.url").alias("source_url"), F.col("_row.source").alias("source_type"),
+        F.col("_row.score").alias("relevance_score"), F.col("_row.claim_id").alias("found_by_claim_id"),
+        F.lit(True).alias("is_reused"))
+    numbered = rank_in_groups(
+        chosen, ["doc_id", "source_url"], [F.col("seq")], [F.floor(F.col("seq") / F.lit(10_000))], "reuse_no"
+    ).withColumn("reuse_no", F.col("reuse_no").cast("int"))
+    fresh = state.where((F.col("decided") == "searched") & F.col("url").isNotNull()).select(
+        "doc_id", "claim_id", "seq", F.col("url").alias("source_url"), F.col("source").alias("source_type"),
+        F.col("score").alias("relevance_score"), F.col("claim_id").alias("found_by_claim_id"),
+        F.lit(False).alias("is_reused"), F.lit(0).alias("reuse_no"))
+    return numbered.unionByName(fresh)
+
+
 def found_source_struct() -> Column:
     return F.struct(
         "source_url", "source_type", "relevance_score", "found_by_claim_id",

@@ -21,6 +21,8 @@ def score(
     out_schema: str,
     task: str = "generic",
     keep_once: bool = True,
+    cache: str | None = None,
+    version: str = "1",
 ) -> DataFrame:
     """Add the columns of ``out_schema`` computed by ``fn`` from ``input_cols``.
 
@@ -31,6 +33,13 @@ def score(
     null outputs and an ``error``. ``keep_once`` writes the answers to the
     shared folder, so that neither a second use of the result nor a lost
     executor asks the model again; without it every action does.
+
+    ``cache`` is a folder in shared storage that keeps answers between runs, by
+    the digest of the inputs, under the task and the ``version`` of the model.
+    Inputs found there are not asked; new answers are appended, failed ones are
+    not kept, so a later run asks those again. Tokens of answers found there are
+    0 in this run. Two runs at once may both ask an
+    input; one of the answers is then used from there on.
     """
     inputs = df.select(*input_cols).distinct()
     wanted = T.StructType.fromDDL(out_schema)
@@ -66,8 +75,12 @@ def score(
                     except Exception as exc:
                         yield failed(row, exc)
 
-    answers = inputs.mapInPandas(run, schema).withColumn("task", F.lit(task))
-    if keep_once:
+    if cache:
+        answers = _through_cache(inputs, lambda part: part.mapInPandas(run, schema), schema, f"{cache.rstrip('/')}/task={task}/version={version}")
+        answers = answers.withColumn("task", F.lit(task))
+    else:
+        answers = inputs.mapInPandas(run, schema).withColumn("task", F.lit(task))
+    if keep_once and not cache:
         answers = materialize(answers, "answers")
     condition = None
     left, right = df.alias("l"), answers.alias("r")
@@ -77,6 +90,25 @@ def score(
     return left.join(right, condition, "inner").select("l.*", *[F.col(f"r.{n}") for n in outputs], "r.task")
 
 
+def _through_cache(
+    inputs: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: T.StructType, folder: str
+) -> DataFrame:
+    """Answers of ``inputs``: those of the folder, else asked now and, unless they failed, appended to it."""
+    spark = inputs.sparkSession
+    stored = T.StructType([T.StructField("_digest", T.StringType()), *schema.fields])
+    spark.createDataFrame([], stored).write.mode("ignore").parquet(folder)  # the folder exists from here on
+    digest = F.sha2(F.to_json(F.struct(*inputs.columns), {"ignoreNullFields": "false"}), 256)
+    keyed = inputs.withColumn("_digest", digest)
+    before = spark.read.schema(stored).parquet(folder).dropDuplicates(["_digest"])
+    # Both sides are large in the long run: Spark prunes the cache with a bloom filter of the asked digests.
+    known = materialize(before.join(keyed.select("_digest"), "_digest", "left_semi").select("_digest", *schema.names), "known")
+    fresh = ask(keyed.join(known.select("_digest"), "_digest", "left_anti").drop("_digest"))
+    asked = materialize(fresh.withColumn("_digest", digest), "answers")
+    asked.where(F.col("error").isNull()).select(*stored.names).write.mode("append").parquet(folder)
+    spent = {c: F.lit(0).cast("bigint") for c in ("input_tokens", "output_tokens")}
+    return known.withColumns(spent).select(*schema.names).unionByName(asked.select(*schema.names))
+
+
 def usage_of(scored: DataFrame, input_cols: list[str]) -> DataFrame:
     """Token usage of a scored table, counted once per distinct input."""
     return (

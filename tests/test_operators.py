@@ -200,3 +200,64 @@ def test_triage_parts_are_complete(spark):
     assert routing.promote_found_source(searched).first().citation_id.startswith("found_c")
 
 
+
+
+def test_answers_are_kept_between_runs(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        calls.add(len(batch))
+        if (batch["text"] == "bad").any():
+            raise ValueError("no")
+        return batch.assign(size=batch["text"].str.len().fillna(-1))
+
+    def run(rows, **more):
+        df = spark.createDataFrame(rows, "id int, text string, other string")
+        got = score(df, model, ["text", "other"], "size int", "t", cache=str(tmp_path / "c"), **more).collect()
+        n, calls.value = calls.value, 0
+        return {(r.id, r.size, r.error) for r in got}, n
+
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, "a", None)]
+    first, asked = run(rows)
+    assert first == {(1, 1, None), (2, 1, None), (3, -1, None), (4, 1, None)} and asked == 3
+    assert run(rows) == (first, 0)
+    mixed, asked = run([*rows, (5, "bad", "x"), (6, "ccc", "x")])
+    assert mixed == first | {(5, None, "no"), (6, 3, None)} and asked >= 2
+    again, asked = run([(5, "bad", "x"), (6, "ccc", "x")])
+    assert again == {(5, None, "no"), (6, 3, None)} and asked >= 1
+    assert run(rows, version="2") == (first, 3)
+    assert run([]) == (set(), 0)
+
+
+def test_reuse_by_waves_equals_the_walk(spark):
+    rng = random.Random(11)
+    fit, rows = {}, []
+    for doc, n in ((1, 40), (2, 12), (3, 1)):
+        for seq in rng.sample(range(1000), n):
+            urls = [f"u{k}" for k in range(9)]
+            for u in urls:
+                fit[f"{doc}/{seq}", u] = rng.choice([0.1, 0.5, 0.71, 0.9]) if rng.random() < 0.35 else 0.2
+            own = rng.choice([*urls, None])
+            rows.append((doc, f"c{seq}", seq, own, "data.gov", rng.random(), [(u, fit[f"{doc}/{seq}", u]) for u in urls], f"{doc}/{seq}"))
+    schema = ("doc_id bigint, claim_id string, seq bigint, url string, source string, score double, "
+              "reuse array<struct<url:string,confidence:double>>, text string")
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    seen = lambda got: sorted(map(tuple, got.collect()))
+    want = seen(D.dataset_reuse(df))
+    assert seen(D.dataset_reuse_waves(df)) == want
+    assert seen(D.dataset_reuse_waves(df, waves=1)) == want
+    place = {r[7]: (r[0], r[2]) for r in rows}
+    found = {}
+    for r in want:
+        if not r[7]:
+            found[r[0], r[3]] = min(r[2], found.get((r[0], r[3]), r[2]))
+
+    def ask(batch):
+        for t, u in zip(batch["text"], batch["known_url"]):
+            doc, seq = place[t]
+            assert found[doc, u] < seq  # only datasets found before the claim are asked about
+        return batch.assign(confidence=[fit[k] for k in zip(batch["text"], batch["known_url"])])
+
+    assert seen(D.dataset_reuse_waves(df, ask, ["text"])) == want
+    none = spark.createDataFrame([], schema)
+    assert seen(D.dataset_reuse_waves(none)) == [] and seen(D.dataset_reuse_waves(none, ask, ["text"])) == []
