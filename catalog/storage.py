@@ -122,6 +122,20 @@ def manifest_stream(i):
     return reporting.manifest_counts(reporting.manifest_current(i.spark.read.parquet(path)))
 
 
+def manifest_state_stream(i):
+    """Manifest events in four micro-batches, deletions often in a later one than their record; state keeps them."""
+    source, path = scratch_dir(i.spark, "events"), scratch_dir(i.spark, "manifest")
+    events = manifest_events(i)
+    for low, high in ((0, 20), (20, 31), (31, 42), (42, 1 << 40)):
+        # All events of a citation in one file, so a micro-batch holds them together.
+        some = events.where((F.col("seq") >= low) & (F.col("seq") < high))
+        some.repartition("doc_id", "citation_id").write.mode("append").parquet(source)
+    most = int(i.spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = streams.read_stream(i.spark, source, "*.parquet", "doc_id bigint, citation_id string, seq bigint, kind string, at timestamp", most)
+    streams.manifest_state_to_table(stream, path, scratch_dir(i.spark, "progress"))
+    return streams.read_manifest_state(i.spark, path)
+
+
 def parse_once_stream(i):
     """Distinct props of all events, each let through once."""
     e = _stream(i, "events", S.EVENTS).select("ts", F.col("props").alias("raw_text"))
@@ -199,5 +213,9 @@ QUERIES = {
             " @", MANIFEST_SQL.replace("SELECT doc_id, citation_id, seq, epoch_ms", ", state AS (SELECT doc_id, citation_id, seq, epoch_ms")
         ) + ") SELECT doc_id, count(*) AS count, count(*) FILTER (WHERE deleted_at IS NULL) AS n_live FROM state GROUP BY doc_id",
     ),
+    "stream_manifest_state": (
+        manifest_state_stream,
+        oracle("@", "attempts").replace(" @", MANIFEST_SQL),
+    ),
     "stream_parse_once": (parse_once_stream, "SELECT DISTINCT props AS raw_text FROM events"),
 }

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from evidence import constants as K
 from evidence.operators.hook import score
 from evidence.operators.routing import result_class
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: str, per_trigger: int = 100) -> DataFrame:
     """Parquet files of ``folder`` that match ``pattern``, as they arrive."""
     return (
@@ -68,6 +74,80 @@ def stream_manifest(events: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+class OpenRecords(StatefulProcessor):
+    """Records of one citation that are not deleted, by level: an event touches only the newest of them."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.depth = handle.getValueState("depth", "n int")
+        self.open = handle.getMapState("open", "level int", "seq bigint, at bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        changed: dict[int, tuple[int, int | None]] = {}
+        n = self.depth.get()[0] if self.depth.exists() else 0
+        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for seq, kind, at in zip(arrived["seq"].tolist(), arrived["kind"].tolist(), arrived["at"].tolist()):
+            if kind == "append":
+                n += 1
+                self.open.updateValue((n,), (seq, at))
+                changed[seq] = (at, None)
+            elif n:
+                if self.open.containsKey((n,)):
+                    record, appended = self.open.getValue((n,))
+                    self.open.removeKey((n,))
+                    changed[record] = (appended, at)
+                n -= 1
+        self.depth.update((n,))
+        yield pd.DataFrame({
+            "doc_id": [key[0]] * len(changed), "citation_id": pd.Series([key[1]] * len(changed), dtype=object), "seq": list(changed),
+            "appended_at": [a for a, _ in changed.values()],
+            "deleted_at": pd.array([d for _, d in changed.values()], dtype="Int64"),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def stream_manifest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Present records of the manifest as the events arrive, by state keyed on the citation.
+
+    Update mode: a row for a record when it is appended, and a row with
+    ``deleted_at`` when the deletion that belongs to it comes, in whatever later
+    micro-batch. Events of a micro-batch are taken by ``seq``; between
+    micro-batches the order of arrival counts. A deletion without an open record
+    does nothing. The state holds open records alone; with ``ttl_ms`` those
+    untouched for so long leave it, and their deletion then finds nothing.
+    Needs RocksDB as the state store (``manifest_state_to_table`` sets it).
+    """
+    slim = events.select("doc_id", "citation_id", "seq", "kind", F.unix_micros("at").alias("at"))
+    kept = slim.groupBy("doc_id", "citation_id").transformWithStateInPandas(
+        statefulProcessor=OpenRecords(ttl_ms),
+        outputStructType="doc_id bigint, citation_id string, seq bigint, appended_at bigint, deleted_at bigint",
+        outputMode="Update",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    )
+    return kept.withColumns({c: F.timestamp_micros(c) for c in ("appended_at", "deleted_at")})
+
+
+def manifest_state_to_table(events: DataFrame, path: str, checkpoint: str, ttl_ms: int | None = None) -> None:
+    """Run ``stream_manifest_state`` over what is there; a micro-batch that runs again replaces its own folder."""
+    conf, key = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKSDB)
+    try:
+        run_to_table(stream_manifest_state(events, ttl_ms), path, checkpoint, "update")
+    finally:
+        conf.set(key, before)
+
+
+def read_manifest_state(spark: SparkSession, path: str) -> DataFrame:
+    """Present records from the rows ``manifest_state_to_table`` wrote: a record's deletion replaces it."""
+    return spark.read.parquet(path).groupBy("doc_id", "citation_id", "seq").agg(
+        F.max("appended_at").alias("appended_at"), F.max("deleted_at").alias("deleted_at"))
+
+
 def stream_parse_once(citations: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each citation text once within the watermark, ready for the model hook."""
     return citations.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["raw_text"])

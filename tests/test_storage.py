@@ -154,3 +154,23 @@ def test_stream_manifest_and_parse(spark, tmp_path):
     streams.parse_in_batches(arriving, model, str(tmp_path / "parsed"), str(tmp_path / "mark2")).awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "parsed")).collect()
     assert sorted(r.title for r in got) == ["TEXT 0", "TEXT 1", "TEXT 2"]
+
+
+def test_manifest_state_over_late_deletions(spark, tmp_path):
+    schema = "doc_id bigint, citation_id string, seq bigint, kind string"
+    batches = [
+        [(1, "1", 1, "append"), (1, "1", 2, "append"), (1, "2", 3, "delete"), (2, "1", 4, "append")],
+        [(1, "1", 5, "delete"), (1, "2", 6, "append"), (2, "1", 7, "delete"), (2, "1", 8, "delete")],
+        [(1, "1", 10, "delete"), (1, "1", 9, "append"), (2, "1", 11, "append"), (1, "1", 12, "delete")],
+    ]
+    source, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
+    every = spark.createDataFrame([e for b in batches for e in b], schema).withColumn("at", F.timestamp_seconds("seq"))
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).withColumn("at", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_stream(spark, source, "*.parquet", f"{schema}, at timestamp", 1)
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        streams.manifest_state_to_table(stream, table, mark)  # goes on from the checkpoint
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+        so_far = every.where(F.col("seq") <= max(e[2] for e in batch))
+        rows = lambda df: sorted((r.doc_id, r.citation_id, r.seq, r.appended_at, str(r.deleted_at)) for r in df.collect())
+        assert rows(streams.read_manifest_state(spark, table)) == rows(reporting.manifest_current(so_far)), n
