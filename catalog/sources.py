@@ -232,6 +232,28 @@ def manifest(i):
     return fetch.manifest_rows(batches(i), fetch.attempts_made(i.view("attempts"), outcome(i)))
 
 
+def manifest_of_files(i):
+    """Full manifest records: details of the citation, and format, name and time of the file that was fetched."""
+    details = F.struct(F.col("citation_text").alias("raw_text"), F.length("citation_text").alias("year"))
+    got = outcome(i)
+    made = fetch.citation_batch(batch_claims(i).withColumn("citation_details", details), got)
+    stored = got.where("downloaded").select(
+        "doc_id", "citation_id", F.lit("html").alias("source_format"), F.regexp_extract("winning_url", "[^/]*$", 0).alias("file_name"),
+        F.timestamp_seconds("doc_id").alias("downloaded_at"))
+    rows = fetch.manifest_rows(made, fetch.attempts_made(i.view("attempts"), got), stored)
+    return rows.withColumn("citation_details", F.col("citation_details.raw_text"))
+
+
+def found_documents(i):
+    found = D.rank_candidates(repositories(i)).withColumns({
+        "stem": F.concat(F.lit("paper_"), F.pmod("doc_id", F.lit(10))), "search_query": F.concat(F.lit("data for "), "claim_id")})
+    shape = "run_timestamp string, run_stem string, count bigint, records array<struct<claim_id:string,search_query:string,url:string,source:string,score:double>>"
+    doc = F.from_json("document", shape)
+    out = D.discovery_documents(found, "20240101_000000").select(doc.alias("_d"))
+    return out.select("_d.run_timestamp", "_d.run_stem", "_d.count", F.explode("_d.records").alias("_r")).select(
+        "run_timestamp", "run_stem", "count", "_r.*")
+
+
 def manifest_events(i):
     """Every attempt appends a record; every attempt that worked is followed by a deletion, some by two."""
     a = i.view("attempts")
@@ -645,6 +667,24 @@ FROM batches b LEFT JOIN (SELECT doc_id, citation_id, count(*) AS n FROM made GR
             "batches", "made",
         ),
     ),
+    "manifest_rows_files": (
+        manifest_of_files,
+        oracle(
+            """SELECT b.doc_id, b.citation_id, citation_text, citation_text AS citation_details, CASE WHEN downloaded THEN 'html' END AS source_format,
+ CASE WHEN downloaded THEN regexp_extract(winning_url, '[^/]*$') END AS file_name, CASE WHEN downloaded THEN epoch_ms(b.doc_id * 1000) END AS downloaded_at,
+ coalesce(n, 0) AS n_attempts, winning_url, n_claims AS batch_num_claims, downloaded AS batch_download_successful
+FROM batches b LEFT JOIN (SELECT doc_id, citation_id, count(*) AS n FROM made GROUP BY ALL) m ON m.doc_id = b.doc_id AND m.citation_id = b.citation_id""",
+            "batches", "made",
+        ),
+    ),
+    "discovery_documents": (
+        found_documents,
+        oracle(
+            """SELECT '20240101_000000' AS run_timestamp, concat('paper_', doc_id % 10) AS run_stem, count(*) OVER (PARTITION BY doc_id % 10) AS count,
+ claim_id, concat('data for ', claim_id) AS search_query, b.url AS url, b.source AS source, b.score AS score FROM chosen""",
+            "chosen",
+        ),
+    ),
     "manifest_current": (
         lambda i: reporting.manifest_current(manifest_events(i), F.floor(F.col("seq") / 20)),
         oracle("@", "attempts").replace(" @", MANIFEST_SQL),

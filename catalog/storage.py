@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from catalog.claims import citations, mapped, routed
 from catalog.core import oracle
 from catalog.checks import results
-from catalog.sources import MANIFEST_SQL, manifest_events
+from catalog.sources import MANIFEST_SQL, batch_claims, failed, manifest_events, outcome
 from evidence import schemas as S
-from evidence.operators import reporting
+from evidence.operators import fetch, reporting
 from evidence.session import materialize, scratch_dir
 from evidence.sources import files
 from evidence.streaming import streams
@@ -44,6 +44,31 @@ def results_by_class(i):
     return back.select("doc_id", "claim_id", "passed", "confidence", "result_class")
 
 
+def class_outputs(i):
+    """Claims of order lines by class: cited ones stored in batches of their source, read back with their results."""
+    path = scratch_dir(i.spark, "classes")
+    claims = batch_claims(i).withColumn("result_class", F.concat("claim_type", F.lit("_cited")))
+    got = outcome(i)
+    results = failed(i).withColumn("result_class", F.concat("claim_type", F.lit("_cited")))
+    loose = results.withColumns({"citation_id": F.lit(None).cast("string"), "result_class": F.concat("claim_type", F.lit("_uncited"))})
+    files.write_class_outputs(claims, results.unionByName(loose), got, fetch.attempts_made(i.view("attempts"), got), path)
+    shape = ("doc_id bigint, batch struct<citation_id:string,download_successful:boolean,"
+             "resolution_attempts:array<struct<url:string>>,claim_results:array<struct<claim_id:string>>>, result_class string")
+    batches = i.spark.read.schema(shape).json(f"{path}/batches").groupBy("result_class", "doc_id", "batch.citation_id").agg(
+        F.bool_or("batch.download_successful").alias("downloaded"), F.sum(F.size("batch.claim_results")).alias("n_results"),
+        F.sum(F.size("batch.resolution_attempts")).alias("n_attempts"))
+    rows = i.spark.read.schema("doc_id bigint, claim_id string, result_class string").json(f"{path}/claims")
+    return batches.unionByName(rows.groupBy("result_class", "doc_id").agg(F.count(F.lit(1)).alias("n_results")), allowMissingColumns=True)
+
+
+def claim_files(i):
+    """Claims of each document written to files of their own, found and read by the loader."""
+    path = scratch_dir(i.spark, "claim-files")
+    files.write_claim_files(materialize(mapped(i), "mapped"), path)
+    back, _ = files.load_claims(i.spark, path)
+    return back.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), *CLAIM_COLUMNS[1:], "is_original")
+
+
 def appended_manifest(i):
     path = scratch_dir(i.spark, "manifest")
     events = manifest_events(i)
@@ -160,6 +185,22 @@ QUERIES = {
     ),
     "write_results_by_class": (
         results_by_class, oracle("SELECT doc_id, claim_id, passed, confidence, result_class FROM results", "results")),
+    "write_class_outputs": (
+        class_outputs,
+        oracle(
+            """, lines AS (SELECT l_orderkey AS doc_id, concat('', l_suppkey % 4) AS citation_id, CASE WHEN l_quantity > 25 THEN 'quantitative' ELSE 'qualitative' END AS claim_type FROM lineitem),
+ held AS (SELECT c.*, downloaded FROM lines c JOIN batches b ON b.doc_id = c.doc_id AND b.citation_id = c.citation_id)
+SELECT claim_type || '_cited' AS result_class, h.doc_id, h.citation_id, downloaded, cast(count(*) FILTER (WHERE NOT downloaded) AS bigint) AS n_results, cast(coalesce(any_value(n), 0) AS bigint) AS n_attempts
+ FROM held h LEFT JOIN (SELECT doc_id, citation_id, count(*) AS n FROM made GROUP BY ALL) m ON m.doc_id = h.doc_id AND m.citation_id = h.citation_id GROUP BY claim_type, h.doc_id, h.citation_id, downloaded
+ HAVING count(*) FILTER (WHERE NOT downloaded) > 0 OR any_value(n) > 0
+UNION ALL SELECT claim_type || '_uncited', doc_id, NULL, NULL, count(*), NULL FROM held WHERE NOT downloaded GROUP BY claim_type, doc_id""".replace(", lines AS", "@, lines AS", 1),
+            "batches", "made",
+        ).replace(" @", ""),
+    ),
+    "load_claims_files": (
+        claim_files,
+        oracle("SELECT doc_id, claim_id, text, claim_type, citation_text IS NOT NULL AS citation_found, citation_id, citation_text, false AS is_original FROM claims", "claims"),
+    ),
     "manifest_append": (
         appended_manifest,
         oracle(

@@ -404,6 +404,21 @@ def discovery_records(found: DataFrame, key: str, columns: list[str], order: str
     return parts.select(key, "part", F.col("group_size").alias("count"), F.to_json("records").alias("records_json"))
 
 
+def discovery_documents(
+    found: DataFrame, run_ts: str, stem: str = "stem", columns: Sequence[str] = ("claim_id", "search_query", "url", "source", "score"),
+    order: str = "claim_id",
+) -> DataFrame:
+    """What a run found for each document, as JSON under a heading of run stamp, stem and count.
+
+    ``found`` has a row for each record, ``stem`` naming its document. A document
+    with very many records takes several, with the same heading and a ``part``.
+    """
+    parts = nest_parts(found, [stem], list(columns), F.struct(*columns), F.col(order), "records")
+    heading = F.struct(
+        F.lit(run_ts).alias("run_timestamp"), F.col(stem).alias("run_stem"), F.col("group_size").alias("count"), "part", "records")
+    return parts.select(F.col(stem).alias("stem"), "part", F.to_json(heading).alias("document"))
+
+
 def rank_oa_locations(locations: DataFrame) -> DataFrame:
     """Open-access URLs of each DOI: repository before publisher, PDF before landing page."""
     is_repo = F.when(F.col("host_type") == "repository", F.lit(0)).otherwise(F.lit(1))
