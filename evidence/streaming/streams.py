@@ -18,13 +18,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: str, per_trigger: int = 100) -> DataFrame:
-    """Parquet files of ``folder`` that match ``pattern``, as they arrive."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+    """Parquet files of ``folder`` that match ``pattern``, as they arrive.
+
+    A pattern without wildcards names one table, which may be a file or a folder of files.
+    """
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if not set(pattern) & set("*?[{"):
+        return arriving.parquet(f"{folder}/{{{pattern}}}")
+    return arriving.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def stream_route(claims: DataFrame) -> DataFrame:

@@ -174,3 +174,17 @@ def test_manifest_state_over_late_deletions(spark, tmp_path):
         so_far = every.where(F.col("seq") <= max(e[2] for e in batch))
         rows = lambda df: sorted((r.doc_id, r.citation_id, r.seq, r.appended_at, str(r.deleted_at)) for r in df.collect())
         assert rows(streams.read_manifest_state(spark, table)) == rows(reporting.manifest_current(so_far)), n
+
+
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        rows.selectExpr("doc_id", "doc_id AS other").write.parquet(str(tmp_path / kind / "labels.parquet"))
+        stream = streams.read_stream(spark, str(tmp_path / kind), "documents.parquet", "doc_id bigint, text string", 3)
+        streams.run_to_table(stream, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-progress"))
+        got = spark.read.parquet(str(tmp_path / f"{kind}-out")).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(k, str(k)) for k in range(40)]
