@@ -30,8 +30,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with 0.8 or more of their five-word shingles in common the smallest id stays."""
-    return simhash.drop_similar(docs)
+    """Of each component of SimHash fingerprints that differ in two bits or fewer the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from evidence.llm import mixing as M
+from evidence.llm import simhash as S
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,6 +72,17 @@ def test_stages(spark, tmp_path):
     assert seen[4].where("NOT same").count() == 0 and seen[4].count() == seen[3].count()
 
 
+def test_near_dedup_is_by_fingerprints(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(reversed(words)), "", None, " ".join(words[:40]), " ".join(words[:48])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    prints = [S.simhash(t or "") for t in texts]
+    linked = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    want = [k for k in range(len(texts)) if not any(linked(k, j) for j in range(k))]
+    kept = sorted(r.doc_id for r in dict(P.STAGES)["near dedup"](spark, docs, FOLDER).collect())
+    assert kept == want and 4 not in kept
+
+
 @pytest.mark.parametrize("rows", ["odd", "none"])
 def test_stages_with_odd_rows(spark, tmp_path, request, rows):
     docs = request.getfixturevalue(rows)
