@@ -76,6 +76,32 @@ def test_evidence_and_fallback(spark):
     assert outcome[(0, 13)] == "empty_source" and outcome[(0, 12)] == "nothing_relevant" and outcome[(6, 12)] == "evidence"
 
 
+def test_terms_are_not_shuffled(spark, monkeypatch):
+    """Texts move by their key; rows of terms stay where they are made, whatever is counted on them."""
+    claims, sources, pairs, (p, c, s) = fixture(spark)
+    monkeypatch.setattr(R, "COPY_PAIRS", 2)  # several copies of each source
+    index = R.index_sources(s, STOP)
+    fit = R.vocab_cap(R.pair_terms(p, c, index, STOP), 25).groupBy(*R.PAIR).count()
+    for df in (R.term_freq(s, ["source_key"], "source_text", STOP), fit):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Generate explode(")]
+        assert "Exchange" not in above, plan
+    chunks = {}
+    for r in index.chunks.orderBy("source_key", "chunk_no").collect():
+        chunks.setdefault(r.source_key, []).append(r.chunk_text)
+    got = {(r.claim_key, r.source_key, r.chunk_no): r.score for r in R.similarity(p, c, index, STOP, 25).collect()}
+    for a, b in pairs:
+        for no, want in enumerate(direct(claims[a], chunks.get(b, []), 25)):
+            assert math.isclose(got.get((a, b, no), 0.0), want, abs_tol=1e-9), (a, b, no)
+    totals = {}
+    for r in R.pair_terms(p, c, index, STOP).collect():
+        totals.setdefault((r.claim_key, r.source_key), {})[r.term] = (r.total, r.df)
+    for a, b in pairs:
+        counts = [Counter(terms(t)) for t in [claims[a], *chunks.get(b, [])]]
+        want = {t: (n, sum(t in x for x in counts)) for t, n in sum(counts, Counter()).items()}
+        assert totals.get((a, b), {}) == want, (a, b)
+
+
 def test_ground_with_model(spark):
     def model(batch):
         assert batch["excerpts"].str.startswith("[Chunk 1, similarity=").all()
