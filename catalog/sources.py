@@ -86,18 +86,18 @@ def reuse_asked(i):
 
 
 def oa(i):
-    return D.rank_oa_locations(i.view("oa_locations"))
+    return D.rank_oa_locations(i.stored("oa_locations"))
 
 
 def crossref(i):
     link = lambda ct, c: F.struct(F.lit(ct).alias("content_type"), F.col(c).alias("url"))
-    return i.view("oa_locations").groupBy("doi").agg(
+    return i.stored("oa_locations").groupBy("doi").agg(
         F.min("url_for_landing_page").alias("a"), F.max("url_for_pdf").alias("b"), F.max("url_for_landing_page").alias("c")
     ).select("doi", F.array(link("application/pdf", "a"), link("text/html", "b"), link("text/html", "c")).alias("links"))
 
 
 def title_hits(i):
-    return i.view("oa_locations").select(
+    return i.stored("oa_locations").select(
         F.col("doi").alias("citation_key"), "pos",
         F.when(F.col("pos") % 2 == 0, F.concat("doi", F.lit("/v"), "pos")).alias("doi"),
         F.col("url_for_pdf").alias("oa_url"),
@@ -105,7 +105,7 @@ def title_hits(i):
 
 
 def doi_merge(i):
-    second = i.view("oa_locations").where(F.col("url_for_landing_page").isNotNull()).groupBy("doi").agg(
+    second = i.stored("oa_locations").where(F.col("url_for_landing_page").isNotNull()).groupBy("doi").agg(
         F.max("url_for_landing_page").alias("url")).withColumn("pos", F.lit(1))
     return D.resolve_doi_merge(
         oa(i).withColumnRenamed("rank", "pos"), second, D.crossref_pdf_links(crossref(i)))
@@ -118,7 +118,7 @@ def cascade(i):
         "doi", (F.col("api_rank") * 1_000_000 + F.col("api_pos")).alias("pos"), "url")
     titled = title_hits(i).where(F.substring_index("citation_key", "/", -1).cast("bigint") % 2 == 0).select(
         F.col("citation_key").alias("doi"), F.col("pos"), F.col("oa_url").alias("url"))
-    web = i.view("oa_locations").select("doi", "pos", F.col("url_for_landing_page").alias("url"))
+    web = i.stored("oa_locations").select("doi", "pos", F.col("url_for_landing_page").alias("url"))
     return D.resolve_cascade([by_doi, titled, web], ["doi"])
 
 

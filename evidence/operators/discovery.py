@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidence import constants as K
@@ -485,15 +486,20 @@ def resolve_doi_merge(*apis: DataFrame) -> DataFrame:
 
 
 def resolve_cascade(steps: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Candidates of the first step that has any, per citation. Frames need the keys, ``pos`` and ``url``."""
+    """Candidates of the first step that has any, per citation. Frames need the keys, ``pos`` and ``url``.
+
+    Each frame is read once and its rows move once, to their citation.
+    """
     tagged = None
     for step, frame in enumerate(steps, start=1):
         part = frame.where(F.coalesce("url", F.lit("")) != "").select(
             *keys, F.lit(step).alias("step"), F.col("pos").cast("bigint").alias("pos"), "url"
         )
         tagged = part if tagged is None else tagged.unionByName(part)
-    first = tagged.groupBy(*keys).agg(F.min("step").alias("step"))
-    return dedupe_ordered(tagged.join(first, [*keys, "step"], "left_semi"), [*keys, "step"])
+    known = tagged.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).repartition(*keys)
+    distinct = dedupe_ordered(known, [*keys, "step"])
+    first = F.min("step").over(W.partitionBy(*keys))
+    return distinct.withColumn("_first", first).where(F.col("step") == F.col("_first")).drop("_first")
 
 
 def dedupe_ordered(candidates: DataFrame, keys: list[str]) -> DataFrame:

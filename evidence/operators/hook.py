@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidence.session import materialize
 
+#: Types whose equal values, and no others, have one digest.
+PLAIN = (T.StringType, T.IntegralType, T.BooleanType)
 ACCOUNTING = "input_tokens bigint, output_tokens bigint, error string"
 
 
@@ -75,8 +77,10 @@ def score(
                     except Exception as exc:
                         yield failed(row, exc)
 
+    plain = all(isinstance(f.dataType, PLAIN) for f in inputs.schema.fields)
     if cache:
-        answers = _through_cache(inputs, lambda part: part.mapInPandas(run, schema), schema, f"{cache.rstrip('/')}/task={task}/version={version}")
+        kept = ["_digest", *outputs] if plain else names
+        answers = _through_cache(inputs, lambda part: part.mapInPandas(run, schema), schema, f"{cache.rstrip('/')}/task={task}/version={version}", kept, df.select(*input_cols))
         answers = answers.withColumn("task", F.lit(task))
     else:
         answers = inputs.mapInPandas(run, schema).withColumn("task", F.lit(task))
@@ -84,29 +88,37 @@ def score(
         answers = materialize(answers, "answers")
     condition = None
     left, right = df.alias("l"), answers.alias("r")
+    if cache and plain:  # by digest: neither side of the join carries inputs that nobody asks for
+        left = left.select(F.struct("l.*").alias("_row"), _digest(input_cols).alias("_asked"))
+        joined = left.join(right, F.col("_asked") == F.col("r._digest"), "inner")
+        return joined.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[F.col(f"r.{n}") for n in outputs], "r.task")
     for c in input_cols:
         same = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
         condition = same if condition is None else condition & same
     return left.join(right, condition, "inner").select("l.*", *[F.col(f"r.{n}") for n in outputs], "r.task")
 
 
+def _digest(inputs: list) -> Column:
+    return F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+
+
 def _through_cache(
-    inputs: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: T.StructType, folder: str
+    inputs: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: T.StructType, folder: str, kept: list[str], rows: DataFrame
 ) -> DataFrame:
-    """Answers of ``inputs``: those of the folder, else asked now and, unless they failed, appended to it."""
+    """Answers of ``inputs``, the distinct ``rows`` (columns ``kept``): those of the folder, else asked now and, unless they failed, appended to it."""
     spark = inputs.sparkSession
     stored = T.StructType([T.StructField("_digest", T.StringType()), *schema.fields])
     spark.createDataFrame([], stored).write.mode("ignore").parquet(folder)  # the folder exists from here on
-    digest = F.sha2(F.to_json(F.struct(*inputs.columns), {"ignoreNullFields": "false"}), 256)
+    digest = _digest(inputs.columns)
     keyed = inputs.withColumn("_digest", digest)
     before = spark.read.schema(stored).parquet(folder).dropDuplicates(["_digest"])
     # Both sides are large in the long run: Spark prunes the cache with a bloom filter of the asked digests.
-    known = materialize(before.join(keyed.select("_digest"), "_digest", "left_semi").select("_digest", *schema.names), "known")
+    known = materialize(before.join(rows.select(digest.alias("_digest")).distinct(), "_digest", "left_semi").select("_digest", *(c for c in kept if c != "_digest")), "known")
     fresh = ask(keyed.join(known.select("_digest"), "_digest", "left_anti").drop("_digest"))
     asked = materialize(fresh.withColumn("_digest", digest), "answers")
     asked.where(F.col("error").isNull()).select(*stored.names).write.mode("append").parquet(folder)
     spent = {c: F.lit(0).cast("bigint") for c in ("input_tokens", "output_tokens")}
-    return known.withColumns(spent).select(*schema.names).unionByName(asked.select(*schema.names))
+    return known.withColumns(spent).select(*kept).unionByName(asked.select(*kept))
 
 
 def usage_of(scored: DataFrame, input_cols: list[str]) -> DataFrame:

@@ -188,6 +188,26 @@ def test_dedupe_is_idempotent_and_cascade_stops(spark):
     assert {(r.step, r.url) for r in got} == {(2, "a"), (2, "b")}
 
 
+def test_cascade_moves_candidates_once(spark):
+    rows = [("k", 1, "a"), ("k", None, "a"), ("k", 2, "b"), (None, 1, "n"), ("m", 1, None), ("m", 4, "c")]
+    c = spark.createDataFrame(rows, "k string, pos int, url string")
+    late = spark.createDataFrame([("k", 0, "a"), ("m", 9, "z"), ("o", 3, "y"), ("o", 1, "y")], "k string, pos int, url string")
+    got = D.resolve_cascade([c, late], ["k"])
+    assert sorted(map(tuple, got.collect())) == [("k", 1, "a", 1), ("k", 1, "b", 2), ("m", 1, "c", 4), ("o", 2, "y", 1)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_cached_answers_leave_the_inputs_behind(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (3, "a"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    for _ in range(2):
+        got = score(df, lambda b: b.assign(n=b["text"].str.len().fillna(-1)), ["text"], "n int", "t", cache=str(tmp_path / "c"))
+        assert got.columns == ["id", "text", "n", "input_tokens", "output_tokens", "error", "task"]
+        assert sorted((r.id, r.text, r.n) for r in got.collect()) == [(1, "a", 1), (2, None, -1), (3, "a", 1), (4, "", 0)]
+        plan = got.select("id", "n")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Project [" in x and "text#" in x and "sha2(" not in x], plan
+
+
 def test_triage_parts_are_complete(spark):
     rows = [(1, f"c{n}", "quantitative", n % 2 == 0, 0.72, n % 3 == 0, n / 20) for n in range(20)]
     scored = spark.createDataFrame(rows, "doc_id bigint, claim_id string, claim_type string, found boolean, fact_confidence double, plausible boolean, plausible_confidence double").withColumns(
