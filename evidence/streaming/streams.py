@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,35 +76,49 @@ def stream_manifest(events: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+#: Keys of the manifest state: citations share one, so that its store is called once for many of them.
+STATE_BUCKETS = 1024
+
+
 class OpenRecords(StatefulProcessor):
-    """Records of one citation that are not deleted, by level: an event touches only the newest of them."""
+    """Records that are not deleted, of the citations of one bucket: an event touches only the newest of its citation.
+
+    The state of a bucket is read and written once a micro-batch. Of each
+    citation it holds its open records, oldest first, and how many others have
+    left it by age.
+    """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self.depth = handle.getValueState("depth", "n int")
-        self.open = handle.getMapState("open", "level int", "seq bigint, at bigint", self.ttl_ms)
+        self.kept = handle.getValueState("kept", "citations binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        changed: dict[int, tuple[int, int | None]] = {}
-        n = self.depth.get()[0] if self.depth.exists() else 0
+        held: dict[tuple, tuple[int, list]] = pickle.loads(self.kept.get()[0]) if self.kept.exists() else {}
+        now = timer_values.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
+        if self.ttl_ms is not None:
+            for citation, (aged, records) in held.items():
+                young = [r for r in records if r[2] > now - self.ttl_ms]
+                held[citation] = aged + len(records) - len(young), young
+        changed: dict[tuple, tuple[int, int | None]] = {}
         arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, kind, at in zip(arrived["seq"].tolist(), arrived["kind"].tolist(), arrived["at"].tolist()):
+        for doc, citation, seq, kind, at in zip(*[arrived[c].tolist() for c in ("doc_id", "citation_id", "seq", "kind", "at")], strict=True):
+            aged, records = held.get((doc, citation), (0, []))
             if kind == "append":
-                n += 1
-                self.open.updateValue((n,), (seq, at))
-                changed[seq] = (at, None)
-            elif n:
-                if self.open.containsKey((n,)):
-                    record, appended = self.open.getValue((n,))
-                    self.open.removeKey((n,))
-                    changed[record] = (appended, at)
-                n -= 1
-        self.depth.update((n,))
+                records.append((seq, at, now))
+                changed[doc, citation, seq] = at, None
+            elif records:
+                record, appended, _ = records.pop()
+                changed[doc, citation, record] = appended, at
+            else:
+                aged = max(aged - 1, 0)
+            held[doc, citation] = aged, records
+        self.kept.update((pickle.dumps({c: x for c, x in held.items() if x[0] or x[1]}),))
         yield pd.DataFrame({
-            "doc_id": [key[0]] * len(changed), "citation_id": pd.Series([key[1]] * len(changed), dtype=object), "seq": list(changed),
-            "appended_at": [a for a, _ in changed.values()],
+            "doc_id": pd.Series([d for d, _, _ in changed], dtype=object), "citation_id": pd.Series([c for _, c, _ in changed], dtype=object),
+            "seq": pd.Series([s for _, _, s in changed], dtype="int64"),
+            "appended_at": pd.Series([a for a, _ in changed.values()], dtype="int64"),
             "deleted_at": pd.array([d for _, d in changed.values()], dtype="Int64"),
         })
 
@@ -111,25 +126,29 @@ class OpenRecords(StatefulProcessor):
         pass
 
 
-def stream_manifest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Present records of the manifest as the events arrive, by state keyed on the citation.
+def stream_manifest_state(events: DataFrame, ttl_ms: int | None = None, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """Present records of the manifest as the events arrive, by state keyed on buckets of citations.
 
     Update mode: a row for a record when it is appended, and a row with
     ``deleted_at`` when the deletion that belongs to it comes, in whatever later
     micro-batch. Events of a micro-batch are taken by ``seq``; between
     micro-batches the order of arrival counts. A deletion without an open record
     does nothing. The state holds open records alone; with ``ttl_ms`` those
-    untouched for so long leave it, and their deletion then finds nothing.
+    untouched for so long leave it, and their deletion then finds nothing. The
+    state of a bucket that has events is rewritten; ``buckets`` must stay as it
+    is over the life of a checkpoint.
     Needs RocksDB as the state store (``manifest_state_to_table`` sets it).
     """
-    slim = events.select("doc_id", "citation_id", "seq", "kind", F.unix_micros("at").alias("at"))
-    kept = slim.groupBy("doc_id", "citation_id").transformWithStateInPandas(
+    slim = events.select(
+        F.pmod(F.xxhash64("doc_id", "citation_id"), F.lit(buckets)).alias("bucket"),
+        F.col("doc_id").cast("string").alias("doc_id"), "citation_id", "seq", "kind", F.unix_micros("at").alias("at"))
+    kept = slim.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=OpenRecords(ttl_ms),
-        outputStructType="doc_id bigint, citation_id string, seq bigint, appended_at bigint, deleted_at bigint",
+        outputStructType="doc_id string, citation_id string, seq bigint, appended_at bigint, deleted_at bigint",
         outputMode="Update",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
-    return kept.withColumns({c: F.timestamp_micros(c) for c in ("appended_at", "deleted_at")})
+    return kept.withColumns({"doc_id": F.col("doc_id").cast("bigint"), **{c: F.timestamp_micros(c) for c in ("appended_at", "deleted_at")}})
 
 
 def manifest_state_to_table(events: DataFrame, path: str, checkpoint: str, ttl_ms: int | None = None) -> None:

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evidence.operators import discovery, fetch, reporting
@@ -188,3 +189,44 @@ def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
         streams.run_to_table(stream, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-progress"))
         got = spark.read.parquet(str(tmp_path / f"{kind}-out")).collect()
         assert sorted((r.doc_id, r.text) for r in got) == [(k, str(k)) for k in range(40)]
+
+
+def test_manifest_state_is_called_once_for_many_citations(monkeypatch):
+    """Thousands of citations of a bucket cost one read and one write of state; records leave it by age."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return (self.held,)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value[0]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+    class Time:
+        def getCurrentProcessingTimeInMs(self):
+            return now
+
+    rows = lambda kind, seq: pd.DataFrame({
+        "doc_id": [str(n) for n in range(5000)], "citation_id": [None if n % 2 else "1" for n in range(5000)], "seq": seq, "kind": kind, "at": seq})
+    records = streams.OpenRecords(ttl_ms=100)
+    records.init(Handle())
+    now = 0
+    (first,) = records.handleInputRows((0,), iter([rows("append", 1), rows("append", 2)]), Time())
+    assert len(first) == 10000 and calls == ["update"]
+    now = 50
+    (second,) = records.handleInputRows((0,), iter([rows("delete", 3)]), Time())
+    assert set(second["seq"]) == {2} and set(second["deleted_at"]) == {3} and calls == ["update", "get", "update"]
+    now = 100
+    (third,) = records.handleInputRows((0,), iter([rows("delete", 4), rows("append", 5)]), Time())
+    assert set(third["seq"]) == {5} and len(third) == 5000 and third["deleted_at"].isna().all()
