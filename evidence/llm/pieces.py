@@ -18,8 +18,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
@@ -32,7 +35,7 @@ from evidence.session import materialize
 SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 FAN = 64
-#: Words, and pairs of pieces, whose results a task keeps: some 400 and 100 bytes each, some 100 MB together.
+#: Words, and pairs of pieces, whose results a task keeps: some 160 and 100 bytes each, some 50 MB together.
 KEPT_WORDS = 1 << 18
 KEPT_PAIRS = 1 << 17
 #: Longer words are searched and not kept, so that the number of kept words bounds their bytes.
@@ -48,7 +51,7 @@ class Pieces:
     def __init__(self, model: bytes):
         library = self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids, self.score, self.byte, self.out = {}, {}, [0] * 256, []
-        self.trie: dict = {}  # character -> [the piece that ends here or -1, next characters]
+        self.trie: dict = {}  # character -> [the piece that ends here or -1, next characters]; made for the first long word
         self.names: list[str] = []
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
@@ -62,22 +65,22 @@ class Pieces:
                 self.ids[piece] = i
                 self.score[piece] = library.get_score(i)
                 self.out.append(piece.replace(SPACE, " ").encode())
-                here = self.trie
-                for c in piece:
-                    node = here.setdefault(c, [-1, {}])
-                    here = node[1]
-                node[0] = i
         self.size = len(self.names)
         self.weights = [self.score.get(x, 0.0) for x in self.names]
         self.longest = max(map(len, self.ids))
         self.words: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.packed: dict[str, bytes] = {}  # ids of whole words as 32-bit numbers, spaces as in the text
         self.pairs: dict[int, bool] = {}
         self.chars: dict[str, int] = {}  # numbers of characters that are no pieces
         signs = "".join(sorted({c for p in self.ids for c in p if c.isnumeric() and not c.isalpha()} | {"_"}))
         letter, mark = rf"[^\W\d{signs}]", rf"(?:[\W\d{signs}](?<!{SPACE}))"
         self.split = re.compile(f"{SPACE}*{letter}+|{SPACE}*{mark}+|{SPACE}+")
         self.opening = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<={letter})(?={mark})|(?<={mark})(?={letter})")
+        gap, other = f"[ {SPACE}]", rf"[\W\d{signs}](?<![ {SPACE}])"  # the same split of a text whose spaces are not signed yet
+        self.spaced = re.compile(rf"{gap}*(?:{letter}+|(?:[\x00-\x1f!-@\[-`{{-\x7f]+|{other})+)|{gap}+")
+        self.plain = re.compile(f" [^ {SPACE}].{{0,{KEPT_CHARS - 2}}}\\Z", re.DOTALL)
         if any(self.opening.search(p) for p in self.ids):  # pieces that join letters and marks: only spaces part words
+            self.spaced = re.compile(f"{gap}*[^ {SPACE}]+|{gap}+")
             self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
             self.opening = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
         probe = "One  more\ttest, été 12\n"
@@ -160,9 +163,18 @@ class Pieces:
         for word, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1), strict=True):
             self.words[word] = self.solved(tuple(ids))
 
+    def grow(self) -> dict:
+        for piece, i in self.ids.items():
+            here = self.trie
+            for c in piece:
+                node = here.setdefault(c, [-1, {}])
+                here = node[1]
+            node[0] = i
+        return self.trie
+
     def path(self, word: str) -> tuple[tuple[int, ...], float]:
         """Ids and weight of the path through a long word: the first piece found to end at a place is the one."""
-        n, trie, known, follows = len(word), self.trie, self.pairs.get, self.follows
+        n, trie, known, follows = len(word), self.trie or self.grow(), self.pairs.get, self.follows
         last, back = [-1] + [None] * n, [0] * (n + 1)
         for start in range(n):
             before, here, end = last[start], trie, start
@@ -191,21 +203,39 @@ class Pieces:
         """The ids of a text of one chunk."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        words = [self.split.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        self.learn(w for ws in words for w in ws)
-        known, found = self.words.get, []
+    def pack(self, word: str) -> bytes:
+        return array("i", self.word(word.replace(" ", SPACE))[0]).tobytes()
+
+    def learn_packed(self, words: set[str]) -> None:
+        """Packs new words; those with one space before them in one call of the library, which puts that space itself."""
+        if len(self.packed) > KEPT_WORDS:
+            self.packed.clear()
+        new = words.difference(self.packed)
+        plain = list(filter(self.plain.match, new))
+        ids = self.library.encode([w[1:] for w in plain], num_threads=1)
+        self.packed.update(zip(plain, map(bytes, map(partial(array, "i"), ids)), strict=True))
+        self.packed.update((w, self.pack(w)) for w in new.difference(plain) if len(w) <= KEPT_CHARS)
+
+    def pack_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts of one chunk as 32-bit numbers, one text after the other."""
+        return self.pack_words([self.spaced.findall(" " + text) if text else [] for text in texts])
+
+    def pack_words(self, words: list[list[str]]) -> Iterator[bytes]:
+        self.learn_packed(set().union(*words))
+        known = self.packed
         for ws in words:
-            ids: list[int] = []
-            for word in ws:
-                ids += (known(word) or self.word(word))[0]
-            found.append(ids)
-        return found
+            try:
+                yield b"".join(map(known.__getitem__, ws))
+            except KeyError:  # long words are not kept
+                yield b"".join([known[w] if w in known else self.pack(w) for w in ws])
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.pack_all(texts)]
 
-    def spell(self, ids: list[int]) -> str:
+    def spell(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         return self.spell(ids).removeprefix(" ")
 
     # ---- chunks of giant documents ----
@@ -267,34 +297,70 @@ class Pieces:
                         trace[(end, (pos, end))] = (pos, way, self.ids_of(piece))
         return front
 
+    def certain(self, text: str, lo: int, hi: int) -> tuple[int | None, int | None]:
+        """The first and the last begin of a word in [lo, hi): what lies between is the same on every path."""
+        first = self.opening.search(text, lo, hi) if lo else re.match("", text)
+        if not first:
+            return None, None
+        reach = 4 * self.longest
+        while True:
+            begin = max(first.start() + 1, hi - reach)
+            found = [m.start() for m in self.opening.finditer(text, begin, hi)]
+            if found or begin == first.start() + 1:
+                return first.start(), found[-1] if found else first.start()
+            reach *= 4
+
     def matrix(self, before: str, body: str, after: str) -> tuple[int, int, list[float]]:
-        """Numbers of entry and exit states of a chunk and the weights between them, row by row."""
+        """Numbers of entry and exit states of a chunk and the weights between them, row by row.
+
+        Words between the first and the last begin of one add the same to every path, so they are left out.
+        """
         text, lo, hi = before + body + after, len(before), len(before) + len(body)
         entries = self.states(text, lo) if before else [None]
-        exits = self.states(text, hi)
-        meet = self.opening.search(text, lo, hi) if before else None
-        if meet:  # every path passes the begin of this word, so what follows is the same for all entries
-            reached = [max(x) for x in zip(*self.sweep(text, lo, meet.start(), entries)[meet.start()].values(), strict=True)]
-            front = self.sweep(text, meet.start(), hi, [None])
+        meet, tail = self.certain(text, lo, hi)
+        if meet is not None:
+            reached = [0.0]
+            if before:
+                head = self.sweep(text[: meet + self.longest], lo, meet, entries)[meet]
+                reached = [max(x) for x in zip(*head.values(), strict=True)]
+            cut = max(0, min(tail, hi - self.longest) - 1)
+            exits = self.states(text[cut:], hi - cut)
+            front = self.sweep(text[cut:], tail - cut, hi - cut, [None])
             columns = [[x + y for x in reached for y in front.get(e, {}).get((s, e), [LOW])] for s, e in exits]
         else:
+            exits = self.states(text, hi)
             front = self.sweep(text, lo, hi, entries)
             columns = [front.get(e, {}).get((s, e)) or [LOW] * len(entries) for s, e in exits]
         return len(entries), len(exits), [c[k] for k in range(len(entries)) for c in columns]
 
-    def backtrace(self, before: str, body: str, after: str, entry: int, leave: int) -> tuple[list[int], int, int]:
-        """The ids of the pieces that begin in a chunk, between two chosen states, and the places they reach from and to."""
-        text, lo, hi = before + body + after, len(before), len(before) + len(body)
-        first = self.states(text, lo)[entry] if before else None
-        state = self.states(text, hi)[leave]
+    def way(self, text: str, lo: int, hi: int, first: tuple[int, int] | None, state: tuple[int, int] | None) -> list[int]:
+        """The ids of the pieces that begin in [lo, hi), from a state to another, or to the best at ``hi``."""
         trace: dict = {}
-        self.sweep(text, lo, hi, [first], trace)
-        at, found = (state[1], state), []
+        front = self.sweep(text, lo, hi, [first], trace)
+        if state is None:
+            here = front[hi]
+            state = max(here, key=lambda s: max(here[s]))
+        at, found = (state[1] if state else hi, state), []
         while at in trace and at != (lo, first):
             pos, way, ids = trace[at]
             found.append(ids)
             at = (pos, way)
-        return [i for ids in reversed(found) for i in ids], first[1] if first else lo, state[1]
+        return [i for ids in reversed(found) for i in ids]
+
+    def backtrace(self, before: str, body: str, after: str, entry: int, leave: int) -> tuple[list[int], int, int]:
+        """The ids of the pieces that begin in a chunk, between two chosen states, and the places they reach from and to."""
+        text, lo, hi = before + body + after, len(before), len(before) + len(body)
+        first = self.states(text, lo)[entry] if before else None
+        state = self.states(text, hi)[leave]
+        ends = first[1] if first else lo, state[1]
+        meet, tail = self.certain(text, lo, hi)
+        if meet is None:
+            return self.way(text, lo, hi, first, state), *ends
+        head = self.way(text[: meet + self.longest], lo, meet, first, None) if ends[0] < meet else []
+        (words,) = self.pack_words([self.spaced.findall(text[meet:tail].replace(SPACE, " "))])
+        cut = max(0, min(tail, hi - self.longest) - 1)
+        rest = self.way(text[cut:], tail - cut, hi - cut, None, (state[0] - cut, state[1] - cut))
+        return [*head, *array("i", words), *rest], *ends
 
 
 def times(a: tuple, b: tuple) -> tuple[int, int, list[float]]:
@@ -314,10 +380,11 @@ def _whole(model: bytes, check: bool):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = texts_of(part, "_text")
-                ids = pieces.encode_all(texts)
-                same = [pieces.decode(x) == text if check else None for x, text in zip(ids, texts, strict=True)]
-                columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "same"])
+                packed = list(pieces.pack_all(texts))
+                ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in packed)]), pa.int32())
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                same = [pieces.decode(array("i", x)) == text if check else None for x, text in zip(packed, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(same, pa.bool_())], ["doc_id", "ids", "same"])
 
     return encode
 

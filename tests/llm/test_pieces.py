@@ -38,6 +38,24 @@ def test_product_is_associative_and_keeps_the_best_path():
     assert max(total[2]) == own.word(text)[1]
 
 
+def test_certain_words_of_a_chunk_are_not_searched():
+    own = P.Pieces(MODEL)
+    text = P._signed(" ".join(f"wörd{i}" for i in range(2000)))[0]
+    before, body, after = text[:16], text[16:-16], text[-16:]
+    n_in, n_out, weights = own.matrix(before, body, after)
+    assert len(own.words) < 20 and not own.trie  # all 2,000 words were solved for weights that are the same on every path
+    entry, leave = divmod(weights.index(max(weights)), n_out)
+    ids, begin, end = own.backtrace(before, body, after, entry, leave)
+    assert own.spell(ids) == text[begin:end].replace(P.SPACE, " ")
+
+
+def test_ids_of_words_are_kept_packed():
+    own = P.Pieces(MODEL)
+    texts = random_texts(200, 60, 3)
+    assert list(map(own.decode, own.encode_all(texts))) == [t.replace("▁", " ") for t in texts]
+    assert all(type(x) is bytes for x in own.packed.values()) and len(own.words) < len(own.packed)
+
+
 def test_chunked_documents_as_the_library(spark):
     texts = random_texts(40, 400, 2) + ["", None, "a" * 3000, " " * 500, "é" * 700, "internationalisation" * 300, "ab" * 32, "a b" * 1000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id bigint, text string")
