@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,9 @@ def byte_signs() -> dict[str, int]:
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many tokens from ``a[i]`` and ``b[j]`` on end alike one to one, by probes of doubling width."""
-    same, width = 0, 1
+    if i >= len(a) or j >= len(b) or a[i] != b[j]:
+        return 0
+    same, width = 1, 2
     while True:
         left = a[i + same : i + same + width]
         if left != b[j + same : j + same + width]:
@@ -61,11 +65,12 @@ def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
             return same + len(left)
         same += width
         width *= 2
-    while width > 1:  # the first difference lies within the last probe
+    while width > 2:  # the first difference lies within the last probe
         width //= 2
         if a[i + same : i + same + width] == b[j + same : j + same + width]:
             same += width
-    return same
+    p, q = i + same, j + same
+    return same + 1 if p < len(a) and q < len(b) and a[p] == b[q] else same
 
 
 def segments(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -137,14 +142,14 @@ class Aligner:
     def block(self, texts: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         """For each text its numbers, and its distinct linked pairs (``a * n_b + b``) with how often they are linked."""
         tokens = self.tokens(texts)
-        a, b = (np.concatenate([np.array(t[k], np.int64) for t in tokens]) for k in (0, 1))
+        a, b = (np.array(array("i", chain.from_iterable(t[k] for t in tokens)), np.int64) for k in (0, 1))
         a_end, b_end = np.cumsum([len(x) for x, _ in tokens]), np.cumsum([len(y) for _, y in tokens])
-        irregular, runs = [], []
+        irregular, runs = array("q"), array("q")
         for i, p, j, q, one in segments(np.cumsum(self.a_length[a]).tolist(), np.cumsum(self.b_length[b]).tolist()):
             if one:
-                runs.append((i, j, p - i))
+                runs.extend((i, j, p - i))
             else:
-                irregular.append((i, p, j, q))
+                irregular.extend((i, p, j, q))
         at, to, long = np.array(runs, np.int64).reshape(-1, 3).T
         i0, i1, j0, j1 = np.array(irregular, np.int64).reshape(-1, 4).T
         a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)  # tokens that end a group
@@ -250,7 +255,7 @@ def _aligning(definition: str, model: bytes, kind: pa.DataType):
                 part = batch.slice(begin, len(block))
                 begin += len(block)
                 every = np.concatenate(pairs)
-                summed = counted(np.concatenate([summed[0], every]), np.concatenate([summed[1], np.ones(len(every), np.int64)]))
+                summed = counted(*map(np.concatenate, zip(summed, counted(every), strict=True)))
                 ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (every, np.concatenate(times))]
                 columns = [pa.array([m[n] for m in made], schema.field(n).type) for n in names]
