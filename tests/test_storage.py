@@ -230,3 +230,17 @@ def test_manifest_state_is_called_once_for_many_citations(monkeypatch):
     now = 100
     (third,) = records.handleInputRows((0,), iter([rows("delete", 4), rows("append", 5)]), Time())
     assert set(third["seq"]) == {5} and len(third) == 5000 and third["deleted_at"].isna().all()
+
+
+def test_claim_files_are_put_in_place_by_their_tasks(spark, tmp_path, monkeypatch):
+    claims = spark.createDataFrame(
+        [(d, "claim_0_0", "t", "qualitative", True, "1", "[1]", False) for d in range(3)],
+        "doc_id bigint, claim_id string, text string, claim_type string, citation_found boolean, citation_id string, citation_text string, is_original boolean"
+    ).withColumn("raw_citation_text", F.lit("R"))
+    given = {}
+    option = type(claims.write).option
+    monkeypatch.setattr(type(claims.write), "option", lambda self, key, value: (given.update({key: value}), option(self, key, value))[1])
+    files.write_claim_files(claims, str(tmp_path / "files"))
+    assert given["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    assert len(list((tmp_path / "files").glob("doc_id=*/part=0/*.txt"))) == 3
+    assert files.load_claims(spark, str(tmp_path / "files"))[0].count() == 3
