@@ -10,7 +10,8 @@ from evidence import constants as K
 from evidence.functions import spans
 from evidence.operators import claims as C
 from evidence.operators import routing
-from evidence.operators.setjoin import similar_sets
+from evidence.operators import setjoin
+from evidence.operators.setjoin import most_similar_sets, similar_sets
 
 
 def claims(spark, rows):
@@ -167,6 +168,27 @@ def test_similar_sets_equal_brute_force(spark, threshold, block_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_most_similar_sets_hold_every_best_pair(spark, threshold):
+    pick = random.Random(9)
+    drawn = lambda: sorted({f"w{int(pick.paretovariate(0.7)) % 30}" for _ in range(pick.randint(1, 14))})
+    left, right = {f"l{k}": drawn() for k in range(60)}, {f"r{k}": drawn() for k in range(90)}
+    frames = [spark.createDataFrame(list(sets.items()), "pid string, words array<string>") for sets in (left, right)]
+    best = lambda pairs: {(a, b, s) for a, b, s in pairs if s == max(t for c, _, t in pairs if c == a)}
+    got = [tuple(r) for r in most_similar_sets(*frames, threshold, 2).collect()]
+    every = [tuple(r) for r in similar_sets(*frames, threshold).collect()]
+    assert len(set(got)) == len(got) and set(got) <= set(every)
+    assert best(got) == best(every)
+
+
+def test_only_prefixes_of_sets_become_rows(spark):
+    sets = spark.createDataFrame([(f"p{k}", [f"w{n}" for n in range(k, k + 100)]) for k in range(20)], "pid string, words array<string>")
+    counts = spark.sparkContext.broadcast(setjoin._held(sets))
+    rows = setjoin._ordered(sets, counts, 0.8)
+    assert rows.count() == 20 * 21 and dict(rows.dtypes) == {"key": "bigint", "n": "int", "pos": "int", "word": "bigint"}
+    assert setjoin._parities(sets).count() == 20
+
+
 def test_most_similar_review(spark):
     claims = spark.createDataFrame(
         [(1, "A b c d e"), (2, "a  B c d e f"), (3, "nothing alike"), (4, None), (5, " "), (2, "a  B c d e f")], "doc_id int, text string")
