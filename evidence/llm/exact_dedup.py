@@ -24,6 +24,8 @@ from evidence.session import materialize
 SHARD_BITS = 10
 FILTER_ROWS = 1 << 20
 LOAD = 0.75
+#: Groups of equal texts that go to all tasks; with more of them the documents' rows are joined as Spark sees fit.
+BROADCAST_GROUPS = 1 << 17
 HEAD = "<BBQ"
 
 
@@ -171,10 +173,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **filters: int) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text one stays.
 
-    Whole rows move only where the groups are too many for Spark's broadcast,
+    Whole rows move only where there are more than ``BROADCAST_GROUPS`` groups,
     and for ids that are kept more than once.
     """
-    groups = groups_of(docs, doc_id, text, **filters).select("_fp", "_sha", F.col("keep_id").alias("_keep"), F.lit(True).alias("_copied"))
+    stored = groups_of(docs, doc_id, text, **filters).select("_fp", "_sha", F.col("keep_id").alias("_keep"), F.lit(True).alias("_copied"))
+    few = stored.count() <= BROADCAST_GROUPS
+    groups = F.broadcast(stored) if few else stored
     rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))  # whole rows, whatever their columns are called
     marked = _keyed(rows, "_text").select("_row", "_fp", "_sha").join(groups, ["_fp", "_sha"], "left")
     kept = marked.where(F.col("_copied").isNull() | F.col("_row")[doc_id].eqNullSafe(F.col("_keep")))
@@ -184,6 +188,7 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     again = materialize(again, "again")
     if again.isEmpty():
         return kept.select("_row.*")
+    again = F.broadcast(again) if few else again
     once = kept.join(again, ["_fp", "_sha"], "left_anti").select("_row")
     repeats = kept.join(again, ["_fp", "_sha"], "left_semi").dropDuplicates(["_fp", "_sha"])
     return once.union(repeats.select("_row")).select("_row.*")

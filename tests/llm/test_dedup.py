@@ -51,6 +51,23 @@ def test_one_row_stays(odd, none):
     assert E.drop_duplicates(none).count() == 0 and E.exact_duplicates(none).count() == 0
 
 
+def test_rows_stay_where_they_are_beside_few_groups(spark, monkeypatch):
+    once = [(k, f"text {k % 40}") for k in range(60)]
+    docs = spark.createDataFrame(once + once[:5], "doc_id bigint, text string")
+    monkeypatch.setattr(E, "BROADCAST_GROUPS", 0)
+    many = rows_of(E.drop_duplicates(docs))
+    monkeypatch.undo()
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = E.drop_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert rows_of(kept) == many and len(many) == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
 def test_copies_over_many_partitions(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('text ', id % 700) END AS text").repartition(17)
     found = E.exact_duplicates(df)
