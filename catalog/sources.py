@@ -259,11 +259,11 @@ def manifest_events(i):
     a = i.view("attempts")
     at = lambda n: F.timestamp_seconds(F.col("seq") + n)
     base = a.withColumn("seq", F.col("attempt_no").cast("bigint") * 10)
-    add = base.select("doc_id", "citation_id", "seq", F.lit("append").alias("kind"), at(0).alias("at"))
-    one = base.where("downloaded").select("doc_id", "citation_id", (F.col("seq") + 1).alias("seq"), F.lit("delete").alias("kind"), at(1).alias("at"))
-    two = base.where(F.col("downloaded") & (F.col("attempt_no") % 2 == 0)).select(
-        "doc_id", "citation_id", (F.col("seq") + 2).alias("seq"), F.lit("delete").alias("kind"), at(2).alias("at"))
-    return add.unionByName(one).unionByName(two)
+    event = lambda n, kind: F.struct((F.col("seq") + n).alias("seq"), F.lit(kind).alias("kind"), at(n).alias("at"))
+    one = F.when(F.col("downloaded"), event(1, "delete"))
+    two = F.when(F.col("downloaded") & (F.col("attempt_no") % 2 == 0), event(2, "delete"))
+    events = F.filter(F.array(event(0, "append"), one, two), lambda x: x.isNotNull())
+    return base.select("doc_id", "citation_id", F.inline(events))
 
 
 def discovery_records(i):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidence import constants as K
 from evidence.functions.text import contains_any, strip
+from evidence.session import by_key
 
 SEQ_BUCKET = 100_000
 
@@ -145,20 +146,21 @@ def manifest_current(events: DataFrame, bucket: Column | None = None) -> DataFra
     earlier = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     step = F.when(F.col("kind") == "append", F.lit(1)).otherwise(F.lit(-1))
 
-    local = events.withColumn("bucket", F.floor(F.col("seq") / SEQ_BUCKET) if bucket is None else bucket).withColumn(
-        "run", F.sum(step).over(in_bucket)
-    )
+    bucketed = events.withColumn("bucket", F.floor(F.col("seq") / SEQ_BUCKET) if bucket is None else bucket)
+    local = by_key(bucketed, *keys, "bucket", times=4).withColumn("run", F.sum(step).over(in_bucket))
+    whole = W.partitionBy(*keys).orderBy("bucket")
     sums = (
         local.groupBy(*keys, "bucket")
         .agg(F.max_by("run", "seq").alias("net"), F.min("run").alias("low"))
         .withColumn("start", F.coalesce(F.sum("net").over(earlier), F.lit(0)))
         .withColumn("low_before", F.least(F.lit(0), F.min(F.col("start") + F.col("low")).over(earlier)))
-        .select(*keys, "bucket", "start", "low_before")
+        .withColumn("several", F.lag(F.lit(1)).over(whole).isNotNull() | F.lead(F.lit(1)).over(whole).isNotNull())
+        .select(*keys, "bucket", "start", "low_before", "several")
     )
     lowest = F.min("run").over(in_bucket.rowsBetween(W.unboundedPreceding, -1))
     leveled = (
         local.withColumn("lowest", lowest)
-        .join(sums, [*keys, "bucket"])
+        .join(by_key(sums, *keys, "bucket", times=4), [*keys, "bucket"])
         .withColumn("balance", F.col("start") + F.col("run"))
         .withColumn("floor", F.least("low_before", F.col("start") + F.col("lowest")))
         # A deletion that falls below everything before it finds no record.
@@ -168,17 +170,18 @@ def manifest_current(events: DataFrame, bucket: Column | None = None) -> DataFra
 
     event = F.struct("kind", "at")
     on_level = W.partitionBy(*keys, "level", "bucket").orderBy("seq")
+    # Only citations of more than one bucket carry anything.
     firsts = (
-        leveled.groupBy(*keys, "level", "bucket")
+        leveled.where("several").groupBy(*keys, "level", "bucket")
         .agg(F.min_by(event, "seq").alias("first"))
         .withColumn("carried", F.lead("first").over(W.partitionBy(*keys, "level").orderBy("bucket")))
         .drop("first")
     )
     following = F.coalesce(F.col("following"), F.col("carried"))
     return (
-        leveled.withColumn("following", F.lead(event).over(on_level))
+        by_key(leveled, *keys, "level", "bucket", times=4).withColumn("following", F.lead(event).over(on_level))
         .where(F.col("kind") == "append")
-        .join(firsts, [*keys, "level", "bucket"])
+        .join(firsts, [*keys, "level", "bucket"], "left")
         .select(
             *keys, "seq", F.col("at").alias("appended_at"),
             F.when(following["kind"] == "delete", following["at"]).alias("deleted_at"),
