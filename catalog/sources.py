@@ -52,10 +52,10 @@ def reuse_inputs(i):
 
     The fit of a dataset is high when colour and noun agree, lower otherwise.
     """
-    lines = i.view("data_claims").select("doc_id", "claim_id", "seq", "text")
-    name = F.regexp_extract("text", r"Sales of the (\w+ \w+) in", 1)
-    url = F.concat(F.lit("https://data.example.org/"), F.replace(name, F.lit(" "), F.lit("-")))
-    colour, noun = F.element_at(F.split(name, " "), 1), F.element_at(F.split(name, " "), 2)
+    lines = i.view("data_claims").select("doc_id", "claim_id", "seq", F.regexp_extract("text", r"Sales of the (\w+ \w+) in", 1).alias("name"))
+    lines = lines.withColumn("parts", F.split("name", " ")).withColumns({"colour": F.element_at("parts", 1), "noun": F.element_at("parts", 2)})
+    url = F.concat(F.lit("https://data.example.org/"), F.replace("name", F.lit(" "), F.lit("-")))
+    colour, noun = F.col("colour"), F.col("noun")
     nouns = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
     fits = F.array(*[
         F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from evidence.functions.text import bind, contains_any, ends_with_any, head, not
 from evidence.operators.hook import score
 from evidence.operators.postings import block_topk
 from evidence.operators.ranking import nest_parts, rank_in_groups, top_k
-from evidence.session import materialize
+from evidence.session import by_key, materialize
 
 HOT_TOKEN_ITEMS = 1000
 
@@ -188,36 +189,38 @@ def dataset_reuse(
         "doc_id bigint, claim_id string, seq bigint, source_url string, source_type string, "
         "relevance_score double, found_by_claim_id string, is_reused boolean, reuse_no int"
     )
-    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+    shape = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paper, found = None, {}
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.doc_id != paper:
-                    paper, found = r.doc_id, {}
-                fits = [] if r.reuse is None else [
-                    (-x["confidence"], found[x["url"]]["order"], x["url"])
-                    for x in r.reuse
-                    if x["url"] in found and x["confidence"] > threshold
-                ]
-                if fits:
-                    known = found[min(fits)[2]]
-                    known["used"] += 1
-                    rows.append((r.doc_id, r.claim_id, r.seq, *known["row"], True, known["used"]))
-                elif r.url is not None:
-                    chosen = (r.url, r.source, r.score, r.claim_id)
-                    found.setdefault(r.url, {"order": len(found), "used": 0, "row": chosen})
-                    rows.append((r.doc_id, r.claim_id, r.seq, *chosen, False, 0))
-            yield pd.DataFrame(rows, columns=names)
-
-    return (
-        claims.select("doc_id", "claim_id", "seq", "url", "source", "score", "reuse")
-        .repartition("doc_id")
-        .sortWithinPartitions("doc_id", "seq")
-        .mapInPandas(walk, schema)
-    )
+            rows: list[list] = [[] for _ in shape]
+            *own, fits = batch.columns
+            known_urls, points_of = (fits.values.field(c).to_pylist() for c in ("url", "confidence"))
+            places = fits.offsets.to_pylist()
+            for n, (doc, claim, seq, url, source, points) in enumerate(zip(*[c.to_pylist() for c in own], strict=True)):
+                if doc is None or doc != paper:
+                    paper, found = doc, {}
+                near = [k for k in range(places[n], places[n + 1]) if known_urls[k] in found]
+                known = min(((-points_of[k], found[known_urls[k]]["order"], known_urls[k]) for k in near), default=None)
+                if known:
+                    chosen = found[known[2]]
+                    chosen["used"] += 1
+                    row = (doc, claim, seq, *chosen["row"], True, chosen["used"])
+                elif url is not None:
+                    found.setdefault(url, {"order": len(found), "used": 0, "row": (url, source, points, claim)})
+                    row = (doc, claim, seq, url, source, points, claim, False, 0)
+                else:
+                    continue
+                for column, value in zip(rows, row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, shape)], schema=shape)
+
+    # Only what can be reused goes to the walk; a null or NaN is no confidence.
+    fit = F.filter("reuse", lambda x: (x["confidence"] > threshold) & ~F.isnan(x["confidence"]))
+    rows = claims.select("doc_id", "claim_id", "seq", "url", "source", "score", fit.alias("reuse"))
+    return by_key(rows, "doc_id", times=4).sortWithinPartitions("doc_id", "seq").mapInArrow(walk, schema)
 
 
 def dataset_reuse_waves(

@@ -281,3 +281,11 @@ def test_reuse_by_waves_equals_the_walk(spark):
     assert seen(D.dataset_reuse_waves(df, ask, ["text"])) == want
     none = spark.createDataFrame([], schema)
     assert seen(D.dataset_reuse_waves(none)) == [] and seen(D.dataset_reuse_waves(none, ask, ["text"])) == []
+
+
+def test_walk_of_reuse_is_dealt_into_bounded_tasks(spark):
+    rows = [(d, "c1", 1, "u1", "s", 0.5, [("u1", None), ("u2", 0.9)]) for d in range(50)] + [(None, "c1", 1, "u1", "s", 0.5, None), (None, "c2", 2, "u2", "s", 0.5, [("u1", 0.9)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, claim_id string, seq bigint, url string, source string, score double, reuse array<struct<url:string,confidence:double>>")
+    chosen = D.dataset_reuse(df)
+    assert chosen.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert chosen.count() == 52 and chosen.where("is_reused").count() == 0
