@@ -283,6 +283,24 @@ def test_reuse_by_waves_equals_the_walk(spark):
     assert seen(D.dataset_reuse_waves(none)) == [] and seen(D.dataset_reuse_waves(none, ask, ["text"])) == []
 
 
+def test_decided_papers_leave_the_waves(spark, monkeypatch):
+    rows = [(d, f"c{n}", n, f"u{n}", "data.gov", 0.7, [(f"u{n - 1}", 0.9)] if d == 1 else [], "t") for d in range(1, 6) for n in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, claim_id string, seq bigint, url string, source string, score double, "
+                                     "reuse array<struct<url:string,confidence:double>>, text string")
+    want = sorted(map(tuple, D.dataset_reuse(df).collect()))
+    sizes, made = [], D.materialize
+
+    def counted(frame, name="table"):
+        stored = made(frame, name)
+        if name == "wave":
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(D, "materialize", counted)
+    assert sorted(map(tuple, D.dataset_reuse_waves(df).collect())) == want
+    assert sizes[0] == 25 and sizes[-1] == 5
+
+
 def test_walk_of_reuse_is_dealt_into_bounded_tasks(spark):
     rows = [(d, "c1", 1, "u1", "s", 0.5, [("u1", None), ("u2", 0.9)]) for d in range(50)] + [(None, "c1", 1, "u1", "s", 0.5, None), (None, "c2", 2, "u2", "s", 0.5, [("u1", 0.9)])]
     df = spark.createDataFrame(rows, "doc_id bigint, claim_id string, seq bigint, url string, source string, score double, reuse array<struct<url:string,confidence:double>>")
