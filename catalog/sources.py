@@ -9,6 +9,7 @@ from evidence import constants as K
 from evidence.functions.text import word_keys
 from evidence.operators import discovery as D
 from evidence.operators import fetch, reporting
+from evidence.session import materialize
 from evidence.sources import html
 
 
@@ -221,7 +222,11 @@ def failed(i):
 
 
 def batch_json(i):
-    text = fetch.batch_json(batches(i), failed(i), fetch.attempts_made(i.view("attempts"), outcome(i)))
+    tried = i.stored("attempts")
+    got = materialize(fetch.first_success(tried), "outcome")
+    made = materialize(fetch.citation_batch(batch_claims(i), got), "batches")
+    results = fetch.fail_batch(batch_claims(i), made, "rag_search", "text source")
+    text = fetch.batch_json(made, results, fetch.attempts_made(tried, got))
     shape = "citation_id string, download_successful boolean, source_url string, resolution_attempts array<struct<url:string>>, claim_results array<struct<claim_id:string>>, batch_notes string"
     return text.select("doc_id", "part", F.from_json("batch", shape).alias("_b")).select(
         "doc_id", "part", "_b.citation_id", "_b.download_successful", "_b.source_url", "_b.batch_notes",
