@@ -142,6 +142,13 @@ def test_union_of_copartitioned_inputs(spark):
     assert current.count() == 4000 and current.where("deleted_at IS NOT NULL").count() == drop.count()
 
 
+def test_manifest_is_dealt_into_bounded_tasks(spark):
+    events = [(d, "1", n, "append" if n % 3 else "delete", n) for d in range(40) for n in range(10)]
+    df = spark.createDataFrame(events, "doc_id bigint, citation_id string, seq bigint, kind string, at bigint")
+    current = reporting.manifest_current(df, F.floor(F.col("seq") / 4))
+    assert current.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_quant_checks(spark):
     data = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 10.0), (None, 2.0)], "g string, x double")
     stats = verdicts.column_statistics(data, ["x"], ["g"], ["g"]).withColumn("dataset", F.lit("d"))
