@@ -259,3 +259,19 @@ def test_class_outputs_are_stored_compressed(spark, tmp_path):
     assert [r.n for r in back.select(F.size("batch.claim_results").alias("n")).collect()] == [200]
     stored = [f.stat().st_size for f in (tmp_path / "out" / "batches").rglob("part-*")]
     assert 0 < sum(stored) < sum(len(r.value) for r in spark.read.text(str(tmp_path / "out" / "batches")).collect()) / 5
+
+
+def test_claim_files_are_many_small_ones(spark, tmp_path):
+    claims = spark.range(400).select(
+        F.when(F.col("id") > 0, F.concat(F.lit("a/b="), "id")).otherwise(F.lit("")).alias("doc_id"), F.concat(F.lit("c"), "id").alias("claim_id"),
+        F.lit("téxt").alias("text"), F.lit(None).cast("string").alias("citation_id"), F.lit(None).cast("string").alias("raw_citation_text"))
+    path = tmp_path / "files of claims"
+    for mode, times in (("overwrite", 1), ("ignore", 1), ("append", 2), ("overwrite", 1)):
+        files.write_claim_files(claims, f"file://{path}", mode)
+        found = [p for p in path.rglob("*") if p.is_file() and p.parent != path]
+        assert len(found) == 400 * times and all(p.name.startswith("part-") for p in found)  # nothing is stored beside them
+    named = {r.doc_id for r in spark.read.text(str(path)).select("doc_id").distinct().collect()}
+    assert named == {None, *[f"a/b={n}" for n in range(1, 400)]}
+    back, _ = files.load_claims(spark, f"file://{path}")
+    assert back.rdd.getNumPartitions() <= 8
+    assert {(r.claim_id, r.text) for r in back.collect()} == {(f"c{n}", "téxt") for n in range(400)}
