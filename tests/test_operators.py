@@ -29,6 +29,25 @@ def test_overlap_equals_brute_force(spark):
             assert [got.get(key, {}).get(n + 1) for n in range(len(ranked))] == [(k, -o) for o, k in ranked], (hot, key)
 
 
+def test_bounds_of_blocks(spark):
+    rng = random.Random(6)
+    pick = lambda n: sorted({f"w{rng.randint(0, 40)}" for _ in range(n)})
+    items = [(n, n // 50, pick(1 + n // 10)) for n in range(200)]
+    queries = {f"q{n}".encode(): pick(rng.randint(1, 60)) for n in range(30)} | {b"none": ["zz"]}
+    made = lambda rows, kind: spark.createDataFrame(rows, kind).withColumn("words", postings._text("words"))
+    got = postings._bounds(
+        made(list(queries.items()), "pid binary, words array<string>"), made(items, "item int, block int, words array<string>").repartition(3)).collect()
+    bounds = {(bytes(r.pid), r.block): r.bound for r in got}
+    most = [max(len(w) for _, b, w in items if b == block) for block in range(4)]
+    for pid, words in queries.items():
+        for block in range(4):
+            best = max(len(set(words) & set(w)) for _, b, w in items if b == block)
+            assert best <= bounds.get((pid, block), 0) <= min(len(words), most[block])
+        places = sorted((r["_place"], -r.bound) for r in got if bytes(r.pid) == pid)
+        assert [p for p, _ in places] == [*range(1, len(places) + 1)] and places == sorted(places, key=lambda x: x[1])
+    assert not any(pid == b"none" for pid, _ in bounds)
+
+
 def test_rank_in_groups_equals_sort(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 5 + ["a", None]), rng.randint(0, 3), n) for n in range(1000)]
